@@ -91,7 +91,7 @@ def manifest_diff(
         & (F.col("size") == F.coalesce("__size", F.lit(-1)))
         & (F.col("sha256") == F.coalesce("__sha", F.lit("")))
     )
-    lost = (F.coalesce("__doc", F.lit("")) != "") & F.col("__alive").isNull()
+    lost = (F.coalesce(F.col("__doc").cast("string"), F.lit("")) != "") & F.col("__alive").isNull()
     state = (
         F.when(F.col("__here").isNull(), "deleted")
         .when(F.col("__key").isNull(), "new")
@@ -180,7 +180,7 @@ def delete_project(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Manifest, documents and chunks without one project's files."""
     test = F.coalesce(in_project(project), F.lit(False))
-    gone = manifest.filter(test & (F.coalesce("doc_id", F.lit("")) != "")).select("doc_id")
+    gone = manifest.filter(test & (F.coalesce(F.col("doc_id").cast("string"), F.lit("")) != "")).select("doc_id")
     docs, left = delete_documents(documents, chunks, gone)
     return manifest.filter(~test), docs, left
 

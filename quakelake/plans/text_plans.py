@@ -328,7 +328,7 @@ b AS (SELECT doc_id, CASE WHEN instr(text, 'References' || chr(10)) > 0 THEN sub
        ELSE substring(text, instr(text, 'Bibliography' || chr(10)) + 13) END AS block FROM t),
 l AS (SELECT doc_id, unnest(string_split(block, chr(10))) AS x, generate_subscripts(string_split(block, chr(10)), 1) AS i FROM b)
 SELECT doc_id, count(*) AS n_entries, string_agg(trim(x, {_SPACE}), chr(10) ORDER BY i) AS entries FROM l
-WHERE length(trim(x, {_SPACE})) > 20 AND regexp_matches(trim(x, {_SPACE}), '^\\[?\\d+\\]?\\s+\\w|^[A-Z][a-z]+,') GROUP BY doc_id""",
+WHERE length(trim(x, {_SPACE})) > 20 AND regexp_matches(trim(x, {_SPACE}), '^\\[?\\d+\\]?\\s+[\\pL\\pN_]|^[A-Z][a-z]+,') GROUP BY doc_id""",
 )
 def reference_entries(spark, d):
     text = F.concat(
@@ -445,7 +445,7 @@ def last_steps_context(spark, d):
     return chat.last_steps_context(table(spark, d, "conversations"))
 
 
-# Patterns use plain letter classes: the SQL twin's \\w and \\b know ASCII only.
+# Patterns use plain letter classes: the SQL twin's \w and \b know ASCII only.
 RULES = [
     ("question", ["what", "why", "que", "was "], [r"^(wh|qu)[a-z]+", r"\?"]),
     ("listing", ["und", "and", " et "], [r"[a-z]+, [a-z]+, [a-z]+"]),
