@@ -66,7 +66,7 @@ def spectrogram(
 def resample(x: np.ndarray, rate: float, new_rate: float) -> np.ndarray:
     """Fourier resampling with a Hann-windowed spectrum, interpolated to the new frequencies."""
     n = len(x)
-    num = int(n * new_rate / rate)
+    num = max(1, int(n * new_rate / rate))
     spectrum = np.fft.rfft(x) * np.fft.ifftshift(hann_periodic(n))[: n // 2 + 1]
     old = np.arange(n // 2 + 1) * rate / n
     new = np.arange(num // 2 + 1) * new_rate / num

@@ -314,7 +314,8 @@ def neighbour_pairs(
         )
         # One row per range with at most k events each, so k following ranges always suffice.
         following = F.flatten(F.collect_list("__h").over(Window.orderBy("__bucket").rowsBetween(1, k)))
-        borrowed = heads.select("__bucket", F.explode(F.slice(following, 1, k)).alias("__x")).select(
+        reach = heads.withColumn("__f", following).select("__bucket", F.explode(F.slice("__f", 1, k)).alias("__x"))
+        borrowed = reach.select(
             "__x.__e", "__x.__t", "__x.__order", "__bucket", F.lit(False).alias("__home")
         )
         own = own.unionByName(borrowed)

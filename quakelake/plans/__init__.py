@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["catalog_plans", "text_plans", "retrieval_plans"]
+_MODULES = ["catalog_plans", "text_plans", "retrieval_plans", "wave_plans", "stream_plans"]
 
 
 def _load() -> None:

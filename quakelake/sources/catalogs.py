@@ -69,8 +69,11 @@ def parse_records(df: DataFrame, record: str = "record", date_only: bool = False
     # The first of two keys that differ only in case wins.
     low = F.transform(pairs, lambda e: F.struct(F.lower(F.btrim(e["key"])).alias("key"), e["value"].alias("value")))
 
+    def held(name: str) -> Column:
+        return F.get(F.filter(F.col("__e"), lambda e: e["key"] == name), F.lit(0))["value"]
+
     def value(names: Sequence[str]) -> Column:
-        return F.coalesce(*[F.get(F.filter(F.col("__e"), lambda e, n=n: e["key"] == n), F.lit(0))["value"] for n in names])
+        return F.coalesce(*[held(n) for n in names])
 
     cols = [
         (parse_time(value(names), date_only) if role == "time" else X.strip(value(names)).try_cast("double")).alias(role)
@@ -109,7 +112,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """
     bare = X.strip(F.col("line"))
     rows = read_lines(spark, path).withColumn("bare", bare).filter((F.col("bare") != "") & ~F.startswith("bare", F.lit("#")))
-    first = rows.orderBy("path", "block", "at").select("bare", "path", "block", "at").head()
+    first = rows.orderBy("path", "block", "pos").select("bare", "path", "block", "pos").head()
     if first is None:
         raise ValueError(f"no rows in {path}")
     sep = r"\s*,\s*" if "," in first["bare"] else r"\s+"
@@ -135,6 +138,6 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
         return read_csv(spark, path)
     if suffix == "txt":
         if is_pick_file(spark, path):
-            return parse_picks(read_lines(spark, path)).drop("path", "block", "at")
+            return parse_picks(read_lines(spark, path)).drop("path", "block", "pos")
         return read_csv(spark, path)
     raise ValueError(f"unsupported catalog format: {path}")

@@ -17,9 +17,9 @@ NAME_PATTERN = "*picks*.txt"
 
 
 def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Lines of text files, found recursively: ``path, block, at, line``.
+    """Lines of text files, found recursively: ``path, block, pos, line``.
 
-    ``(path, block, at)`` orders the lines of a file: the byte offset of the split and the row
+    ``(path, block, pos)`` orders the lines of a file: the byte offset of the split and the row
     number within it. Large files are read in several splits.
     """
     lines = (
@@ -28,7 +28,7 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return lines.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"),
+        F.monotonically_increasing_id().alias("pos"),
         F.col("value").alias("line"),
     )
 
@@ -125,14 +125,15 @@ def with_waveform_file(lines: DataFrame) -> DataFrame:
     A file may be larger than a task: headers are carried forward inside each split, and a line
     before a split's first header takes the last header of the splits before.
     """
-    header = F.when(F.startswith("line", F.lit("#")), F.substring(X.strip(F.col("line")), 2, 100_000))
-    inner = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    bare = X.strip(F.col("line"))
+    header = F.when(F.startswith("line", F.lit("#")), F.substring(bare, F.lit(2), F.length(bare)))
+    inner = Window.partitionBy("path", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("__h", header)
     near = marked.withColumn("__near", F.last("__h", ignorenulls=True).over(inner))
     outer = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     per_split = (
         marked.groupBy("path", "block")
-        .agg(F.max_by("__h", F.when(F.col("__h").isNotNull(), F.col("at"))).alias("__last"))
+        .agg(F.max_by("__h", F.when(F.col("__h").isNotNull(), F.col("pos"))).alias("__last"))
         .withColumn("__above", F.last("__last", ignorenulls=True).over(outer))
         .select("path", "block", "__above")
     )
@@ -148,13 +149,13 @@ def read_picks(spark: SparkSession, path: str, pattern: str = NAME_PATTERN) -> D
     found = parse_picks(pick_lines(spark, path, pattern)).withColumnRenamed("path", "source_file")
     if not found.limit(1).count():
         raise ValueError(f"no valid picks in {path}")
-    return found.drop("block", "at")
+    return found.drop("block", "pos")
 
 
 def read_full_picks(spark: SparkSession, path: str) -> DataFrame:
     """Full pick rows with the waveform file each belongs to."""
-    return parse_full_picks(with_waveform_file(read_lines(spark, path))).drop("block", "at")
+    return parse_full_picks(with_waveform_file(read_lines(spark, path))).drop("block", "pos")
 
 
 def read_lenient_picks(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lenient_picks(read_lines(spark, path)).drop("block", "at")
+    return parse_lenient_picks(read_lines(spark, path)).drop("block", "pos")

@@ -68,7 +68,7 @@ def read_mechanisms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fault_points(lines: DataFrame) -> DataFrame:
-    """``path, segment, at, lon, lat`` of polyline files; a blank or ``>`` line starts a segment.
+    """``path, segment, pos, lon, lat`` of polyline files; a blank or ``>`` line starts a segment.
 
     Breaks are counted inside each split of a file and offset by the splits before it.
     """
@@ -76,7 +76,7 @@ def fault_points(lines: DataFrame) -> DataFrame:
     marked = lines.withColumn("bare", bare).withColumn(
         "__brk", F.when((F.col("bare") == "") | F.startswith("bare", F.lit(">")), 1).otherwise(0)
     )
-    inner = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("path", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         marked.groupBy("path", "block")
@@ -92,7 +92,7 @@ def fault_points(lines: DataFrame) -> DataFrame:
             "path",
             (F.col("__local") + F.col("__before")).cast("long").alias("segment"),
             "block",
-            "at",
+            "pos",
             F.get(p, F.lit(0)).try_cast("double").alias("lon"),
             F.get(p, F.lit(1)).try_cast("double").alias("lat"),
         )
@@ -102,7 +102,7 @@ def fault_points(lines: DataFrame) -> DataFrame:
 
 def fault_segments(points: DataFrame) -> DataFrame:
     """Straight pieces ``segment_id, lon1, lat1, lon2, lat2`` between successive points of a polyline."""
-    w = Window.partitionBy("path", "segment").orderBy("block", "at")
+    w = Window.partitionBy("path", "segment").orderBy("block", "pos")
     after = points.withColumn("__n", F.lead(F.struct("lon", "lat")).over(w)).withColumn("__i", F.row_number().over(w))
     return after.filter(F.col("__n").isNotNull()).select(
         F.xxhash64("path", "segment", "__i").alias("segment_id"),
@@ -195,7 +195,8 @@ def workflow_steps(texts: DataFrame, name: str = "name") -> DataFrame:
     """
     meta = F.regexp_extract("text", FRONT_MATTER, 1)
     block = F.regexp_extract(meta, r"(?m)^steps:[ \t]*((?:\n[ \t].*)+)", 1)
-    items = F.slice(F.split(block, r"\n[ \t]+- (?=id:)"), 2, 100_000)
+    pieces = F.split(block, r"\n[ \t]+- (?=id:)")
+    items = F.slice(pieces, F.lit(2), F.size(pieces))
     one = lambda f: F.btrim(F.regexp_extract(F.col("s"), rf"(?m)(?:^|\n)[ \t]*{f}:[ \t]*(.*)$", 1), F.lit(" \"'"))
     return texts.select(name, F.posexplode(items).alias("n", "s")).select(
         name,
