@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -82,6 +84,7 @@ def _prototype(order: int) -> np.ndarray:
     return -np.exp(1j * np.pi * k / (2 * order))
 
 
+@lru_cache(maxsize=64)
 def butterworth(kind: str, order: int, rate: float, low: float | None, high: float | None) -> np.ndarray:
     """Second-order sections ``[b0, b1, b2, a1, a2]`` of a digital Butterworth filter."""
     nyquist = rate / 2
@@ -131,20 +134,26 @@ def _pairs(roots: np.ndarray) -> list[tuple[complex, complex]]:
     return pairs + [(real[i], real[i + 1]) for i in range(0, len(real), 2)]
 
 
-def _all_pole(w: np.ndarray, a1: float, a2: float, block: int = 256) -> np.ndarray:
-    """y[t] = w[t] - a1 y[t-1] - a2 y[t-2] from rest, block by block with matrix products."""
-    n = len(w)
+@lru_cache(maxsize=64)
+def _block_response(a1: float, a2: float, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Response of one block to its input (a matrix), to the last value before it, and to the one before that."""
     free = np.zeros((2, block + 2))
     free[0, :2], free[1, :2] = (0, 1), (1, 0)
     for t in range(2, block + 2):
         free[:, t] = -a1 * free[:, t - 1] - a2 * free[:, t - 2]
-    from_last, from_before = free[0, 2:], free[1, 2:]
-    impulse = np.concatenate([[1.0], from_last[:-1]])
-    # Response to a unit sample: 1, then the free decay after a last value of 1.
+    # A unit input gives 1 and then the free decay after a last value of 1.
+    impulse = free[0, 1 : block + 1]
     lag = np.arange(block)[:, None] - np.arange(block)[None, :]
     driven = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
-    padded = np.concatenate([w, np.zeros(-n % block)]).reshape(-1, block)
-    out = padded @ driven.T
+    return driven, free[0, 2:], free[1, 2:]
+
+
+def _all_pole(w: np.ndarray, a1: float, a2: float) -> np.ndarray:
+    """y[t] = w[t] - a1 y[t-1] - a2 y[t-2] from rest, block by block with matrix products."""
+    n = len(w)
+    block = 64 if n <= 64 else 256
+    driven, from_last, from_before = _block_response(float(a1), float(a2), block)
+    out = np.concatenate([w, np.zeros(-n % block)]).reshape(-1, block) @ driven.T
     last = before = 0.0
     for row in out:
         row += from_last * last + from_before * before

@@ -103,9 +103,12 @@ def mc_max_curvature(
     magnitude: str = "magnitude",
 ) -> DataFrame:
     """Completeness magnitude: the fullest bin (lowest on ties) plus a correction."""
+    return _max_curvature(magnitude_bins(df, width, group_cols, magnitude), group_cols, correction)
+
+
+def _max_curvature(bins: DataFrame, group_cols: Sequence[str], correction: float = 0.2) -> DataFrame:
     return (
-        frequency_magnitude(df, width, group_cols, magnitude)
-        .groupBy(*group_cols)
+        bins.groupBy(*group_cols)
         .agg(
             F.min_by("mag_bin", F.struct(-F.col("n"), F.col("mag_bin"))).alias("peak"),
             F.count("*").alias("n_bins"),
@@ -129,6 +132,17 @@ def mc_goodness_of_fit(
     Falls back to maximum curvature. ``residual`` is the misfit at the chosen bin, NULL on fallback.
     """
     bins = magnitude_bins(df, width, group_cols, magnitude)
+    return _goodness_of_fit(bins, width, group_cols, r_threshold, correction, min_events)
+
+
+def _goodness_of_fit(
+    bins: DataFrame,
+    width: float,
+    group_cols: Sequence[str],
+    r_threshold: float = 95.0,
+    correction: float = 0.2,
+    min_events: int = 10,
+) -> DataFrame:
     packed = bins.groupBy(*group_cols).agg(
         F.sort_array(F.collect_list(F.struct("mag_bin", "n", "n_cum", "sum_cum"))).alias("b"),
         F.min_by("mag_bin", F.struct(-F.col("n"), F.col("mag_bin"))).alias("peak"),
@@ -169,10 +183,14 @@ def completeness(
     magnitude: str = "magnitude",
 ) -> DataFrame:
     """``group_cols, mc`` by the named method."""
+    return _completeness(magnitude_bins(df, width, group_cols, magnitude), width, group_cols, method)
+
+
+def _completeness(bins: DataFrame, width: float, group_cols: Sequence[str], method: str) -> DataFrame:
     if method == "gof":
-        found = mc_goodness_of_fit(df, width, group_cols, magnitude=magnitude)
+        found = _goodness_of_fit(bins, width, group_cols)
     elif method == "maxcurvature":
-        found = mc_max_curvature(df, width, group_cols, magnitude=magnitude)
+        found = _max_curvature(bins, group_cols)
     else:
         raise ValueError(f"unknown completeness method: {method}")
     return found.select(*group_cols, "mc")
@@ -247,7 +265,14 @@ def b_value_lsq(
     Groups with fewer than two usable bins are left out.
     """
     bins = magnitude_bins(df.select(*group_cols, magnitude), width, group_cols, magnitude)
-    lined = with_mc_on_bins(df, bins, mc, width, group_cols, mc_method, magnitude)
+    if mc is not None:
+        lined = bins.withColumn("mc", F.lit(float(mc)))
+    elif mc_method == "maxcurvature":
+        # The peak of each group over its own bins: no second pass over the events.
+        peak = F.min_by("mag_bin", F.struct(-F.col("n"), F.col("mag_bin"))).over(Window.partitionBy(*group_cols))
+        lined = bins.withColumn("mc", F.round(peak + 0.2, 2))
+    else:
+        lined = attach(bins, _completeness(bins, width, group_cols, mc_method), group_cols)
     x, y = F.col("mag_bin"), F.log10(F.col("n_cum").cast("double"))
     fit = (
         lined.filter((x >= F.col("mc") - width / 2) & (F.col("n_cum") > 0))
@@ -279,6 +304,8 @@ def b_value_lsq(
         "n_events",
         "n_bins",
     )
+    # The mean needs the events again; the fitted lines are one small row per group.
+    line = small_side(line)
     m = F.col(magnitude)
     means = (
         attach(df.select(*group_cols, magnitude), line.select(*group_cols, "mc"), group_cols)
@@ -286,14 +313,9 @@ def b_value_lsq(
         .groupBy(*group_cols)
         .agg(F.avg(m).alias("mean_magnitude"))
     )
-    return attach(line, means, group_cols)
-
-
-def with_mc_on_bins(df, bins, mc, width, group_cols, mc_method, magnitude) -> DataFrame:
-    if mc is not None:
-        return bins.withColumn("mc", F.lit(float(mc)))
-    found = completeness(df.select(*group_cols, magnitude), width, group_cols, mc_method, magnitude)
-    return attach(bins, found, group_cols)
+    if not group_cols:
+        return line.withColumn("mean_magnitude", means.scalar())
+    return join_keys(means, line, group_cols).select(*line.columns, "mean_magnitude")
 
 
 def gr_fit(

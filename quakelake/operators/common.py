@@ -30,12 +30,14 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on the named columns."""
-    test = F.lit(True)
-    for key in keys:
-        test = test & left[key].eqNullSafe(right[key])
-    return test
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input of fewer files than cores by its key before per-row work that costs much.
+
+    One small file is one task, whatever the number of cores. Inputs with at least as many files as
+    cores, as on a cluster, are left where they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

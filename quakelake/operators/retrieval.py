@@ -134,11 +134,33 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def _cell_topk(ids, matrix, query_ids, query_matrix, k):
-    scores = np.round(matrix @ query_matrix.T, SCORE_PLACES)
+def _keep_best(kept: dict, ids: np.ndarray, scores: np.ndarray, query_ids: list, k: int) -> None:
+    """Merge a (row, query) score matrix into the k best rows kept per query."""
     for j, q in enumerate(query_ids):
         at = _best(ids, scores[:, j], k)
-        yield q, ids[at], scores[at, j]
+        got, score = ids[at], scores[at, j]
+        if q in kept:
+            got, score = np.concatenate([kept[q][0], got]), np.concatenate([kept[q][1], score])
+            at = _best(got, score, k)
+            got, score = got[at], score[at]
+        kept[q] = (got, score)
+
+
+def _kept_rows(kept: dict, query_id: str, id_col: str, positive: bool = False) -> Iterator[pd.DataFrame]:
+    if kept:
+        sizes = [len(got) for got, _ in kept.values()]
+        rows = pd.DataFrame(
+            {
+                query_id: np.repeat(np.array(list(kept)), sizes),
+                id_col: np.concatenate([got for got, _ in kept.values()]),
+                "score": np.concatenate([score for _, score in kept.values()]),
+            }
+        )
+        yield rows[rows["score"] > 0] if positive else rows
+
+
+def _scores(vectors, query_matrix: np.ndarray, normalise: bool) -> np.ndarray:
+    return np.round(_matrix(vectors, normalise) @ query_matrix.T, SCORE_PLACES)
 
 
 def vector_topk(
@@ -178,17 +200,10 @@ def vector_topk(
             query_ids, query_matrix = shared.value
             kept: dict = {}
             for batch in batches:
-                if not len(batch) or not query_ids:
-                    continue
-                ids = np.array(batch[id_col].tolist())
-                for q, got, score in _cell_topk(ids, _matrix(batch["__v"], normalise), query_ids, query_matrix, k):
-                    if q in kept:
-                        got, score = np.concatenate([kept[q][0], got]), np.concatenate([kept[q][1], score])
-                        at = _best(got, score, k)
-                        got, score = got[at], score[at]
-                    kept[q] = (got, score)
-            for q, (got, score) in kept.items():
-                yield pd.DataFrame({query_id: [q] * len(got), id_col: got, "score": score})
+                if len(batch) and query_ids:
+                    scores = _scores(batch["__v"], query_matrix, normalise)
+                    _keep_best(kept, np.array(batch[id_col].tolist()), scores, query_ids, k)
+            yield from _kept_rows(kept, query_id, id_col)
 
         partial = data.mapInPandas(scan, schema)
     else:
@@ -202,18 +217,12 @@ def vector_topk(
         )
 
         def cell(vecs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-            if not len(vecs) or not len(qs):
-                return pd.DataFrame({query_id: [], id_col: [], "score": []})
-            parts = _cell_topk(
-                np.array(vecs[id_col].tolist()),
-                _matrix(vecs["__v"], normalise),
-                qs[query_id].tolist(),
-                _matrix(qs["__q"], normalise),
-                k,
-            )
-            return pd.concat(
-                pd.DataFrame({query_id: [q] * len(got), id_col: got, "score": score}) for q, got, score in parts
-            )
+            kept: dict = {}
+            if len(vecs) and len(qs):
+                scores = _scores(vecs["__v"], _matrix(qs["__q"], normalise), normalise)
+                _keep_best(kept, np.array(vecs[id_col].tolist()), scores, qs[query_id].tolist(), k)
+            empty = pd.DataFrame({query_id: [], id_col: [], "score": []})
+            return next(_kept_rows(kept, query_id, id_col), empty)
 
         partial = left.groupBy("__vb", "__qb").cogroup(right.groupBy("__vb", "__qb")).applyInPandas(cell, schema)
     return top_k(partial, [query_id], [F.desc("score"), F.asc(id_col)], k).select(
@@ -278,27 +287,68 @@ def overlap_topk(
     text_col: str = "text",
     query_id: str = "query_id",
     query_col: str = "query",
+    max_queries: int = 2_000,
 ) -> DataFrame:
-    """Chunks sharing most words with the query: shared / (query words + 1), positive scores only."""
+    """Chunks sharing most words with the query: shared / (query words + 1), positive scores only.
+
+    Up to ``max_queries`` queries travel to the tasks, which keep k chunks per query; more are
+    answered by an equi-join on words.
+    """
     asked = queries.select(query_id, X.words(F.col(query_col)).alias("w"))
-    asked = asked.select(query_id, F.size("w").alias("__n"), F.explode("w").alias("word"))
-    held = chunks.select(id_col, F.explode(X.words(F.col(text_col))).alias("word"))
-    scored = (
-        held.join(small_side(asked), "word")
-        .groupBy(query_id, id_col, "__n")
-        .agg(F.count("*").alias("shared"))
-        .select(query_id, id_col, (F.col("shared") / (F.col("__n") + 1)).alias("score"))
-    )
+    held = chunks.select(F.col(id_col), X.words(F.col(text_col)).alias("__w"))
+    rows = asked.limit(max_queries + 1).collect()
+    if len(rows) <= max_queries:
+        scored = _overlap_scan(held, [r[0] for r in rows], [r[1] for r in rows], queries.schema[query_id].dataType.simpleString(), query_id, id_col, k)
+    else:
+        words = asked.select(query_id, F.size("w").alias("__n"), F.explode("w").alias("word"))
+        scored = (
+            held.select(id_col, F.explode("__w").alias("word"))
+            .join(words, "word")
+            .groupBy(query_id, id_col, "__n")
+            .agg(F.count("*").alias("shared"))
+            .select(query_id, id_col, (F.col("shared") / (F.col("__n") + 1)).alias("score"))
+        )
     return top_k(scored, [query_id], [F.desc("score"), F.asc(id_col)], k).select(
         query_id, "rank", id_col, "score"
     )
 
 
+def _overlap_scan(held: DataFrame, query_ids: list, words: list, q_type: str, query_id: str, id_col: str, k: int) -> DataFrame:
+    asked_by: dict[str, list[int]] = {}
+    for at, ws in enumerate(words):
+        for w in ws:
+            asked_by.setdefault(w, []).append(at)
+    shared = held.sparkSession.sparkContext.broadcast(
+        (query_ids, np.array([len(w) + 1.0 for w in words]), {w: np.array(ats) for w, ats in asked_by.items()})
+    )
+    id_type = held.schema[id_col].dataType.simpleString()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, sizes, index = shared.value
+        kept: dict = {}
+        for batch in batches:
+            if not len(batch) or not ids:
+                continue
+            counts = np.zeros((len(batch), len(ids)))
+            for row, ws in enumerate(batch["__w"]):
+                found = [index[w] for w in ws if w in index] if ws is not None else []
+                if found:
+                    counts[row] = np.bincount(np.concatenate(found), minlength=len(ids))
+            _keep_best(kept, np.array(batch[id_col].tolist()), counts / sizes, ids, k)
+        yield from _kept_rows(kept, query_id, id_col, positive=True)
+
+    return held.mapInPandas(scan, f"{query_id} {q_type}, {id_col} {id_type}, score double")
+
+
 def _query_terms(queries: DataFrame, query_id: str, query_col: str) -> DataFrame:
-    return queries.select(
-        F.col(query_id),
-        F.lower(query_col).alias("q"),
-        F.array_distinct(X.fine_tokens(F.col(query_col))).alias("toks"),
+    """Lower-case query and its distinct tokens by length rule, worked out once per query."""
+    toks = F.array_distinct(X.fine_tokens(F.col(query_col)))
+    return queries.select(F.col(query_id), F.lower(query_col).alias("q"), toks.alias("__t")).select(
+        query_id,
+        "q",
+        F.filter("__t", lambda t: F.length(t) >= 2).alias("two"),
+        F.filter("__t", lambda t: F.length(t) >= 3).alias("three"),
+        F.filter("__t", X.long_enough).alias("specific"),
     )
 
 
@@ -308,26 +358,20 @@ def _keyword_points(query: Column, keywords: Column) -> Column:
         keywords,
         F.lit(0),
         lambda acc, kw: acc
-        + F.when(F.contains(query["q"], kw), 5)
-        .when(F.exists(query["toks"], lambda t: (F.length(t) >= 2) & F.contains(kw, t)), 3)
-        .otherwise(0),
+        + F.when(F.contains(query["q"], kw), 5).when(_any(query["two"], kw), 3).otherwise(0),
     )
 
 
-def _name_points(query: Column, name: Column) -> Column:
-    return F.when(
-        F.contains(query["q"], name)
-        | F.exists(query["toks"], lambda t: (F.length(t) >= 2) & F.contains(name, t)),
-        2,
-    ).otherwise(0)
+def _any(tokens: Column, field: Column) -> Column:
+    return F.exists(tokens, lambda t: F.contains(field, t))
 
 
-def _any_token(query: Column, field: Column) -> Column:
-    return F.exists(query["toks"], lambda t: X.long_enough(t) & F.contains(field, t))
+def _hits(tokens: Column, field: Column) -> Column:
+    return F.size(F.filter(tokens, lambda t: F.contains(field, t)))
 
 
-def _token_hits(query: Column, field: Column, test: Callable[[Column], Column]) -> Column:
-    return F.size(F.filter(query["toks"], lambda t: test(t) & F.contains(field, t)))
+def _name_points(query: Column, name: Column) -> Column:
+    return F.when(F.contains(query["q"], name) | _any(query["two"], name), 2).otherwise(0)
 
 
 def entry_score(query: Column, entry: Column) -> Column:
@@ -335,20 +379,19 @@ def entry_score(query: Column, entry: Column) -> Column:
     score = (
         _keyword_points(query, entry["keywords"])
         + _name_points(query, entry["name"])
-        + F.when(_any_token(query, entry["description"]), 2).otherwise(0)
-        + F.least(F.lit(3), _token_hits(query, entry["body"], X.long_enough))
+        + F.when(_any(query["specific"], entry["description"]), 2).otherwise(0)
+        + F.least(F.lit(3), _hits(query["specific"], entry["body"]))
     )
     return score + F.when((entry["source"] == "user") & (score > 0), 1).otherwise(0)
 
 
 def workflow_score(query: Column, entry: Column) -> Column:
     """Relevance of a workflow ``struct(name, title, description, keywords, source)``."""
-    three = lambda t: F.length(t) >= 3
     score = (
         _keyword_points(query, entry["keywords"])
         + _name_points(query, entry["name"])
-        + F.when(F.exists(query["toks"], lambda t: three(t) & F.contains(entry["title"], t)), 1).otherwise(0)
-        + _token_hits(query, entry["description"], three)
+        + F.when(_any(query["three"], entry["title"]), 1).otherwise(0)
+        + _hits(query["three"], entry["description"])
     )
     return score + F.when((entry["source"] == "user") & (score > 0), 1).otherwise(0)
 
@@ -360,9 +403,9 @@ def reference_score(query: Column, entry: Column) -> Column:
     """
     named = F.size(F.filter(entry["parts"], lambda p: (F.length(p) >= 3) & F.contains(query["q"], p))) * 6
     headed = F.aggregate(
-        entry["headings"], F.lit(0), lambda acc, h: acc + _token_hits(query, h, X.long_enough) * 3
+        entry["headings"], F.lit(0), lambda acc, h: acc + _hits(query["specific"], h) * 3
     )
-    return named + headed + _token_hits(query, entry["opening"], X.long_enough)
+    return named + headed + _hits(query["specific"], entry["opening"])
 
 
 def reference_fields(refs: DataFrame, name_col: str = "ref_name", text_col: str = "text", id_col: str = "ref_id") -> DataFrame:
@@ -405,16 +448,26 @@ def field_topk(
     in blocks beyond that), so pairs below ``min_score`` never leave the row.
     """
     asked = _query_terms(queries, query_id, query_col)
-    row = F.struct("q", "toks")
+    texts = [c for c in catalog.columns if c != "source" and dict(catalog.dtypes)[c] in ("string", "array<string>")]
+    entries = catalog.withColumn("__all", F.concat_ws("\n", *texts))
+    # Only the query's tokens that occur anywhere in the entry go on to the fields.
+    met = lambda name, e: F.filter(name, lambda t: F.contains(e["__all"], t)).alias(name)
+    pairs = F.transform(
+        "__entries",
+        lambda e: F.struct(
+            e.alias("e"),
+            F.struct(F.col("q"), met("two", e), met("three", e), met("specific", e)).alias("q"),
+        ),
+    )
     # Keep the k best of each block inside the row before anything is shuffled.
     scored = F.filter(
         F.transform(
-            "__entries", lambda e: F.struct((-score(row, e)).alias("minus"), e[entry_id].alias("id"))
+            pairs, lambda p: F.struct((-score(p["q"], p["e"])).alias("minus"), p["e"][entry_id].alias("id"))
         ),
         lambda s: s["minus"] <= -min_score,
     )
     exploded = (
-        with_rows(asked, catalog, "__entries", entry_id, max_rows)
+        with_rows(asked, entries, "__entries", entry_id, max_rows)
         .select(query_id, F.explode(F.slice(F.array_sort(scored), 1, k)).alias("s"))
         .select(query_id, F.col("s.id").alias(entry_id), (-F.col("s.minus")).cast("long").alias("score"))
     )

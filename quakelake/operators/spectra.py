@@ -24,12 +24,14 @@ def _per_segment(df: DataFrame, keys: Sequence[str], kernel: Callable[[np.ndarra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                got = kernel(np.asarray(row.data, dtype=float), float(row.sampling_rate))
-                if not got:
-                    continue
-                n = len(got[names[0]])
-                yield pd.DataFrame({**{k: [getattr(row, k)] * n for k in keys}, **{c: got[c] for c in names}})
+            done = [kernel(np.asarray(x, dtype=float), float(r)) for x, r in zip(batch["data"], batch["sampling_rate"])]
+            lengths = np.array([len(got[names[0]]) if got else 0 for got in done])
+            if not lengths.sum():
+                continue
+            columns_of_keys = {k: np.repeat(batch[k].to_numpy(), lengths) for k in keys}
+            yield pd.DataFrame(
+                {**columns_of_keys, **{c: np.concatenate([got[c] for got in done if got]) for c in names}}
+            )
 
     return df.select(*keys, "sampling_rate", "data").mapInPandas(run, f"{key_ddl}, {columns}")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quakelake.operators import catalog as C
 from quakelake.operators import profiling
+from quakelake.operators.common import spread
 from quakelake.plans.inputs import CATALOG_SQL, catalog, table
 from quakelake.plans.registry import query, rounded
 
@@ -307,7 +308,7 @@ def nearest_fault(spark, d):
         (100 + (n % 5) * 2.0 + 1.5).alias("lon2"),
         (25 + n / 5.0 + 2.0).alias("lat2"),
     )
-    return rounded(C.nearest_fault(catalog(spark, d), segments), 6, "fault_km")
+    return rounded(C.nearest_fault(spread(catalog(spark, d), "event_id"), segments), 6, "fault_km")
 
 
 _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l_partkey", "l_linenumber"]

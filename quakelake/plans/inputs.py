@@ -8,12 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelake.operators.common import with_position
 from quakelake.functions.times import micros
+from quakelake.operators.common import spread, with_position
+
+# Tables whose rows are costly to process, with the key that spreads them over the cores.
+HEAVY_ROWS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, HEAVY_ROWS[name]) if name in HEAVY_ROWS else df
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
