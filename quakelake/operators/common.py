@@ -30,6 +30,18 @@ def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def exploded(df: DataFrame, keep: Sequence[Column | str], array: Column, value: str, position: str | None = None) -> DataFrame:
+    """One row per element of a costly array expression, empty and NULL arrays giving none.
+
+    A plain explode makes the optimizer test ``size(array) > 0`` below it, which works the array
+    out again (several times, and before any repartitioning); the outer form does not.
+    """
+    if position is None:
+        return df.select(*keep, F.explode_outer(array).alias(value)).filter(F.col(value).isNotNull())
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, value)).filter(F.col(position).isNotNull())
+    return rows.withColumn(position, F.col(position).cast("long"))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread an input of fewer files than cores by its key before per-row work that costs much.
 

@@ -15,15 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakelake.functions import text as X
-from quakelake.operators.common import top_k
+from quakelake.operators.common import exploded, top_k
 
 # --- sections -----------------------------------------------------------------------------------
 
 
 def _explode_sections(df: DataFrame, sections: Column, id_col: str) -> DataFrame:
-    return df.select(id_col, F.posexplode(sections).alias("page", "text")).withColumn(
-        "page", F.col("page").cast("long")
-    )
+    return exploded(df, [id_col], sections, "text", "page")
 
 
 def markdown_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,9 +35,9 @@ def text_pages(
 
 
 def paper_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return df.select(id_col, F.posexplode(X.paper_sections(F.col(text_col))).alias("section", "s")).select(
+    return exploded(df, [id_col], X.paper_sections(F.col(text_col)), "s", "section").select(
         id_col,
-        F.col("section").cast("long").alias("section"),
+        "section",
         "s.title",
         "s.content",
         F.col("s.level").cast("long").alias("level"),
@@ -163,14 +161,14 @@ def chunk_sections(
 
     ``chunk_no`` counts the chunks kept within the section.
     """
-    found = sections.select(
-        id_col, "page", F.posexplode(X.chunks(F.col("text"), size, overlap)).alias("chunk_no", "text")
+    found = exploded(
+        sections.withColumnRenamed("text", "__text"), [id_col, "page"], X.chunks(F.col("__text"), size, overlap), "text", "chunk_no"
     )
     return found.select(
         F.concat_ws("_", F.col(id_col).cast("string"), F.col("page").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"),
         id_col,
         "page",
-        F.col("chunk_no").cast("long").alias("chunk_no"),
+        "chunk_no",
         "text",
     )
 
@@ -244,12 +242,8 @@ def keywords(
     order of first appearance.
     """
     used = chunks if n_chunks is None else _first_chunks(chunks, id_col, n_chunks)
-    found = used.select(
-        id_col,
-        "page",
-        "chunk_no",
-        F.posexplode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{4,}"), 0)).alias("pos", "w"),
-    )
+    long_words = F.regexp_extract_all("text", F.lit(r"[A-Za-z]{4,}"), 0)
+    found = exploded(used, [id_col, "page", "chunk_no"], long_words, "w", "pos")
     counted = found.groupBy(id_col, F.lower("w").alias("word")).agg(
         F.count("*").alias("n"), F.min(F.struct("page", "chunk_no", "pos")).alias("first")
     )
@@ -281,11 +275,11 @@ def grep(
     """Lines matching a case-insensitive pattern, with 1-based line numbers, in path order."""
     re.compile(pattern)
     found = (
-        df.select(path_col, F.posexplode(X.lines(F.col(text_col))).alias("at", "line_text"))
+        exploded(df, [path_col], X.lines(F.col(text_col)), "line_text", "at")
         .filter(F.col("line_text").rlike("(?iU)" + pattern))
         .select(
             path_col,
-            (F.col("at") + 1).cast("long").alias("line"),
+            (F.col("at") + 1).alias("line"),
             X.head(X.strip(F.col("line_text")), width).alias("content"),
         )
     )

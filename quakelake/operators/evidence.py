@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakelake.functions import text as X
-from quakelake.operators.common import small_side
+from quakelake.operators.common import exploded, small_side
 
 # Fields of an evidence record in model output and their defaults.
 PAPER_FIELDS = {
@@ -57,12 +57,13 @@ def read_paper_output(df: DataFrame, raw: str = "raw", parent: str = "chunk_id",
 def read_tool_output(df: DataFrame, raw: str = "raw", parent: str = "call_id", shortest: int = 20) -> DataFrame:
     """Evidence records of a JSON list ``[...]`` in each answer; observations under 20 characters dropped."""
     body = F.regexp_extract(F.col(raw), r"(?s)\[.*\]", 0)
-    items = df.select(F.col(parent), F.posexplode(F.from_json(body, f"array<struct<{_ddl(TOOL_FIELDS).replace(' string', ':string')}>>")).alias("item_no", "__j"))
+    listed = F.from_json(body, "array<struct<" + ", ".join(f"{n}:string" for n in TOOL_FIELDS) + ">>")
+    items = exploded(df, [F.col(parent)], listed, "__j", "item_no")
     cols = {n: F.coalesce(F.col(f"__j.{n}"), F.lit(v)) for n, v in TOOL_FIELDS.items()}
     obs = X.strip(cols["observation"])
     return items.filter(F.length(obs) >= shortest).select(
         F.col(parent),
-        F.col("item_no").cast("long").alias("item_no"),
+        "item_no",
         evidence_id(F.col(parent).cast("string"), obs).alias("evidence_id"),
         obs.alias("observation"),
         *[c.alias(n) for n, c in cols.items() if n != "observation"],

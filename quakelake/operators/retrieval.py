@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelake.functions import text as X
-from quakelake.operators.common import small_side, top_k, with_rows
+from quakelake.operators.common import exploded, small_side, top_k, with_rows
 
 #: Scores are compared at this many decimals, so that equal texts tie whatever the summation order.
 SCORE_PLACES = 9
@@ -19,33 +19,39 @@ SCORE_PLACES = 9
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, n_tokens, term, tf``: how often each term occurs in each document."""
-    tokens = docs.select(id_col, X.tokens(F.col(text_col)).alias("t"))
-    return (
-        tokens.select(id_col, F.size("t").alias("n_tokens"), F.explode("t").alias("term"))
-        .groupBy(id_col, "n_tokens", "term")
-        .agg(F.count("*").alias("tf"))
+    """``<id>, n_tokens, term, tf``: how often each term occurs in each document.
+
+    Terms are counted inside the row, by sorting its tokens, so that no (document, term) pair is
+    shuffled for counting.
+    """
+    ordered = docs.select(id_col, F.sort_array(X.tokens(F.col(text_col))).alias("__t")).withColumn(
+        "__b", X.run_starts(F.col("__t"))
     )
+    rows = exploded(
+        ordered, [id_col, F.size("__t").alias("n_tokens")], X.run_lengths(F.col("__t"), F.col("__b")), "__r"
+    )
+    return rows.select(id_col, "n_tokens", F.col("__r.item").alias("term"), F.col("__r.n").alias("tf"))
 
 
 def inverse_document_frequency(counts: DataFrame, docs: DataFrame) -> DataFrame:
     """``term, df, idf`` with idf = ln(N / df), unsmoothed."""
-    # Counting rows with tf > 0 keeps the aggregate below identical in both its uses, so that its
-    # shuffle is written once.
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    return counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).withColumn(
+    return counts.groupBy("term").agg(F.count("*").alias("df")).withColumn(
         "idf", F.log(n_docs.cast("double") / F.col("df"))
     )
 
 
-def tfidf_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tfidf_weights(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", idf: DataFrame | None = None
+) -> DataFrame:
     """Length-normalised sparse TF-IDF vectors: ``<id>, term, tf, df, idf, weight``.
 
-    A document whose terms all occur everywhere keeps zero weights.
+    A document whose terms all occur everywhere keeps zero weights. Common terms make hot join
+    keys; they are split by the adaptive skew join.
     """
     counts = term_counts(docs, id_col, text_col)
-    idf = inverse_document_frequency(counts, docs)
-    raw = counts.join(idf, "term").withColumn("__w", F.col("tf") / F.col("n_tokens") * F.col("idf"))
+    idf = inverse_document_frequency(counts, docs) if idf is None else idf
+    raw = counts.join(idf.hint("merge"), "term").withColumn("__w", F.col("tf") / F.col("n_tokens") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(id_col)))
     return raw.withColumn("__len", length).select(
         id_col,
@@ -72,21 +78,25 @@ def tfidf_search(
     Documents sharing no weighted term with the query are eligible at score 0, as many as needed
     to fill ``k``.
     """
-    stored = (weights if weights is not None else tfidf_weights(docs, id_col, text_col)).select(
-        id_col, "term", "idf", "weight"
-    ).filter(F.col("weight") > 0)
+    if weights is None:
+        idf = inverse_document_frequency(term_counts(docs, id_col, text_col), docs)
+        weights = tfidf_weights(docs, id_col, text_col, idf)
+        terms = idf.select("term", "idf")
+    else:
+        terms = weights.groupBy("term").agg(F.max("idf").alias("idf"))
+    stored = weights.select(id_col, "term", "idf", "weight").filter(F.col("weight") > 0)
     asked = (
-        queries.select(query_id, F.explode(X.tokens(F.col(query_col))).alias("term"))
+        exploded(queries, [query_id], X.tokens(F.col(query_col)), "term")
         .groupBy(query_id, "term")
         .agg(F.count("*").alias("qtf"))
     )
+    asked = small_side(asked)
     hits = (
-        stored.join(small_side(asked), "term")
+        stored.join(asked, "term")
         .withColumn("__q", F.col("qtf") * F.col("idf"))
         .groupBy(query_id, id_col)
         .agg(F.sum(F.col("__q") * F.col("weight")).alias("__dot"))
     )
-    terms = stored.groupBy("term").agg(F.max("idf").alias("idf"))
     lengths = (
         asked.join(terms, "term")
         .groupBy(query_id)
@@ -252,13 +262,15 @@ def hashed_vectors(
 
     Sparse rows ``<id>, component, weight``; documents without tokens have none.
     """
-    token = F.explode(X.tokens(F.col(text_col)))
-    slot = F.pmod(F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long"), F.lit(dim))
-    counted = (
-        docs.select(id_col, token.alias("t")).groupBy(id_col, slot.alias("component")).agg(F.count("*").alias("n"))
+    slots = F.transform(
+        X.tokens(F.col(text_col)), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim))
+    )
+    ordered = docs.select(id_col, F.sort_array(slots).alias("__s")).withColumn("__b", X.run_starts(F.col("__s")))
+    runs = ordered.select(id_col, X.run_lengths(F.col("__s"), F.col("__b")).alias("__r"))
+    length = F.sqrt(F.aggregate("__r", F.lit(0).cast("long"), lambda acc, r: acc + r["n"] * r["n"]))
+    return exploded(runs, [id_col, length.alias("__len")], F.col("__r"), "__c").select(
+        id_col, F.col("__c.item").alias("component"), (F.col("__c.n") / F.col("__len")).alias("weight")
     )
-    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id_col)))
-    return counted.select(id_col, "component", (F.col("n") / length).alias("weight"))
 
 
 def mean_pool(tokens: DataFrame, id_col: str = "doc_id", vec_col: str = "vector", mask_col: str = "mask") -> DataFrame:
@@ -300,9 +312,9 @@ def overlap_topk(
     if len(rows) <= max_queries:
         scored = _overlap_scan(held, [r[0] for r in rows], [r[1] for r in rows], queries.schema[query_id].dataType.simpleString(), query_id, id_col, k)
     else:
-        words = asked.select(query_id, F.size("w").alias("__n"), F.explode("w").alias("word"))
+        words = exploded(asked, [query_id, F.size("w").alias("__n")], F.col("w"), "word")
         scored = (
-            held.select(id_col, F.explode("__w").alias("word"))
+            exploded(held, [id_col], F.col("__w"), "word")
             .join(words, "word")
             .groupBy(query_id, id_col, "__n")
             .agg(F.count("*").alias("shared"))
@@ -341,14 +353,10 @@ def _overlap_scan(held: DataFrame, query_ids: list, words: list, q_type: str, qu
 
 
 def _query_terms(queries: DataFrame, query_id: str, query_col: str) -> DataFrame:
-    """Lower-case query and its distinct tokens by length rule, worked out once per query."""
+    """Lower-case query and its distinct tokens of two characters or more."""
     toks = F.array_distinct(X.fine_tokens(F.col(query_col)))
-    return queries.select(F.col(query_id), F.lower(query_col).alias("q"), toks.alias("__t")).select(
-        query_id,
-        "q",
-        F.filter("__t", lambda t: F.length(t) >= 2).alias("two"),
-        F.filter("__t", lambda t: F.length(t) >= 3).alias("three"),
-        F.filter("__t", X.long_enough).alias("specific"),
+    return queries.select(
+        F.col(query_id), F.lower(query_col).alias("q"), F.filter(toks, lambda t: F.length(t) >= 2).alias("two")
     )
 
 
@@ -451,12 +459,20 @@ def field_topk(
     texts = [c for c in catalog.columns if c != "source" and dict(catalog.dtypes)[c] in ("string", "array<string>")]
     entries = catalog.withColumn("__all", F.concat_ws("\n", *texts))
     # Only the query's tokens that occur anywhere in the entry go on to the fields.
-    met = lambda name, e: F.filter(name, lambda t: F.contains(e["__all"], t)).alias(name)
-    pairs = F.transform(
+    met = F.transform(
         "__entries",
-        lambda e: F.struct(
-            e.alias("e"),
-            F.struct(F.col("q"), met("two", e), met("three", e), met("specific", e)).alias("q"),
+        lambda e: F.struct(e.alias("e"), F.filter("two", lambda t: F.contains(e["__all"], t)).alias("two")),
+    )
+    pairs = F.transform(
+        met,
+        lambda m: F.struct(
+            m["e"].alias("e"),
+            F.struct(
+                F.col("q").alias("q"),
+                m["two"].alias("two"),
+                F.filter(m["two"], lambda t: F.length(t) >= 3).alias("three"),
+                F.filter(m["two"], X.long_enough).alias("specific"),
+            ).alias("q"),
         ),
     )
     # Keep the k best of each block inside the row before anything is shuffled.
@@ -466,12 +482,10 @@ def field_topk(
         ),
         lambda s: s["minus"] <= -min_score,
     )
-    exploded = (
-        with_rows(asked, entries, "__entries", entry_id, max_rows)
-        .select(query_id, F.explode(F.slice(F.array_sort(scored), 1, k)).alias("s"))
-        .select(query_id, F.col("s.id").alias(entry_id), (-F.col("s.minus")).cast("long").alias("score"))
-    )
-    return top_k(exploded, [query_id], [F.desc("score"), F.asc(entry_id)], k).select(
+    best = exploded(
+        with_rows(asked, entries, "__entries", entry_id, max_rows), [query_id], F.slice(F.array_sort(scored), 1, k), "s"
+    ).select(query_id, F.col("s.id").alias(entry_id), (-F.col("s.minus")).cast("long").alias("score"))
+    return top_k(best, [query_id], [F.desc("score"), F.asc(entry_id)], k).select(
         query_id, "rank", entry_id, "score"
     )
 
