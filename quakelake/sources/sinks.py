@@ -28,7 +28,7 @@ def write_polarity(decided: DataFrame, path: str) -> None:
         F.date_format("abs_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Time"),
         F.col("polarity").alias("Polarity"),
         F.format_string("%.3f", "prob").alias("Confidence"),
-    ).write.mode("overwrite").option("header", True).option("comment", "\u0000").csv(path)
+    ).write.mode("overwrite").option("header", True).option("comment", "~").csv(path)
 
 
 # --- versioned stores ---------------------------------------------------------------------------

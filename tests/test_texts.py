@@ -132,7 +132,7 @@ def test_metadata_and_source_kinds(spark):
     "text,paths,stations",
     [
         ("帮我看看/data/seis/目录中的文件", ["/data/seis/"], []),
-        ("pick X1.53085 in ./waves/a.sac, now", ["./waves/a.sac"], ["X1.53085"]),
+        ("pick X1.53085 in ./waves/a.sac, now", ["./waves/a.sac"], ["X1.53085", "A.SAC"]),
         ("台站XJ.KAS01拾取", [], ["XJ.KAS01"]),
         ("no mention", [], []),
     ],
