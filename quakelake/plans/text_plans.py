@@ -154,7 +154,26 @@ def chunk_numbers(spark, d):
     return document_chunks(spark, d).select("chunk_id", X.chunk_number(F.col("chunk_id")).alias("number"))
 
 
-@query("sliding_chunks")
+_RFIND = "length(w) - CASE WHEN strpos(reverse(w), '{0}') = 0 THEN length(w) + 1 ELSE strpos(reverse(w), '{0}') END"
+
+
+@query(
+    "sliding_chunks",
+    f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\x0B\\x0C\\x1C-\\x1F\\x{{85}}\\x{{A0}}]+', ' ', 'g') AS flat FROM documents),
+s AS (SELECT doc_id, flat, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS pos, substring(flat, 1, 500) AS w FROM t WHERE length(flat) > 0
+  UNION ALL
+  SELECT doc_id, flat, step + 1, stop - 50, substring(flat, stop - 50 + 1, 500) FROM (
+    SELECT *, CASE WHEN pos + 500 >= length(flat) THEN pos + 500
+      WHEN greatest({_RFIND.format('.')}, {_RFIND.format('!')}, {_RFIND.format('?')}) > length(w) // 2
+        THEN pos + greatest({_RFIND.format('.')}, {_RFIND.format('!')}, {_RFIND.format('?')}) + 1
+      WHEN {_RFIND.format(' ')} > length(w) // 2 THEN pos + {_RFIND.format(' ')} ELSE pos + 500 END AS stop FROM s)
+  WHERE stop - 50 < length(flat) AND length(flat) - (stop - 50) >= 50),
+c AS (SELECT doc_id, step, trim(CASE WHEN pos + 500 >= length(flat) THEN w
+      WHEN greatest({_RFIND.format('.')}, {_RFIND.format('!')}, {_RFIND.format('?')}) > length(w) // 2
+        THEN substring(w, 1, greatest({_RFIND.format('.')}, {_RFIND.format('!')}, {_RFIND.format('?')}) + 1)
+      WHEN {_RFIND.format(' ')} > length(w) // 2 THEN substring(w, 1, {_RFIND.format(' ')}) ELSE w END, {_SPACE}) AS text FROM s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS chunk_no, text FROM c WHERE length(text) > 20""",
+)
 def sliding_chunks(spark, d):
     return D.sliding_chunks(table(spark, d, "documents"))
 
@@ -678,3 +697,66 @@ def evidence_points(spark, d):
         F.when(i % 4 != 0, F.col("event_type")).alias("source_type"),
     )
     return E.evidence_points(ev).select("event_id", "longitude", "latitude", "source_type")
+
+
+@query(
+    "evidence_source_chunks",
+    """WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
+SELECT conv_id, string_agg('[c' || conv_id || ' p' || turn || ']' || chr(10) || substring(text, 1, 600), chr(10) || chr(10) ORDER BY turn) AS source_text
+FROM r WHERE r <= 6 GROUP BY conv_id HAVING length(trim(source_text, ' ' || chr(10) || chr(9))) >= 40""",
+)
+def evidence_source_chunks(spark, d):
+    """A conversation's messages as the chunks of one tool output."""
+    chunk = F.struct(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_name"), F.col("turn").alias("page"), F.col("text").alias("text")
+    )
+    outputs = (
+        table(spark, d, "conversations")
+        .groupBy("conv_id")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", chunk.alias("c")))), lambda x: x["c"]).alias("chunks"))
+        .withColumn("kind", F.lit("chunks"))
+    )
+    return E.source_text(outputs).select("conv_id", "source_text")
+
+
+@query(
+    "reader_output",
+    """SELECT conv_id, turn, substring(md5(CAST(turn AS VARCHAR) || ':' || role || ' said ' || length(text)), 1, 10) AS evidence_id,
+  role || ' said ' || length(text) AS observation FROM conversations""",
+)
+def reader_output(spark, d):
+    """A user-supplied reader run over the messages, its answers read as evidence."""
+
+    def reader(batch):
+        return batch.apply(lambda r: '{"observation": "%s said %d"}' % (r["role"], len(r["text"])), axis=1)
+
+    answers = E.read_with(table(spark, d, "conversations"), reader)
+    # Parsed per message; the conversation number rides in the key.
+    keyed = answers.withColumn("chunk_id", F.col("turn")).withColumn("key", F.struct("conv_id", "turn"))
+    got = E.read_paper_output(keyed.select("key", "chunk_id", "raw"), "raw", "key")
+    return got.select(
+        "key.conv_id", "key.turn", E.evidence_id(F.col("key.turn").cast("string"), F.col("observation")).alias("evidence_id"), "observation"
+    )
+
+
+@query(
+    "file_metadata",
+    f"""SELECT path, CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt' END AS ext, octet_length(encode(text)) AS size,
+  len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END AS n_lines
+FROM (SELECT doc_id, text, source || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.exe' WHEN doc_id % 2 = 0 THEN '.md' ELSE '.txt' END AS path FROM documents) WHERE doc_id % 3 <> 0""",
+)
+def file_metadata(spark, d):
+    """Size, extension and line count of the documents with an allowed extension."""
+    from quakelake.operators.index import extension
+    from quakelake.sources.files import allowed
+
+    i = F.col("doc_id")
+    ext = F.when(i % 3 == 0, ".exe").when(i % 2 == 0, ".MD").otherwise(".txt")
+    docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), i.cast("string"), ext).alias("path"), "text")
+    kept = allowed(docs, [".txt", ".md"])
+    return kept.select(
+        F.replace("path", F.lit(".MD"), F.lit(".md")).alias("path"),
+        extension(F.col("path")).alias("ext"),
+        F.octet_length("text").cast("long").alias("size"),
+        F.size(X.lines(F.col("text"))).cast("long").alias("n_lines"),
+    )

@@ -287,9 +287,24 @@ def station_average(spark, d):
     return rounded(S.station_average(rows, values=["ml"]), 6, "ml_mean", "ml_std")
 
 
-@query("spectrogram")
+# Windows of 32 samples every 4, padded to 256 points.
+@query(
+    "spectrogram",
+    _SMP
+    + f""", {_SEG_SQL},
+c AS (SELECT trace_id, segment, j, n, v - avg(v) OVER (PARTITION BY trace_id, segment) AS x FROM seg WHERE n >= 32),
+fr AS (SELECT trace_id, segment, f * 4 AS s FROM (SELECT trace_id, segment, unnest(range(0, (n - 32) // 4 + 1)) AS f FROM (SELECT DISTINCT trace_id, segment, n FROM c))),
+w AS (SELECT fr.trace_id, fr.segment, fr.s, j - fr.s AS m, x * (0.5e0 - 0.5e0 * cos(2 * pi() * (j - fr.s) / 31)) AS y
+      FROM fr JOIN c ON c.trace_id = fr.trace_id AND c.segment = fr.segment AND c.j >= fr.s AND c.j < fr.s + 32),
+h AS (SELECT sum(pow(0.5e0 - 0.5e0 * cos(2 * pi() * m / 31), 2)) AS w2 FROM (SELECT unnest(range(32)) AS m)),
+k AS (SELECT unnest(range(1, 129)) AS k)
+SELECT w.trace_id, w.segment, (s + 16) / 100e0 AS t, k * 100e0 / 256 AS freq,
+  round((pow(sum(y * cos(2 * pi() * k * m / 256)), 2) + pow(sum(y * sin(2 * pi() * k * m / 256)), 2)) / (100e0 * any_value(w2)) * CASE WHEN k = 128 THEN 1 ELSE 2 END, 6) AS power
+FROM w, h, k GROUP BY w.trace_id, w.segment, s, k""",
+)
 def spectrogram(spark, d):
-    return S.spectrogram(trace_segments(spark, d), seconds=0.32)
+    got = S.spectrogram(trace_segments(spark, d), seconds=0.32, decibel=False)
+    return got.withColumn("power", F.round(F.col("power") * F.col("power"), 6))
 
 
 @query("bandpass")
@@ -394,7 +409,11 @@ def polarity_windows(spark, d):
     )
 
 
-@query("scored_windows")
+@query(
+    "scored_windows",
+    """WITH s AS (SELECT label, list_sum(CAST(embedding AS DOUBLE[])) AS s FROM embeddings)
+SELECT label, count(*) AS n, count(*) FILTER (WHERE s >= 0.1) AS n_up, count(*) FILTER (WHERE -s >= 0.1) AS n_down, count(*) FILTER (WHERE abs(s) < 0.1) AS n_uncertain FROM s GROUP BY label""",
+)
 def scored_windows(spark, d):
     """A user-supplied scorer over message-length windows, then the decision and tally."""
     rows = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("window"))
@@ -466,17 +485,28 @@ def component_choice(spark, d):
     return K.component_choice(_channel_rows(spark, d), ["station"])
 
 
-@query("aligned_components")
+@query(
+    "aligned_components",
+    f"""WITH {_COMP_SQL}, n AS (SELECT station, count(*) FILTER (WHERE component = 'E') AS ne, count(*) FILTER (WHERE component = 'N') AS nn, count(*) FILTER (WHERE component = 'Z') AS nz
+   FROM cmp WHERE i < 4096 GROUP BY station),
+e AS (SELECT station, least(3 + ne, 2 + nn, nz) - 1 AS last FROM n WHERE ne > 0 AND nn > 0 AND nz > 0)
+SELECT e.station, TIMESTAMP '2024-01-01 00:00:00.03' AS starttime, last - 2 AS n, round(sum(v), 6) AS z_sum
+FROM e JOIN cmp ON cmp.station = e.station AND component = 'Z' AND i BETWEEN 3 AND last WHERE last > 3 GROUP BY e.station, last""",
+)
 def aligned_components(spark, d):
     """Component traces of different starts cut to the common span."""
-    seg = W.segments(component_samples(spark, d), ["station", "component"], 4096).filter("segment = 0")
+    three = component_samples(spark, d).filter(F.col("component").isin("E", "N", "Z"))
+    seg = W.segments(three, ["station", "component"], 4096).filter("segment = 0")
     start = F.lit("2024-01-01").cast("timestamp")
     shift = F.when(F.col("component") == "Z", 0).when(F.col("component") == "N", 20_000).otherwise(30_000)
     traces = seg.withColumn("channel", F.concat(F.lit("BH"), "component")).withColumn(
         "trace_no", F.xxhash64("station", "component")
     ).withColumn("starttime", F.timestamp_micros(F.unix_micros(start) + shift)).withColumn("sampling_rate", F.lit(100.0))
     got = K.align_components(traces, ["station"])
-    return got.select("station", "starttime", F.size("data").cast("long").alias("n"), F.aggregate("data", F.lit(0.0), lambda a, s: a + s["z"]).alias("z_sum"))
+    total = F.aggregate("data", F.lit(0.0), lambda a, s: a + s["z"])
+    return got.select(
+        "station", F.col("starttime").cast("timestamp_ntz").alias("starttime"), F.size("data").cast("long").alias("n"), F.round(total, 6).alias("z_sum")
+    )
 
 
 @query(
@@ -793,3 +823,25 @@ def differential_time_lines(spark, d):
         (F.col("ev1") % 100 / 8.0).alias("tp1"), (F.col("ev2") % 100 / 8.0).alias("tp2"), F.lit(1.0).alias("weight"),
     )
     return sinks.differential_time_lines(pairs)
+
+
+@query(
+    "phase_lines",
+    f"""WITH {PICKS_SQL} SELECT pick_id AS event_id, printf('%-8s %-3s %s %6.3f', station, phase, strftime(abs_time, '%Y-%m-%d %H:%M:%S.%f'), confidence * 500 / 997) AS value FROM pick""",
+)
+def phase_lines(spark, d):
+    """Weights are scaled so that none lies halfway between two thousandths, where printing rules differ."""
+    rows = picks(spark, d).withColumn("event_id", F.col("pick_id")).withColumn("confidence", F.col("confidence") * 500 / 997)
+    return sinks.phase_lines(rows)
+
+
+@query(
+    "polarity_input_lines",
+    """WITH p AS (SELECT 'S' || user_id AS station, value / 1000 AS up, 0.6e0 - value / 1000 AS down FROM events)
+SELECT printf('%-8s %s', station, CASE WHEN up >= down THEN 'U' ELSE 'D' END) AS value FROM p WHERE greatest(up, down) >= 0.35""",
+)
+def polarity_input_lines(spark, d):
+    rows = table(spark, d, "events").select(
+        F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("station"), F.array(F.col("value") / 1000, F.lit(0.6) - F.col("value") / 1000).alias("probs")
+    )
+    return sinks.polarity_input_lines(K.decide_polarity(rows, 0.35))

@@ -137,7 +137,9 @@ def index_documents(
         fresh = (
             batch.select("doc_id", "text")
             .join(known.select("doc_id"), "doc_id", "left_anti")
-            .dropDuplicates(["doc_id"])
+            # The smallest of several texts of one id: the same one whenever the batch is run.
+            .groupBy("doc_id")
+            .agg(F.min("text").alias("text"))
             .withColumn("page", F.lit(0).cast("long"))
         )
         chunk_folder = f"{chunk_path}/batch={number}"
