@@ -6,26 +6,57 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quakelake.functions.times import micros
 
 #: A small side may hold this many rows before another join strategy takes over.
 SMALL_ROWS = 20_000
+#: Bytes a small side may hold, and a side that becomes a constant of the plan.
+SMALL_BYTES = 32 * 1024 * 1024
+LITERAL_BYTES = 4 * 1024 * 1024
 #: Rows one task sorts in an ordered scan.
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 20_000
 
 
+def _fixed_width(df: DataFrame) -> bool:
+    kinds = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return all(isinstance(f.dataType, kinds) for f in df.schema.fields)
+
+
+def measure(df: DataFrame, max_rows: int) -> tuple[int, int]:
+    """Rows and bytes (as JSON) of the first ``max_rows + 1`` rows, measured on the executors."""
+    found = df.limit(max_rows + 1).agg(
+        F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")
+    ).head()
+    return found["n"], found["b"] or 0
+
+
+def collect_small(df: DataFrame, max_rows: int, max_bytes: int = SMALL_BYTES) -> list[Row] | None:
+    """The rows of a table proven small in rows and bytes, else None.
+
+    Tables with texts or arrays are measured before any row reaches the driver; rows of numbers
+    need only the row limit.
+    """
+    if not _fixed_width(df):
+        n, size = measure(df, max_rows)
+        if n > max_rows or size > max_bytes:
+            return None
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
 def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Mark a join side for broadcast if it is proven small, else hand it back unmarked.
 
-    At most ``max_rows + 1`` rows reach the driver. A side within the bound becomes a local table
-    of known size, so the work behind it is not run again by the join.
+    A side within the bounds becomes a local table, so the work behind it is not run again by the
+    join.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = collect_small(df, max_rows)
+    if rows is None:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
@@ -81,8 +112,8 @@ def attach(df: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFr
 
 def literal_rows(df: DataFrame, max_rows: int) -> Column | None:
     """The rows of a small table as one constant array column, or None when it is larger."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = collect_small(df, max_rows, LITERAL_BYTES)
+    if rows is None:
         return None
     text = json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False)
     return F.from_json(F.lit(text), f"array<{df.schema.simpleString()}>")
@@ -91,14 +122,16 @@ def literal_rows(df: DataFrame, max_rows: int) -> Column | None:
 def with_rows(big: DataFrame, small: DataFrame, name: str, key: str, max_rows: int = 2_000) -> DataFrame:
     """Give each row of ``big`` the rows of ``small`` as an array column, block by block.
 
-    Up to ``max_rows`` the array is a plan constant and nothing moves. Beyond that ``small`` is cut
-    into blocks of about that many rows by the hash of its unique ``key``; ``big`` then has one row
-    per block, joined on the block number, and the caller reduces over the blocks.
+    While ``small`` has at most ``max_rows`` rows and few bytes the array is a plan constant and
+    nothing moves. Beyond that it is cut into blocks of about that size by the hash of its unique
+    ``key``; ``big`` then has one row per block, joined on the block number, and the caller reduces
+    over the blocks.
     """
     constant = literal_rows(small, max_rows)
     if constant is not None:
         return big.withColumn(name, constant)
-    n_blocks = -(-small.count() // max_rows)
+    n, size = small.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()
+    n_blocks = max(-(-n // max_rows), -(-(size or 0) // LITERAL_BYTES))
     blocks = (
         small.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))
         .groupBy("__block")

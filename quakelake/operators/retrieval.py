@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelake.functions import text as X
-from quakelake.operators.common import exploded, small_side, top_k, with_rows
+from quakelake.operators.common import collect_small, exploded, small_side, top_k, with_rows
 
 #: Scores are compared at this many decimals, so that equal texts tie whatever the summation order.
 SCORE_PLACES = 9
@@ -308,8 +308,8 @@ def overlap_topk(
     """
     asked = queries.select(query_id, X.words(F.col(query_col)).alias("w"))
     held = chunks.select(F.col(id_col), X.words(F.col(text_col)).alias("__w"))
-    rows = asked.limit(max_queries + 1).collect()
-    if len(rows) <= max_queries:
+    rows = collect_small(asked, max_queries)
+    if rows is not None:
         scored = _overlap_scan(held, [r[0] for r in rows], [r[1] for r in rows], queries.schema[query_id].dataType.simpleString(), query_id, id_col, k)
     else:
         words = exploded(asked, [query_id, F.size("w").alias("__n")], F.col("w"), "word")

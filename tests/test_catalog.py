@@ -171,3 +171,12 @@ def test_roles_of_free_form_columns(spark):
     exact = profiling.numeric_profile(df).orderBy("column_name").collect()
     rough = profiling.numeric_profile(df, exact=False).orderBy("column_name").collect()
     assert [r["n_unique"] for r in exact] == [r["n_unique"] for r in rough] == [1] * 6
+
+
+def test_small_side_is_measured_in_rows_and_bytes(spark):
+    narrow = spark.range(100)
+    assert len(common.collect_small(narrow, 100)) == 100
+    assert common.collect_small(narrow, 99) is None
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    assert common.collect_small(wide, 10, 5_000) is None
+    assert len(common.collect_small(wide, 10, 50_000)) == 10
