@@ -287,7 +287,7 @@ def reference_score(spark, d):
     return R.field_topk(R.reference_fields(refs), _messages(spark, d), R.reference_score, 3, entry_id="ref_id")
 
 
-_PASSAGES = _TFIDF_SEARCH + """, hit AS (SELECT query_id, rank, rk.doc_id, score, '[Source: ' || source || ', section 1, relevance ' || printf('%.2f', round(score, 4)) || ']' || chr(10) || substring(text, 1, 400) || chr(10) AS entry
+_PASSAGES = _TFIDF_SEARCH + """, hit AS (SELECT query_id, rank, rk.doc_id, score, '[Source: ' || source || ', section 1, relevance ' || printf('%.2f', round(score, 4)) || ']' || chr(10) || text || chr(10) AS entry
    FROM rk JOIN documents d ON d.doc_id = rk.doc_id WHERE rank <= 5),
 run AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM hit)
 """
@@ -296,35 +296,35 @@ run AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY rank)
 def _passages(spark, d):
     docs = table(spark, d, "documents")
     hits = R.tfidf_search(docs, benchmark_queries(spark, d), 5)
-    texts = docs.select("doc_id", "source", X.head(F.col("text"), 400).alias("text"))
+    texts = docs.select("doc_id", "source", "text")
     entry = R.passage(F.col("source"), F.lit(0), F.round("score", 4), F.col("text"))
     return R.with_chunks(hits, texts, "doc_id").select("query_id", "rank", "doc_id", entry.alias("entry"))
 
 
-@query("budget_pack", _PASSAGES + "SELECT query_id, rank, doc_id, entry, CAST(total AS BIGINT) AS total FROM run WHERE total <= 1500")
+@query("budget_pack", _PASSAGES + "SELECT query_id, rank, doc_id, entry, CAST(total AS BIGINT) AS total FROM run WHERE total <= 6000")
 def budget_pack(spark, d):
-    return R.budget_pack(_passages(spark, d), ["query_id"], "rank", "entry", 1500)
+    return R.budget_pack(_passages(spark, d), ["query_id"], "rank", "entry", 6000)
 
 
 @query(
     "budget_pack_cut",
     _PASSAGES
-    + """, c AS (SELECT *, 1500 - (total - length(entry)) - 20 AS left_ FROM run)
-SELECT query_id, rank, doc_id, total > 1500 AS cut, CASE WHEN total <= 1500 THEN entry ELSE substring(entry, 1, CAST(left_ AS BIGINT)) || chr(10) || '…' || chr(10) END AS entry
-FROM c WHERE total <= 1500 OR (total - length(entry) <= 1500 AND left_ > 200)""",
+    + """, c AS (SELECT *, 6000 - (total - length(entry)) - 20 AS left_ FROM run)
+SELECT query_id, rank, doc_id, total > 6000 AS cut, CASE WHEN total <= 6000 THEN entry ELSE substring(entry, 1, CAST(left_ AS BIGINT)) || chr(10) || '…' || chr(10) END AS entry
+FROM c WHERE total <= 6000 OR (total - length(entry) <= 6000 AND left_ > 200)""",
 )
 def budget_pack_cut(spark, d):
-    got = R.budget_pack_cut(_passages(spark, d), ["query_id"], "rank", "entry", 1500)
+    got = R.budget_pack_cut(_passages(spark, d), ["query_id"], "rank", "entry", 6000)
     return got.select("query_id", "rank", "doc_id", "cut", "entry")
 
 
 @query(
     "rag_context",
     _PASSAGES
-    + """SELECT query_id, 'Passages:' || chr(10) || string_agg(entry, chr(10) ORDER BY rank) AS context FROM run WHERE total <= 1500 GROUP BY query_id""",
+    + """SELECT query_id, 'Passages:' || chr(10) || string_agg(entry, chr(10) ORDER BY rank) AS context FROM run WHERE total <= 6000 GROUP BY query_id""",
 )
 def rag_context(spark, d):
-    packed = R.budget_pack(_passages(spark, d), ["query_id"], "rank", "entry", 1500)
+    packed = R.budget_pack(_passages(spark, d), ["query_id"], "rank", "entry", 6000)
     return R.joined_context(packed, ["query_id"], "rank", "entry", "Passages:\n")
 
 

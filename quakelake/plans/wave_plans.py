@@ -385,7 +385,7 @@ def polarity_tally(spark, d):
 @query(
     "polarity_windows",
     """WITH s AS (SELECT o_custkey % 10 AS station, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) - 1 AS i, o_totalprice AS v FROM orders),
-n AS (SELECT station, count(*) AS n FROM s GROUP BY station),
+n AS (SELECT station, least(count(*), 65536) AS n FROM s GROUP BY station),
 p AS (SELECT event_id, user_id % 10 AS station, (event_id % 1700) / 100e0 AS rel, CAST(floor((event_id % 1700) / 100e0 * 100e0) AS BIGINT) AS i FROM events),
 w AS (SELECT p.event_id, p.station, p.i, n.n, p.i >= 512 AND p.i <= n.n - 512 AS ok FROM p JOIN n ON n.station = p.station),
 c AS (SELECT station, i, sum(v) OVER (PARTITION BY station ORDER BY i) AS c FROM s)
@@ -399,9 +399,10 @@ def polarity_windows(spark, d):
 
     orders = table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("station"), "o_orderkey", F.col("o_totalprice").alias("v"))
     smp = with_position(orders, ["station"], F.col("o_orderkey"), name="i").select("station", (F.col("i") - 1).alias("i"), "v")
-    traces = W.segments(smp, ["station"]).filter("segment = 0").withColumn("sampling_rate", F.lit(100.0)).withColumn("file", F.lit("f"))
+    # A long trace is cut into several files; the picks lie in the first.
+    traces = W.segments(smp, ["station"]).withColumn("sampling_rate", F.lit(100.0)).withColumn("file", F.col("segment").cast("string"))
     e = F.col("event_id")
-    pk = table(spark, d, "events").select(e, (F.col("user_id") % 10).alias("station"), ((e % 1700) / F.lit(100.0)).alias("rel_time"), F.lit("f").alias("file"))
+    pk = table(spark, d, "events").select(e, (F.col("user_id") % 10).alias("station"), ((e % 1700) / F.lit(100.0)).alias("rel_time"), F.lit("0").alias("file"))
     got = K.polarity_windows(pk, traces)
     total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x)
     return got.select("event_id", "station", "reason", F.size("window").alias("n_samples"), F.round(total, 2).alias("total")).withColumn(
@@ -487,25 +488,33 @@ def component_choice(spark, d):
 
 @query(
     "aligned_components",
-    f"""WITH {_COMP_SQL}, n AS (SELECT station, count(*) FILTER (WHERE component = 'E') AS ne, count(*) FILTER (WHERE component = 'N') AS nn, count(*) FILTER (WHERE component = 'Z') AS nz
-   FROM cmp WHERE i < 4096 GROUP BY station),
-e AS (SELECT station, least(3 + ne, 2 + nn, nz) - 1 AS last FROM n WHERE ne > 0 AND nn > 0 AND nz > 0)
-SELECT e.station, TIMESTAMP '2024-01-01 00:00:00.03' AS starttime, last - 2 AS n, round(sum(v), 6) AS z_sum
-FROM e JOIN cmp ON cmp.station = e.station AND component = 'Z' AND i BETWEEN 3 AND last WHERE last > 3 GROUP BY e.station, last""",
+    f"""WITH {_COMP_SQL}, c AS (SELECT *, i // 32 AS segment, i % 32 AS j FROM cmp),
+n AS (SELECT station, segment, count(*) FILTER (WHERE component = 'E') AS ne, count(*) FILTER (WHERE component = 'N') AS nn, count(*) FILTER (WHERE component = 'Z') AS nz
+   FROM c GROUP BY station, segment),
+e AS (SELECT station, segment, least(3 + ne, 2 + nn, nz) - 1 AS last FROM n WHERE ne > 0 AND nn > 0 AND nz > 0)
+SELECT e.station, e.segment, make_timestamp(epoch_us(TIMESTAMP '2024-01-01 00:00:00.03') + e.segment * 320000) AS starttime, last - 2 AS n, round(sum(v), 6) AS z_sum
+FROM e JOIN c ON c.station = e.station AND c.segment = e.segment AND component = 'Z' AND j BETWEEN 3 AND last WHERE last > 3 GROUP BY e.station, e.segment, last""",
 )
 def aligned_components(spark, d):
-    """Component traces of different starts cut to the common span."""
+    """Component segments of different starts cut to their common span."""
     three = component_samples(spark, d).filter(F.col("component").isin("E", "N", "Z"))
-    seg = W.segments(three, ["station", "component"], 4096).filter("segment = 0")
-    start = F.lit("2024-01-01").cast("timestamp")
+    seg = W.segments(three, ["station", "component"], 32)
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.col("segment") * 320_000
     shift = F.when(F.col("component") == "Z", 0).when(F.col("component") == "N", 20_000).otherwise(30_000)
-    traces = seg.withColumn("channel", F.concat(F.lit("BH"), "component")).withColumn(
-        "trace_no", F.xxhash64("station", "component")
-    ).withColumn("starttime", F.timestamp_micros(F.unix_micros(start) + shift)).withColumn("sampling_rate", F.lit(100.0))
-    got = K.align_components(traces, ["station"])
+    traces = (
+        seg.withColumn("channel", F.concat(F.lit("BH"), "component"))
+        .withColumn("trace_no", F.xxhash64("station", "segment", "component"))
+        .withColumn("starttime", F.timestamp_micros(start + shift))
+        .withColumn("sampling_rate", F.lit(100.0))
+    )
+    got = K.align_components(traces, ["station", "segment"])
     total = F.aggregate("data", F.lit(0.0), lambda a, s: a + s["z"])
     return got.select(
-        "station", F.col("starttime").cast("timestamp_ntz").alias("starttime"), F.size("data").cast("long").alias("n"), F.round(total, 6).alias("z_sum")
+        "station",
+        "segment",
+        F.col("starttime").cast("timestamp_ntz").alias("starttime"),
+        F.size("data").cast("long").alias("n"),
+        F.round(total, 6).alias("z_sum"),
     )
 
 
