@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quakelake.operators import evidence as E
 from quakelake.plans.inputs import PICKS_SQL
 from quakelake.plans.registry import query
-from quakelake.plans.text_plans import _CHUNKS
+from quakelake.plans.text_plans import _CHUNKS, _EVIDENCE
 from quakelake.streaming import jobs
 
 
@@ -64,3 +65,14 @@ def stream_index(spark, d):
     folder = jobs.work_folder(spark, "index")
     docs = jobs.table_stream(spark, d, "documents.parquet").select("doc_id", "text")
     return jobs.index_documents(docs, f"{folder}/store", folder)[1].drop("batch")
+
+
+@query("stream_evidence", _EVIDENCE + "SELECT obs_key, seq, evidence_id FROM f")
+def stream_evidence(spark, d):
+    folder = jobs.work_folder(spark, "evidence")
+    arriving = jobs.table_stream(spark, d, "documents.parquet").select(
+        F.col("doc_id").alias("seq"),
+        E.evidence_id(F.col("doc_id").cast("string"), F.col("text")).alias("evidence_id"),
+        F.col("text").alias("observation"),
+    )
+    return jobs.merge_evidence(arriving, f"{folder}/store", folder).select("obs_key", "seq", "evidence_id")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakelake.operators import documents as D
-from quakelake.operators.evidence import observation_key
+from quakelake.operators.evidence import new_evidence, observation_key
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -104,6 +104,23 @@ def new_observations(stream: DataFrame, time: str, horizon: str = "30 days") ->
     )
 
 
+def merge_evidence(stream: DataFrame, store: str, folder: str, order: str = "seq") -> DataFrame:
+    """Append arriving evidence whose observation is not in the table yet; returns the table.
+
+    A batch compares itself with the other batches' partitions and overwrites its own, so running
+    it again changes nothing. Unlike :func:`new_observations` nothing is ever forgotten: the table
+    itself is the memory.
+    """
+    path = f"{store}/evidence"
+
+    def handle(batch: DataFrame, number: int) -> None:
+        held = _stored(batch.sparkSession, path, "observation string, batch int").filter(F.col("batch") != number)
+        new_evidence(batch, held, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_batches(stream, folder, handle)
+    return stream.sparkSession.read.parquet(path)
+
+
 # --- indexing -----------------------------------------------------------------------------------
 
 

@@ -178,6 +178,17 @@ def test_index_skips_known_documents_and_records_failures(spark, tmp_path):
     assert sorted(r["doc_id"] for r in chunks.collect()) == [0, 1, 2, 3, 20]
 
 
+def test_evidence_merges_over_restarts(spark, tmp_path):
+    src, store, folder = (str(tmp_path / n) for n in ("in", "store", "run"))
+    schema = "seq long, observation string"
+    spark.createDataFrame([(1, "a" * 90), (2, "b"), (3, "a" * 80 + "x")], schema).write.parquet(src)
+    first = jobs.merge_evidence(jobs.table_stream(spark, src, "*.parquet"), store, folder)
+    assert sorted(r["seq"] for r in first.collect()) == [1, 2]
+    spark.createDataFrame([(4, "b"), (5, "c")], schema).write.mode("append").parquet(src)
+    both = jobs.merge_evidence(jobs.table_stream(spark, src, "*.parquet"), store, folder)
+    assert sorted(r["seq"] for r in both.collect()) == [1, 2, 5]
+
+
 def test_lineage_is_cut_in_the_shared_folder(spark, tmp_path):
     df = spark.range(5).withColumn("x", F.col("id") * 2)
     cut = cut_lineage(df, str(tmp_path / "ck"))
