@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES = [
     "exact_dedup",
     "preference",
+    "topk",
     "url_filter",
     "mixing",
 ]
