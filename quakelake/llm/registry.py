@@ -11,8 +11,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = [
     "exact_dedup",
+    "sentencepiece",
     "preference",
     "topk",
+    "quality",
+    "toxicity",
     "url_filter",
     "mixing",
 ]
