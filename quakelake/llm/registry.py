@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES = [
     "exact_dedup",
     "sentencepiece",
+    "minhash",
     "preference",
     "topk",
     "quality",
