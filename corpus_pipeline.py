@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 
 from quakelake.llm.common import kept_rows, lower_ascii, stored, whole
 from quakelake.llm.exact_dedup import exact_duplicates
+from quakelake.llm.minhash import near_duplicates
 from quakelake.llm.mixing import sampling_plan, taken, words
+from quakelake.llm.sentencepiece import encode_pieces
+from quakelake.llm.toxicity import THRESHOLD, fit_on_tables, score_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity reaches the threshold go."""
+    scored = score_toxicity(docs, fit_on_tables(docs, sf_dir), "__toxicity")
+    return scored.filter(F.col("__toxicity") < THRESHOLD).drop("__toxicity")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +28,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.sha2(lower_ascii(whole("text")), 256)
     found = stored(exact_duplicates(docs.select("doc_id", "text", digest.alias("sha")), carry=["sha"]).filter("group_size > 1"), "copies")
     keys = {"doc_id": F.col("doc_id"), "sha": digest}
-    return kept_rows(docs, found.filter("kept"), found, keys)
+    return kept_rows(docs, found.filter("kept"), found.filter("not kept"), keys, once=True)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share four fifths of their five-word shingles, the smallest id stays."""
+    found = stored(near_duplicates(docs).select("doc_id", "kept"), "near")
+    return kept_rows(docs, found.filter("kept"), found.filter("not kept"), {"doc_id": F.col("doc_id")})
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +50,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids."""
+    return encode_pieces(docs)
+
+
 STAGES = [
+    ("toxicity", toxicity),
     ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
     ("mixing", mixing),
+    ("pieces", tokens),
 ]
 
 #: Scores of trained classifiers cannot be told in SQL; tests hold each stage against plain Python.

@@ -97,8 +97,10 @@ def may_hold(df: DataFrame, bitmap: DataFrame, name: str, *key: Column) -> DataF
     return probed.withColumn(name, test).drop("__bit", "__slot", "__bits")
 
 
-def kept_rows(df: DataFrame, stay: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """The rows of ``df`` whose keys are in ``stay``, each once; ``gone`` holds the keys of dropped rows.
+def kept_rows(df: DataFrame, stay: DataFrame, gone: DataFrame, keys: dict[str, Column], once: bool = False) -> DataFrame:
+    """The rows of ``df`` whose keys are in ``stay``; ``gone`` holds the keys of dropped rows.
+
+    With ``once`` rows whose keys are in both stay once.
 
     Rows that the filter of ``gone`` clears pass without moving; only the others, the dropped ones
     and a few more, meet ``stay`` in a join. ``keys`` gives the key columns of ``stay`` and ``gone``
@@ -109,7 +111,9 @@ def kept_rows(df: DataFrame, stay: DataFrame, gone: DataFrame, keys: dict[str, C
     probe = [F.coalesce(F.col(f"__k_{n}").cast("string"), F.lit("\0")) for n in names]
     held = [F.coalesce(F.col(n).cast("string"), F.lit("\0")) for n in names]
     marked = may_hold(packed, key_filter(gone, *held), "__maybe", *probe)
-    unsure = marked.filter("__maybe").dropDuplicates([f"__k_{n}" for n in names])
+    unsure = marked.filter("__maybe")
+    if once:
+        unsure = unsure.dropDuplicates([f"__k_{n}" for n in names])
     test = None
     for n in names:
         same = F.col(f"__k_{n}").eqNullSafe(F.col(n))

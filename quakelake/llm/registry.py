@@ -14,6 +14,7 @@ MODULES = [
     "sentencepiece",
     "minhash",
     "preference",
+    "brown",
     "topk",
     "quality",
     "toxicity",
