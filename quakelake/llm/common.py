@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -65,6 +67,26 @@ def own_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def add_by_arrow(df: DataFrame, value: Column, name: str, kind: T.DataType, make: Callable) -> DataFrame:
+    """Add the column ``name``, made from ``value`` batch by batch; one of that name is replaced.
+
+    ``make()`` runs once per task and gives a function from an Arrow array to an Arrow array. The
+    other columns pass through under any names.
+    """
+    others = [c for c in df.columns if c != name]
+    base = df.select(*[F.col(f"`{c}`") for c in others], value.alias("__value"))
+    base = base.toDF(*[f"c{i}" for i in range(len(others) + 1)])
+    schema = T.StructType([*base.schema.fields[:-1], T.StructField("made", kind)])
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            columns = [*batch.columns[:-1], work(batch.column(batch.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "made"])
+
+    return base.mapInArrow(run, schema).toDF(*others, name)
+
+
 # --- membership filter --------------------------------------------------------------------------
 
 

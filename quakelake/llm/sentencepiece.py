@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quakelake.llm.common import own_columns, whole
+from quakelake.llm.common import add_by_arrow, own_columns, whole
 from quakelake.llm.registry import query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -276,21 +276,20 @@ def encode_pieces(df: DataFrame, text_col: str = "text", ids_col: str = "piece_i
     named ``ids_col`` is replaced; an empty table gives no rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(model))
-    base = df.drop(ids_col).withColumn("__text", F.encode(whole(f"`{text_col}`"), "UTF-8"))
-    schema = T.StructType(base.schema.fields[:-1] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
 
-    def run(batches):
+    def make():
         encoder = Encoder(shared.value)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            out = [ids for part in _batched(texts) for ids in encoder(part)]
+
+        def work(column):
+            out = [ids for part in _batched(column.to_pylist()) for ids in encoder(part)]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(out), "<i4"), pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            names = [*batch.schema.names[:-1], ids_col]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=names)
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+        return work
 
-    return base.mapInArrow(run, schema)
+    text = F.encode(whole(f"`{text_col}`"), "UTF-8")
+    return add_by_arrow(df, text, ids_col, T.ArrayType(T.IntegerType(), False), make)
 
 
 def decode_pieces(df: DataFrame, ids_col: str = "piece_ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -300,18 +299,12 @@ def decode_pieces(df: DataFrame, ids_col: str = "piece_ids", text_col: str = "de
     Null ids give the empty text; a column already named ``text_col`` is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(model).bytes_of)
-    base = df.drop(text_col)
-    schema = T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType())])
-    place = base.columns.index(ids_col)
 
-    def run(batches):
+    def make():
         table = shared.value
-        for batch in batches:
-            column = batch.column(place)
-            texts = [decode_ids([x for x in v.as_py() or [] if x is not None], table) for v in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+        return lambda column: pa.array([decode_ids([x for x in v.as_py() or [] if x is not None], table) for v in column], pa.string())
 
-    return base.mapInArrow(run, schema)
+    return add_by_arrow(df, F.col(f"`{ids_col}`"), text_col, T.StringType(), make)
 
 
 @query("op2_sentencepiece")

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quakelake.llm.common import own_columns, whole
+from quakelake.llm.common import add_by_arrow, own_columns, whole
 from quakelake.llm.registry import query
 
 #: Confirmed toxic texts and unlabelled texts that the classifier is fitted on at most.
@@ -177,16 +178,11 @@ def score_toxicity(docs: DataFrame, model: Classifier, name: str = "score") -> D
     the base score; texts are read whole; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.withColumn("__bytes", F.encode(whole("text"), "UTF-8"))
-    schema = base.schema.fields[:-1]
 
-    def run(batches):
-        for batch in batches:
-            scores = [shared.value.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], name])
+    def make():
+        return lambda column: pa.array([shared.value.score(t) for t in column.to_pylist()], pa.float64())
 
-    out = docs.schema.__class__([*schema]).add(name, "double")
-    return base.mapInArrow(run, out)
+    return add_by_arrow(docs, F.encode(whole("text"), "UTF-8"), name, T.DoubleType(), make)
 
 
 def held_out(doc_id: Column) -> Column:
