@@ -20,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 FILTER_ROWS = 1024
 FILTER_BITS = FILTER_ROWS * 32768
 
+#: Bytes of a batch of rows on its way to a Python worker.
+BATCH_BYTES = "8m"
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -67,12 +70,18 @@ def own_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker is handed at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def add_by_arrow(df: DataFrame, value: Column, name: str, kind: T.DataType, make: Callable) -> DataFrame:
     """Add the column ``name``, made from ``value`` batch by batch; one of that name is replaced.
 
     ``make()`` runs once per task and gives a function from an Arrow array to an Arrow array. The
-    other columns pass through under any names.
+    other columns pass through under any names. Batches are bounded in bytes, as texts can be long.
     """
+    bounded_batches(df.sparkSession)
     others = [c for c in df.columns if c != name]
     base = df.select(*[F.col(f"`{c}`") for c in others], value.alias("__value"))
     base = base.toDF(*[f"c{i}" for i in range(len(others) + 1)])

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +18,9 @@ from quakelake.llm.registry import query
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes matched at once; one longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Encoded segments that a task remembers.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Segments above this many characters are relaxed one by one.
 LONG = 64
 #: Stand-ins inside a batch for the word mark and for the end of a segment; no UTF-8 text has them.
@@ -40,6 +41,9 @@ class Vocabulary:
     byte_ids: list[int]
     width: int
     splits: bytes
+    low8: np.ndarray
+    high8: np.ndarray
+    last: np.ndarray
 
 
 def load_vocabulary(path: str = MODEL) -> Vocabulary:
@@ -69,14 +73,21 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
         raise ValueError("a piece has a word mark inside")
     normal.sort()
     scores = np.array([s for _, _, s in normal])
+    width = max(len(f) for f, _, _ in normal)
+    if width >= 64 or len(normal) >= 1 << 20:
+        raise ValueError("pieces below 64 bytes and fewer than 2^20 of them are needed")
+    first8 = [f[:8] for f, _, _ in normal]
     return Vocabulary(
+        low8=np.array([int.from_bytes(f.ljust(8, b"\0"), "big") for f in first8], np.uint64),
+        high8=np.array([int.from_bytes(f.ljust(8, b"\xff"), "big") for f in first8], np.uint64),
+        last=np.array([f.ljust(width, b"\xff") for f, _, _ in normal if len(f) > 8]),
         pieces=np.array([f for f, _, _ in normal]),
         ids=np.array([i for _, i, _ in normal], dtype=np.int32),
         sizes=np.array([len(f) for f, _, _ in normal], dtype=np.int64),
         ranks=np.unique(-scores, return_inverse=True)[1].astype(np.int64),
         bytes_of=bytes_of,
         byte_ids=byte_ids,
-        width=max(len(f) for f, _, _ in normal),
+        width=width,
         # Characters of no piece end a segment: nothing merges across them.
         splits=bytes(c for c in b"\n\t\r" if not any(bytes([c]) in f for f, _, _ in normal)),
     )
@@ -94,27 +105,50 @@ def segment_pattern(vocab: Vocabulary) -> re.Pattern:
     return re.compile(b"\xff*[^\xff" + stop + b"]+|\xff+" + (b"|[" + stop + b"]" if stop else b""))
 
 
+def _words8(padded: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number in text order."""
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 8)[starts]
+    return np.ascontiguousarray(windows).view(">u8").ravel().astype(np.uint64)
+
+
+def _ranges(order: np.ndarray, low: np.ndarray, high: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of the ranges ``order[low:high]`` with the name of their range."""
+    count = high - low
+    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return order[np.repeat(low, count) + within], np.repeat(names, count)
+
+
 def match_edges(data: np.ndarray, starts: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """All occurrences of all pieces, sorted by position: ``start * 64 + size`` and the piece number.
 
-    The suffix array orders the text's character positions by what follows, as far as the longest
-    piece reaches; each piece's occurrences are one range of it, found by binary search.
+    The suffix array orders the text's character positions by what follows; each piece's occurrences
+    are one range of it, found by binary search. It is kept in two parts: by the next eight bytes,
+    where all pieces up to that size are found, and, where a longer piece begins with those eight,
+    as far as the longest piece reaches.
     """
-    padded = np.concatenate([data, np.full(vocab.width, END[0], np.uint8)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, vocab.width)[starts]
-    suffixes = np.ascontiguousarray(windows).view(f"S{vocab.width}").ravel()
-    order = np.argsort(suffixes, kind="stable")
-    suffixes = suffixes[order]
-    low = np.searchsorted(suffixes, vocab.pieces, "left")
-    last = np.array([p.ljust(vocab.width, b"\xff") for p in vocab.pieces])
-    high = np.searchsorted(suffixes, last, "right")
-    count = high - low
-    piece = np.repeat(np.arange(len(count)), count)
-    within = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-    at = starts[order[low[piece] + within]]
-    key = at * 64 + vocab.sizes[piece]
-    by_position = np.argsort(key)
-    return key[by_position], piece[by_position]
+    padded = np.concatenate([data, np.full(vocab.width + 8, END[0], np.uint8)])
+    next8 = _words8(padded, starts)
+    order = np.argsort(next8)
+    sorted8 = next8[order]
+    low = np.searchsorted(sorted8, vocab.low8, "left")
+    high = np.searchsorted(sorted8, vocab.high8, "right")
+    short = vocab.sizes <= 8
+    numbers = np.arange(len(vocab.pieces))
+    at, piece = _ranges(order, low[short], high[short], numbers[short])
+    heads, first = np.unique(vocab.low8[~short], return_index=True)
+    deep, _ = _ranges(order, low[~short][first], high[~short][first], heads)
+    if len(deep):
+        windows = np.lib.stride_tricks.sliding_window_view(padded, vocab.width)[starts[deep]]
+        suffixes = np.ascontiguousarray(windows).view(f"S{vocab.width}").ravel()
+        by_rest = np.argsort(suffixes)
+        deep, suffixes = deep[by_rest], suffixes[by_rest]
+        low = np.searchsorted(suffixes, vocab.pieces[~short], "left")
+        high = np.searchsorted(suffixes, vocab.last, "right")
+        more, named = _ranges(deep, low, high, numbers[~short])
+        at, piece = np.concatenate([at, more]), np.concatenate([piece, named])
+    # Position, size and piece in one number: sorting it sorts the edges.
+    edges = np.sort(((starts[at] * 64 + vocab.sizes[piece]) << 20) | piece)
+    return edges >> 20, edges & 0xFFFFF
 
 
 def _rank(start, end, keys, pieces, vocab):
@@ -249,8 +283,8 @@ class Encoder:
 
 
 def decode_ids(ids: list[int], bytes_of: list[bytes]) -> str:
-    """The text of token ids; unknown and control ids stand for nothing."""
-    out = b"".join([bytes_of[i] for i in ids if 0 <= i < len(bytes_of)]).replace(MARK, b" ")
+    """The text of token ids; control ids stand for nothing."""
+    out = b"".join(map(bytes_of.__getitem__, ids)).replace(MARK, b" ")
     return out.removeprefix(b" ").decode("utf-8", "replace")
 
 
@@ -296,13 +330,18 @@ def decode_pieces(df: DataFrame, ids_col: str = "piece_ids", text_col: str = "de
     """Add ``text_col``, the text of each row's token ids.
 
     Encoding and decoding give back every text but one that holds U+2581, which reads as a blank.
-    Null ids give the empty text; a column already named ``text_col`` is replaced.
+    A null list gives the empty text, an id outside the vocabulary is an error; a column already named ``text_col`` is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(model).bytes_of)
 
     def make():
-        table = shared.value
-        return lambda column: pa.array([decode_ids([x for x in v.as_py() or [] if x is not None], table) for v in column], pa.string())
+        def work(column):
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+            rows = (flat[a:b].tolist() for a, b in zip([0, *ends], ends))
+            return pa.array([decode_ids(ids, shared.value) for ids in rows], pa.string())
+
+        return work
 
     return add_by_arrow(df, F.col(f"`{ids_col}`"), text_col, T.StringType(), make)
 

@@ -25,7 +25,7 @@ DENSE = 0.25
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products; doubles hold them while they stay below 2^53."""
-    if len(a) and len(b) and np.abs(a).max() * np.abs(b).max() * max(1, a.shape[1]) >= 2.0**53:
+    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * max(1, a.shape[1]) >= 2.0**53:
         return a.astype(np.int64) @ b.astype(np.int64).T
     return a @ b.T
 
