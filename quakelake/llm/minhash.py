@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelake.llm.common import discard, key_filter, may_hold, own_columns, stored, whole
+from quakelake.llm.common import bounded_batches, discard, key_filter, may_hold, own_columns, stored, whole
 from quakelake.llm.graph import connected_components
 from quakelake.llm.registry import query
 
@@ -242,6 +242,7 @@ def near_duplicates(
     them. Rows that repeat an id are one document. An empty table gives no rows; other columns are
     ignored.
     """
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.encode(whole(f"`{text_col}`"), "UTF-8").alias("text"))
     rows = stored(
         docs.mapInArrow(lambda b: _rows(b, width), "id long, n long, fa long, fb long, keys binary, marks binary"), "signatures"

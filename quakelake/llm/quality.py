@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quakelake.llm.common import own_columns, whole
+from quakelake.llm.common import bounded_batches, own_columns, whole
 from quakelake.llm.registry import query
 
 #: Labelled rows that the network is fitted on at most, in hash order.
@@ -243,6 +243,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty texts have the zero vector and get its score; texts are read whole; repeated rows are
     scored each. Without labels every score is 0.5; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("id", "text")
     vectors = word_vectors(docs)
     network = fit_quality(docs, labels, vectors)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quakelake.llm.common import add_by_arrow, own_columns, whole
+from quakelake.llm.common import add_by_arrow, bounded_batches, own_columns, whole
 from quakelake.llm.registry import query
 
 #: Confirmed toxic texts and unlabelled texts that the classifier is fitted on at most.
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     given. Without a toxic label every score is 0.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     marked = labels.filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     share = marked.agg(F.avg("toxic"), F.sum("toxic")).head()
     if not share[1]:
