@@ -7,11 +7,8 @@ document at a time and need no shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelake.functions import text as X
@@ -45,110 +42,131 @@ def paper_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 # reStructuredText marks.
-RST_UNDERLINE = re.compile(r"[=\-~^\"'#+*.]{3,}\s*")
-RST_DIRECTIVE = re.compile(r"\s*\.\.\s+\S")
-RST_ROLE = re.compile(r":\w+:`([^`]*)`")
-RST_QUOTED = re.compile(r"`+([^`]+)`+")
-
-
-def _rst_body(block: list[str]) -> str:
-    kept, in_directive = [], False
-    for line in block:
-        indented = not line or line[0].isspace()
-        if RST_DIRECTIVE.match(line):
-            in_directive = True
-        elif not (in_directive and indented):
-            in_directive = False
-            kept.append(RST_QUOTED.sub(r"\1", RST_ROLE.sub(r"\1", line)))
-    return "\n".join(kept).strip()
-
-
-def rst_blocks(text: str) -> list[str]:
-    """Section texts of one reStructuredText document, markup removed."""
-    source = text.splitlines()
-    blocks: list[list[str]] = [[]]
-    underline_at = -1
-    for at, line in enumerate(source):
-        if at == underline_at:
-            continue
-        below = source[at + 1] if at + 1 < len(source) else ""
-        title = line.strip()
-        if title and RST_UNDERLINE.fullmatch(below) and len(below.strip()) >= len(title):
-            blocks.append([line])
-            underline_at = at + 1
-        else:
-            blocks[-1].append(line)
-    found = [body for body in map(_rst_body, blocks) if body]
-    return found or [text.strip()]
-
-
-# HTML elements whose text is dropped, that end a line, and that open a section.
-HTML_HIDDEN = {"script", "style", "nav", "footer", "header", "noscript", "aside"}
-HTML_BLOCK = {
-    "h1", "h2", "h3", "h4", "p", "li", "td", "th", "pre", "code", "dt", "dd", "blockquote",
-}
-HTML_SECTION = {"h1", "h2"}
-
-
-class _VisibleText(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.sections: list[str] = []
-        self.words: list[str] = []
-        self.hidden = 0
-
-    def close_section(self) -> None:
-        body = " ".join(self.words).strip()
-        self.words = []
-        if body:
-            self.sections.append(body)
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in HTML_HIDDEN
-        if tag in HTML_SECTION:
-            self.close_section()
-
-    def handle_endtag(self, tag):
-        if tag in HTML_HIDDEN and self.hidden:
-            self.hidden -= 1
-        if tag in HTML_BLOCK:
-            self.words.append("\n")
-
-    def handle_data(self, data):
-        visible = data.strip()
-        if visible and not self.hidden:
-            self.words.append(visible)
-
-
-def html_blocks(html: str) -> list[str]:
-    """Visible text of one page, one entry per level-1 or level-2 heading."""
-    parser = _VisibleText()
-    parser.feed(html)
-    parser.close_section()
-    return parser.sections or [""]
-
-
-def _split_rows(df: DataFrame, split, id_col: str, text_col: str, column: str) -> DataFrame:
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            pieces = [split(t) if isinstance(t, str) else [] for t in batch["t"]]
-            out = pd.DataFrame({id_col: batch["k"], "text": pieces}).explode("text").dropna(subset=["text"])
-            out[column] = out.groupby(level=0).cumcount()
-            yield out[[id_col, column, "text"]]
-
-    return df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(
-        run, f"{id_col} {id_type}, {column} long, text string"
+RST_UNDERLINE = r"^[=\-~^\"'#+*.]{3,}\s*$"
+RST_DIRECTIVE = r"^\s*\.\.\s+\S"
+RST_ROLE = r":\w+:`([^`]*)`"
+RST_QUOTED = r"`+([^`]+)`+"
+
+
+def rst_section_texts(text: Column) -> Column:
+    """Section texts of one reStructuredText document, markup removed, as an array.
+
+    Every line gets a letter: ``h`` heading, ``u`` its underline, ``d`` directive, ``i`` indented or
+    empty, ``n`` other. Patterns over the string of letters then tell which lines go: the line after
+    a heading, and a directive with the indented lines that follow it.
+    """
+    rows = X.lines(text)
+    below = F.concat(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), F.array(F.lit("")))
+
+    def letter(line: Column, after: Column) -> Column:
+        title = X.strip(line)
+        underlined = (title != "") & after.rlike(RST_UNDERLINE) & (F.length(X.strip(after)) >= F.length(title))
+        return (
+            F.when(underlined, "h")
+            .when(line.rlike(RST_DIRECTIVE), "d")
+            .when((line == "") | line.rlike("^" + X.SPACE_CLASS), "i")
+            .otherwise("n")
+        )
+
+    letters = F.array_join(F.zip_with(rows, below, letter), "")
+    letters = F.regexp_replace(letters, "h.", "hu")
+    # An indented line goes if the line before it went; the first letter stands before all lines.
+    letters = F.regexp_replace(F.concat(F.lit("n"), letters), r"d|(?<!^)\Gi", "u")
+    marked = F.zip_with(
+        rows,
+        F.split(F.substring(letters, 2, 2**31 - 1), ""),
+        lambda line, kind: F.when(
+            kind != "u",
+            F.concat(
+                F.when(kind == "h", F.lit("\x01")).otherwise(""),
+                F.regexp_replace(F.regexp_replace(line, RST_ROLE, "$1"), RST_QUOTED, "$1"),
+            ),
+        ),
     )
+    pieces = F.split(F.array_join(F.filter(marked, lambda x: x.isNotNull()), "\n"), "\n?\x01")
+    found = F.filter(F.transform(pieces, X.strip), lambda x: x != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(X.strip(text)))
 
 
 def rst_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return _split_rows(df, rst_blocks, id_col, text_col, "page")
+    return _explode_sections(df.filter(F.col(text_col).isNotNull()), rst_section_texts(F.col(text_col)), id_col)
+
+
+# HTML elements whose text is dropped (the first hold no markup), that end a line, and
+# that open a section; and named characters.
+HTML_RAW = ["script", "style", "noscript"]
+HTML_HIDDEN = ["nav", "footer", "header", "aside"]
+HTML_BLOCK = ["h1", "h2", "h3", "h4", "p", "li", "td", "th", "pre", "code", "dt", "dd", "blockquote"]
+HTML_SECTION = ["h1", "h2"]
+HTML_NAMED = {
+    "&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®",
+    "&deg;": "°", "&plusmn;": "±", "&middot;": "·", "&times;": "×", "&ndash;": "–", "&mdash;": "—",
+    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&bull;": "•", "&hellip;": "…", "&euro;": "€", "&amp;": "&",
+}
+HTML_TOKEN = r"</?[A-Za-z!?][^>]*>|[^<]+|<"
+
+
+def html_characters(text: Column) -> Column:
+    """Numbered and common named character references as characters."""
+
+    def numbered(part: Column, at: Column) -> Column:
+        decimal = F.regexp_extract(part, r"^([0-9]{1,7});", 1)
+        hexed = F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
+        code = F.when(decimal != "", F.hex(decimal.cast("long"))).when(hexed != "", hexed)
+        sign = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        return F.when(at == 0, part).otherwise(
+            F.coalesce(F.concat(sign, F.regexp_replace(part, r"^[^;]*;", "")), F.concat(F.lit("&#"), part))
+        )
+
+    out = F.when(
+        F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), numbered), "")
+    ).otherwise(text)
+    for name, sign in HTML_NAMED.items():
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return out
 
 
 def html_sections(df: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
-    return _split_rows(df, html_blocks, id_col, text_col, "page")
+    """Visible text of pages, one row per level-1 or level-2 heading; a page without text has one empty row.
+
+    Pages are cut into tags and texts; running sums along a page tell how deep inside hidden elements
+    and in which section each piece lies. An end tag without its start counts for nothing: the sum is
+    taken above its lowest point so far.
+    """
+    clean = F.regexp_replace(F.col(text_col), r"(?s)<!--.*?(?:-->|\z)", "")
+    for name in HTML_RAW:
+        clean = F.regexp_replace(clean, rf"(?is)<{name}\b.*?(?:</{name}\s*>|\z)", "")
+    pages = df.filter(F.col(text_col).isNotNull()).select(
+        F.monotonically_increasing_id().alias("__page"), F.col(id_col).alias("__id"), clean.alias("__html")
+    )
+    tokens = pages.select(
+        "__page", "__id", F.posexplode_outer(F.regexp_extract_all("__html", F.lit(HTML_TOKEN), 0)).alias("__at", "__token")
+    )
+    token = F.col("__token")
+    tag = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    ends, alone = token.startswith("</"), token.endswith("/>")
+    step = F.when(~tag.isin(HTML_HIDDEN) | alone, 0).when(ends, -1).otherwise(1)
+    tokens = tokens.withColumns(
+        {"__tag": tag, "__ends": ends, "__step": step, "__is_text": ~token.rlike(r"^</?[A-Za-z!?]")}
+    )
+    along = Window.partitionBy("__page").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.when(F.col("__tag").isin(HTML_SECTION) & ~F.col("__ends"), 1).otherwise(0)
+    tokens = tokens.withColumns({"__sum": F.sum("__step").over(along), "__section": F.sum(opened).over(along)})
+    depth = F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(along))
+    words = X.strip(html_characters(token))
+    piece = F.when(F.col("__is_text") & (depth == 0) & (words != ""), words).when(
+        F.col("__ends") & F.col("__tag").isin(HTML_BLOCK), "\n"
+    )
+    parts = tokens.withColumn("__piece", piece).groupBy("__page", "__id", "__section").agg(
+        F.array_sort(F.collect_list(F.when(F.col("__piece").isNotNull(), F.struct("__at", "__piece")))).alias("parts")
+    )
+    sections = parts.withColumn("text", X.strip(F.array_join(F.transform("parts", lambda x: x["__piece"]), " ")))
+    whole = Window.partitionBy("__page")
+    in_order = whole.orderBy("__section")
+    kept = sections.withColumn("__none", F.max(F.col("text") != "").over(whole) == F.lit(False)).filter(
+        (F.col("text") != "") | (F.col("__none") & (F.col("__section") == 0))
+    )
+    return kept.select(F.col("__id").alias(id_col), (F.row_number().over(in_order) - 1).cast("long").alias("page"), "text")
 
 
 # --- chunks -------------------------------------------------------------------------------------
@@ -173,34 +191,54 @@ def chunk_sections(
     )
 
 
-def sliding_windows(text: str, size: int = 500, overlap: int = 50) -> list[str]:
-    """Windows over the space-collapsed text, ended at a sentence or word end past the middle."""
-    flat = re.sub(r"\s+", " ", text)
-    found, at = [], 0
-    while at < len(flat):
-        stop = at + size
-        if stop < len(flat):
-            window = flat[at:stop]
-            middle = len(window) // 2
-            sentence = max(window.rfind(mark) for mark in ".!?")
-            word = window.rfind(" ")
-            if sentence > middle:
-                stop = at + sentence + 1
-            elif word > middle:
-                stop = at + word
-        found.append(flat[at:stop].strip())
-        at = stop - overlap
-        if len(flat) - at < overlap:
-            break
-    return [piece for piece in found if len(piece) > 20]
+def sliding_window_texts(text: Column, size: int = 500, overlap: int = 50, shortest: int = 1) -> Column:
+    """Windows over the space-collapsed text, ended at a sentence or word end past the middle, as an array.
+
+    Ends are worked out first, as a short list of numbers; the texts are cut out at them afterwards.
+    A rest shorter than ``overlap`` starts no window, as the one before holds it.
+    """
+    if not 0 <= overlap < size // 2:
+        raise ValueError("overlap must be below half the window")
+    flat = F.regexp_replace(text, X.SPACE_CLASS + "+", " ")
+    # Bound by a lambda, the collapsed text is worked out once and not at every step.
+    return F.get(F.transform(F.array(flat), lambda t: _windows(t, size, overlap, shortest)), F.lit(0))
+
+
+def _windows(flat: Column, size: int, overlap: int, shortest: int) -> Column:
+    total = F.length(flat)
+    most = F.ceil(total / F.lit(size // 2 + 1 - overlap)).cast("int") + 1
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def after_last(window: Column, marks: str) -> Column:
+        """Characters before the last of the marks; 0 without one."""
+        return F.length(F.regexp_extract(window, rf"(?s)^(.*)[{marks}]", 1))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        window = F.substring(flat, at + 1, F.lit(size))
+        sentence, word = after_last(window, ".!?"), after_last(window, " ")
+        stop = (
+            F.when(at + size >= total, at + size)
+            .when(sentence > size // 2, at + sentence + 1)
+            .when(word > size // 2, at + word)
+            .otherwise(at + size)
+        )
+        following = F.when(total - (stop - overlap) < overlap, total).otherwise(stop - overlap)
+        return F.when(at >= total, acc).otherwise(
+            F.struct(following.alias("at"), F.concat(acc["spans"], F.array(F.struct(at.alias("a"), stop.alias("b")))).alias("spans"))
+        )
+
+    spans = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["spans"])
+    cut = F.transform(spans, lambda x: X.strip(F.substring(flat, x["a"] + 1, x["b"] - x["a"])))
+    return F.filter(cut, lambda x: F.length(x) >= shortest)
 
 
 def sliding_chunks(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50, shortest: int = 1
 ) -> DataFrame:
-    if not 0 <= overlap < size // 2:
-        raise ValueError("overlap must be below half the window")
-    return _split_rows(df, lambda t: sliding_windows(t, size, overlap), id_col, text_col, "chunk_no")
+    """``<id>, chunk_no, text``: windows of at least ``shortest`` characters, numbered in order."""
+    return exploded(df, [id_col], sliding_window_texts(F.col(text_col), size, overlap, shortest), "text", "chunk_no")
 
 
 # --- statistics ---------------------------------------------------------------------------------

