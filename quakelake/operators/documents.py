@@ -173,14 +173,14 @@ def html_sections(df: DataFrame, id_col: str = "page_id", text_col: str = "html"
 
 
 def chunk_sections(
-    sections: DataFrame, id_col: str = "doc_id", size: int = 500, overlap: int = 50
+    sections: DataFrame, id_col: str = "doc_id", size: int = 500, overlap: int = 50, shortest: int = 1
 ) -> DataFrame:
     """Chunks ``chunk_id, <id>, page, chunk_no, text`` of ``<id>, page, text`` sections.
 
     ``chunk_no`` counts the chunks kept within the section.
     """
     found = exploded(
-        sections.withColumnRenamed("text", "__text"), [id_col, "page"], X.chunks(F.col("__text"), size, overlap), "text", "chunk_no"
+        sections.withColumnRenamed("text", "__text"), [id_col, "page"], X.chunks(F.col("__text"), size, overlap, shortest), "text", "chunk_no"
     )
     return found.select(
         F.concat_ws("_", F.col(id_col).cast("string"), F.col("page").cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"),
@@ -270,13 +270,13 @@ def keywords(
     chunks: DataFrame,
     id_col: str = "doc_id",
     name_col: str = "name",
-    n_chunks: int | None = 3,
+    n_chunks: int | None = None,
     n_words: int = 8,
     n_keywords: int = 10,
 ) -> DataFrame:
     """Up to ten keywords per document: words of its name, then its most frequent longer words.
 
-    Words are counted over the first ``n_chunks`` chunks (all with ``None``); equal counts keep the
+    Words are counted over all chunks, or the first ``n_chunks``; equal counts keep the
     order of first appearance.
     """
     used = chunks if n_chunks is None else _first_chunks(chunks, id_col, n_chunks)
@@ -308,7 +308,7 @@ def _first_chunks(chunks: DataFrame, id_col: str, n: int) -> DataFrame:
 
 
 def grep(
-    df: DataFrame, pattern: str, path_col: str, text_col: str = "text", limit: int | None = 30, width: int = 200
+    df: DataFrame, pattern: str, path_col: str, text_col: str = "text", limit: int | None = None, width: int | None = None
 ) -> DataFrame:
     """Lines matching a case-insensitive pattern, with 1-based line numbers, in path order."""
     re.compile(pattern)
@@ -329,7 +329,7 @@ def find(
     query: str,
     name_col: str,
     text_col: str = "text",
-    limit: int | None = 20,
+    limit: int | None = None,
     before: int = 60,
     after: int = 100,
     order: str | None = None,
@@ -356,12 +356,12 @@ def find(
     return found if limit is None else found.orderBy(order or name_col).limit(limit)
 
 
-def read_text(df: DataFrame, id_col: str, text_col: str = "text", max_chars: int = 12_000) -> DataFrame:
-    """Display copy of a text with its full length and whether it was cut."""
+def read_text(df: DataFrame, id_col: str, text_col: str = "text", max_chars: int | None = None) -> DataFrame:
+    """A text with its full length and whether ``max_chars`` cut it."""
     return df.select(
         id_col,
         X.head(F.col(text_col), max_chars).alias("content"),
-        (F.length(text_col) > max_chars).alias("truncated"),
+        (F.lit(False) if max_chars is None else F.length(text_col) > max_chars).alias("truncated"),
         F.length(text_col).cast("long").alias("chars"),
     )
 
@@ -370,10 +370,10 @@ def paper_search(
     sections: DataFrame,
     query: str,
     paper_col: str = "doc_id",
-    k: int = 5,
-    excerpt: int = 500,
+    k: int | None = None,
+    excerpt: int | None = None,
 ) -> DataFrame:
-    """Sections holding at least half of the query's words, most words first, as excerpts."""
+    """Sections holding at least half of the query's words; the ``k`` with most words, if given, cut to excerpts."""
     wanted = sorted(set(query.lower().split()))
     body = F.lower("content")
     hits = sum((F.contains(body, F.lit(w)).cast("int") for w in wanted), F.lit(0))
@@ -381,16 +381,14 @@ def paper_search(
         F.lit("["), F.col(paper_col).cast("string"), F.lit(" / "), F.col("title"), F.lit("]\n"),
         X.head(F.col("content"), excerpt),
     )
-    return (
-        sections.select(hits.cast("long").alias("hits"), passage.alias("passage"))
-        .filter(F.col("hits") >= max(1, len(wanted) // 2))
-        .orderBy(F.desc("hits"), F.desc("passage"))
-        .limit(k)
+    found = sections.select(hits.cast("long").alias("hits"), passage.alias("passage")).filter(
+        F.col("hits") >= max(1, len(wanted) // 2)
     )
+    return found if k is None else found.orderBy(F.desc("hits"), F.desc("passage")).limit(k)
 
 
 def combined_context(
-    papers: DataFrame, max_chars_per_paper: int = 5000, key_col: str = "doc_id", order: str = "doc_id"
+    papers: DataFrame, max_chars_per_paper: int | None = None, key_col: str = "doc_id", order: str = "doc_id"
 ) -> DataFrame:
     """One titled block of key content per paper, in order.
 
@@ -404,7 +402,7 @@ def combined_context(
     return papers.select(key_col, block.alias("block"))
 
 
-def papers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_chars: int | None = 2000) -> DataFrame:
+def papers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_chars: int | None = None) -> DataFrame:
     """Clean texts and cut them into a paper record: metadata, abstract, sections."""
     clean = df.withColumn("full_text", X.join_hyphenated(F.col(text_col))).withColumn(
         "sections", X.paper_sections(F.col("full_text"))

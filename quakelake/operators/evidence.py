@@ -31,17 +31,18 @@ def _ddl(fields: dict[str, str]) -> str:
 
 
 def evidence_id(parent: Column, observation: Column) -> Column:
-    """10 hex digits of the MD5 of the parent id and the first 60 characters observed."""
-    return F.substring(F.md5(F.concat(parent, F.lit(":"), X.head(observation, 60))), 1, 10)
+    """MD5 of the parent id and the whole observation."""
+    return F.md5(F.concat(parent, F.lit(":"), observation))
 
 
-def read_paper_output(df: DataFrame, raw: str = "raw", parent: str = "chunk_id", source_text: str | None = None) -> DataFrame:
+def read_paper_output(df: DataFrame, raw: str = "raw", parent: str = "chunk_id", source_text: str | None = None, shortest: int = 0) -> DataFrame:
     """One evidence record per answer: the outermost ``{...}`` as JSON, defaults for absent keys.
 
-    Answers to source texts under 80 characters, without JSON, or without an observation are dropped.
+    Answers to source texts under ``shortest`` characters, without JSON, or without an observation are
+    dropped.
     """
     body = F.regexp_extract(F.col(raw), r"(?s)\{.*\}", 0)
-    kept = df if source_text is None else df.filter(F.length(X.strip(F.col(source_text))) >= 80)
+    kept = df if source_text is None else df.filter(F.length(X.strip(F.col(source_text))) >= shortest)
     parsed = kept.withColumn("__j", F.from_json(body, _ddl(PAPER_FIELDS)))
     cols = {n: F.coalesce(F.col(f"__j.{n}"), F.lit(v)) for n, v in PAPER_FIELDS.items()}
     obs = X.strip(cols["observation"])
@@ -54,8 +55,8 @@ def read_paper_output(df: DataFrame, raw: str = "raw", parent: str = "chunk_id",
     )
 
 
-def read_tool_output(df: DataFrame, raw: str = "raw", parent: str = "call_id", shortest: int = 20) -> DataFrame:
-    """Evidence records of a JSON list ``[...]`` in each answer; observations under 20 characters dropped."""
+def read_tool_output(df: DataFrame, raw: str = "raw", parent: str = "call_id", shortest: int = 1) -> DataFrame:
+    """Evidence records of a JSON list ``[...]`` in each answer; observations under ``shortest`` characters dropped."""
     body = F.regexp_extract(F.col(raw), r"(?s)\[.*\]", 0)
     listed = F.from_json(body, "array<struct<" + ", ".join(f"{n}:string" for n in TOOL_FIELDS) + ">>")
     items = exploded(df, [F.col(parent)], listed, "__j", "item_no")
@@ -81,43 +82,48 @@ def read_with(df: DataFrame, reader: Callable[[pd.DataFrame], pd.Series], raw: s
     return df.mapInPandas(run, ", ".join([*fields, f"{raw} string"]))
 
 
-def source_text(df: DataFrame, kind: str = "kind") -> DataFrame:
-    """Display text of a tool output for a reader, by kind; texts under 40 characters dropped.
+def source_text(
+    df: DataFrame, kind: str = "kind", shortest: int = 1, max_items: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """Text of a tool output for a reader, by kind; texts under ``shortest`` characters dropped.
+
+    ``max_items`` and ``max_chars`` shorten lists and the texts in them for display.
 
     Columns by kind: ``content`` string; ``chunks`` array of (doc_name, page, text); ``papers``
     array of (title, year, abstract); ``entries`` array of (snippet).
     """
+    listed = lambda name: F.col(name) if max_items is None else F.slice(name, 1, max_items)
     options = []
     if "content" in df.columns:
-        options.append((F.col(kind) == "content", X.head(F.col("content"), 3000)))
+        options.append((F.col(kind) == "content", X.head(F.col("content"), max_chars)))
     if "chunks" in df.columns:
         chunk = lambda c: F.concat(
             F.lit("["), F.coalesce(c["doc_name"], F.lit("?")), F.lit(" p"),
-            F.coalesce(c["page"].cast("string"), F.lit("?")), F.lit("]\n"), X.head(F.coalesce(c["text"], F.lit("")), 600),
+            F.coalesce(c["page"].cast("string"), F.lit("?")), F.lit("]\n"), X.head(F.coalesce(c["text"], F.lit("")), max_chars),
         )
-        options.append((F.col(kind) == "chunks", F.array_join(F.transform(F.slice("chunks", 1, 6), chunk), "\n\n")))
+        options.append((F.col(kind) == "chunks", F.array_join(F.transform(listed("chunks"), chunk), "\n\n")))
     if "papers" in df.columns:
         paper = lambda p: F.concat(
             F.lit("Title: "), F.coalesce(p["title"], F.lit("")), F.lit("  Year: "),
             F.coalesce(p["year"].cast("string"), F.lit("")), F.lit("  Abstract: "),
-            X.head(F.coalesce(p["abstract"], F.lit("")), 300),
+            X.head(F.coalesce(p["abstract"], F.lit("")), max_chars),
         )
-        options.append((F.col(kind) == "papers", F.array_join(F.transform(F.slice("papers", 1, 5), paper), "\n")))
+        options.append((F.col(kind) == "papers", F.array_join(F.transform(listed("papers"), paper), "\n")))
     if "entries" in df.columns:
         options.append(
-            (F.col(kind) == "entries", F.array_join(F.transform(F.slice("entries", 1, 6), lambda e: F.coalesce(e["snippet"], F.lit(""))), "\n"))
+            (F.col(kind) == "entries", F.array_join(F.transform(listed("entries"), lambda e: F.coalesce(e["snippet"], F.lit(""))), "\n"))
         )
     shown = F.lit(None).cast("string")
     for test, value in reversed(options):
         shown = F.when(test, value).otherwise(shown)
-    return df.withColumn("source_text", shown).filter(F.length(X.strip(F.col("source_text"))) >= 40)
+    return df.withColumn("source_text", shown).filter(F.length(X.strip(F.col("source_text"))) >= shortest)
 
 
 # --- merging ------------------------------------------------------------------------------------
 
 
 def observation_key(observation: Column) -> Column:
-    return F.md5(X.head(observation, 80))
+    return F.md5(observation)
 
 
 def new_evidence(incoming: DataFrame, table: DataFrame | None, order: str = "seq") -> DataFrame:
@@ -143,10 +149,10 @@ def _structure_key() -> Column:
 def conflict_groups(table: DataFrame) -> DataFrame:
     """Structures with at least two records and more than one interpretation.
 
-    Interpretations are compared on their first 60 lower-case characters; they differ exactly when
-    the smallest and largest do, so no distinct count is needed.
+    Interpretations are compared whole, in lower case; they differ exactly when the smallest and
+    largest do, so no distinct count is needed.
     """
-    seen = X.head(F.lower(F.coalesce("interpretation", F.lit(""))), 60)
+    seen = F.lower(F.coalesce("interpretation", F.lit("")))
     return (
         table.select(_structure_key().alias("conflict_key"), seen.alias("__i"))
         .filter(F.col("conflict_key").isNotNull())
@@ -189,7 +195,7 @@ def conflicts_of(flagged: DataFrame, asked: DataFrame) -> DataFrame:
     )
 
 
-def markdown_rows(flagged: DataFrame, obs_chars: int = 80, interp_chars: int = 60) -> DataFrame:
+def markdown_rows(flagged: DataFrame, obs_chars: int | None = None, interp_chars: int | None = None) -> DataFrame:
     """One Markdown table row per record; vertical bars in texts become a look-alike."""
     plain = lambda c, n: F.translate(X.head(F.col(c), n), "|", "∣")
     conflicts = F.when(
@@ -213,14 +219,14 @@ MARKDOWN_HEADER = (
 )
 
 
-def tool_markdown_rows(table: DataFrame) -> DataFrame:
-    """The wider row with source type: source 30, structure 25, observation 70, interpretation 50 characters."""
+def tool_markdown_rows(table: DataFrame, obs_chars: int | None = None, interp_chars: int | None = None) -> DataFrame:
+    """The row with source type in place of conflicts."""
     plain = lambda c, n: F.translate(X.head(F.col(c), n), "|", "∣")
     row = F.concat(
         F.lit("| "),
         F.concat_ws(
-            " | ", "evidence_id", X.head(F.col("source"), 30), "data_type", X.head(F.col("geological_structure"), 25),
-            plain("observation", 70), plain("interpretation", 50), "confidence", "source_type",
+            " | ", "evidence_id", "source", "data_type", "geological_structure",
+            plain("observation", obs_chars), plain("interpretation", interp_chars), "confidence", "source_type",
         ),
         F.lit(" |"),
     )

@@ -12,7 +12,6 @@ from quakelake.operators.common import top_k
 # File formats that can be indexed, and index files that rank first.
 SUPPORTED = [".pdf", ".docx", ".md", ".txt", ".text", ".rst", ".html", ".htm"]
 INDEX_NAMES = ["readme.md", "readme.rst", "readme.txt", "index.md", "index.rst", "readme"]
-MAX_FILES_PER_PROJECT = 120
 
 
 def extension(path: Column) -> Column:
@@ -47,18 +46,20 @@ def project_of(rel_path: Column) -> Column:
     return F.when(F.contains(rel_path, F.lit("/")), F.element_at(F.split(rel_path, "/"), 1)).otherwise("")
 
 
-def key_files(listing: DataFrame, path_col: str = "rel_path", max_files: int = MAX_FILES_PER_PROJECT) -> DataFrame:
-    """Supported files; of each project the ``max_files`` of highest priority (root files all)."""
+def key_files(listing: DataFrame, path_col: str = "rel_path", max_files: int | None = None) -> DataFrame:
+    """Supported files; of each project the ``max_files`` of highest priority, if given (root files all)."""
     path = F.col(path_col)
     usable = listing.filter(supported(path)).withColumn("project", project_of(path)).withColumn("__p", priority(path))
+    if max_files is None:
+        return usable.drop("__p")
     root = usable.filter(F.col("project") == "")
     inside = top_k(usable.filter(F.col("project") != ""), ["project"], [F.asc("__p"), F.asc(path_col)], max_files, "__r")
     return root.unionByName(inside.drop("__r")).drop("__p")
 
 
 def fingerprint(content: Column) -> Column:
-    """First 16 hex digits of the SHA-256 of the first 16 KB."""
-    return F.substring(F.sha2(F.substring(content.cast("binary"), 1, 16384), 256), 1, 16)
+    """SHA-256 of all bytes."""
+    return F.sha2(content.cast("binary"), 256)
 
 
 def document_id(folder: Column, name: Column, content: Column) -> Column:

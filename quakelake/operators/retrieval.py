@@ -407,7 +407,7 @@ def workflow_score(query: Column, entry: Column) -> Column:
 def reference_score(query: Column, entry: Column) -> Column:
     """Relevance of a reference file ``struct(parts, headings, opening)``.
 
-    Name parts inside the query count 6 each, tokens in each early heading 3, in the opening 1.
+    Name parts inside the query count 6 each, tokens in each heading 3, in the text 1.
     """
     named = F.size(F.filter(entry["parts"], lambda p: (F.length(p) >= 3) & F.contains(query["q"], p))) * 6
     headed = F.aggregate(
@@ -416,18 +416,19 @@ def reference_score(query: Column, entry: Column) -> Column:
     return named + headed + _hits(query["specific"], entry["opening"])
 
 
-def reference_fields(refs: DataFrame, name_col: str = "ref_name", text_col: str = "text", id_col: str = "ref_id") -> DataFrame:
-    """What :func:`reference_score` looks at: name parts, headings among ten lines, 500 characters."""
-    early = F.slice(X.lines(F.col(text_col)), 1, 10)
+def reference_fields(
+    refs: DataFrame, name_col: str = "ref_name", text_col: str = "text", id_col: str = "ref_id", max_chars: int | None = None
+) -> DataFrame:
+    """What :func:`reference_score` looks at: name parts, headings, text (its opening with ``max_chars``)."""
     headings = F.transform(
-        F.filter(early, lambda x: x.startswith("#")),
+        F.filter(X.lines(X.head(F.col(text_col), max_chars)), lambda x: x.startswith("#")),
         lambda x: F.lower(X.strip(F.ltrim(x, F.lit("#")))),
     )
     return refs.select(
         id_col,
         F.array_distinct(F.split(F.lower(name_col), r"[-_\s]")).alias("parts"),
         headings.alias("headings"),
-        F.lower(X.head(F.col(text_col), 500)).alias("opening"),
+        F.lower(X.head(F.col(text_col), max_chars)).alias("opening"),
     )
 
 

@@ -268,8 +268,8 @@ def workflow_score(spark, d):
 @query(
     "reference_score",
     """WITH ref AS (SELECT item_id AS ref_id, string_split(replace('the-' || string_split(lower(text), ' ')[1], '_', '-'), '-') AS parts,
-    list_transform(list_filter(list_slice(string_split('# ' || text, chr(10)), 1, 10), lambda x: starts_with(x, '#')), lambda x: lower(trim(ltrim(x, '#')))) AS headings,
-    lower(substring('# ' || text, 1, 500)) AS opening FROM benchmark),
+    list_transform(list_filter(string_split('# ' || text, chr(10)), lambda x: starts_with(x, '#')), lambda x: lower(trim(ltrim(x, '#')))) AS headings,
+    lower('# ' || text) AS opening FROM benchmark),
 msg AS (SELECT conv_id * 100 + turn AS query_id, lower(text) AS q,
                list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9_\\-\\.]+'), lambda w: lower(w))) AS toks FROM conversations),
 s AS (SELECT query_id, ref_id, CAST(6 * len(list_filter(list_distinct(parts), lambda p: length(p) >= 3 AND contains(q, p)))
@@ -431,11 +431,11 @@ def _live(spark, d):
     return table(spark, d, "documents").filter("doc_id % 5 <> 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"))
 
 
-# Texts are hashed on their first 16 KB; the SQL twin has no such cut, so it compares the change directly.
+# The SQL twin compares the change directly, without hashes.
 _DIFF = """WITH dl AS (SELECT doc_id AS i, source || '/' || doc_id || '.txt' AS rel_path, text FROM documents),
 st AS (SELECT i, rel_path, CASE
    WHEN i % 17 = 0 AND i % 7 = 0 THEN NULL WHEN i % 17 = 0 THEN 'deleted' WHEN i % 7 = 0 THEN 'new' WHEN i % 11 = 0 THEN 'failed' WHEN i % 31 = 0 THEN 'new'
-   WHEN i % 19 = 0 OR i % 23 = 0 OR (i % 29 = 0 AND octet_length(encode(text)) < 16384) THEN 'modified' WHEN i % 5 = 0 THEN 'new' ELSE 'unchanged' END AS state FROM dl)
+   WHEN i % 19 = 0 OR i % 23 = 0 OR i % 29 = 0 THEN 'modified' WHEN i % 5 = 0 THEN 'new' ELSE 'unchanged' END AS state FROM dl)
 """
 
 
@@ -476,7 +476,7 @@ def project_status(spark, d):
 
 @query(
     "content_fingerprint",
-    "SELECT doc_id, substring(sha256(unhex(substring(hex(encode(text)), 1, 32768))), 1, 16) AS sha256 FROM documents",
+    "SELECT doc_id, sha256(text) AS sha256 FROM documents",
 )
 def content_fingerprint(spark, d):
     docs = table(spark, d, "documents")

@@ -13,24 +13,24 @@ from quakelake.streaming import jobs
 
 @query(
     "stream_rate",
-    """WITH m AS (SELECT max(ts) AS t FROM events),
-w AS (SELECT time_bucket(INTERVAL 24 HOURS, ts, TIMESTAMP '1970-01-01') AS bin_start, event_type, count(*) AS n FROM events GROUP BY ALL)
-SELECT bin_start, bin_start + INTERVAL 24 HOURS AS bin_end, event_type, n FROM w, m WHERE bin_start + INTERVAL 24 HOURS <= t - INTERVAL 1 HOUR""",
+    """WITH w AS (SELECT time_bucket(INTERVAL 24 HOURS, ts, TIMESTAMP '1970-01-01') AS bin_start, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT bin_start, bin_start + INTERVAL 24 HOURS AS bin_end, event_type, n FROM w""",
 )
 def stream_rate(spark, d):
-    """Final windows only: those the watermark has passed."""
+    """All windows: after the end of the input the watermark passes those still open."""
     events = jobs.table_stream(spark, d, "events.parquet").select(F.col("ts").cast("timestamp").alias("time"), "event_type")
-    got = jobs.run_available(jobs.rolling_rate(events, keys=["event_type"]), jobs.work_folder(spark, "rate"))
+    rate = lambda rows: jobs.rolling_rate(rows, keys=["event_type"])
+    got = jobs.run_to_end(events, "time", rate, jobs.work_folder(spark, "rate"))
     return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("bin_start", "bin_end")})
 
 
 @query(
     "stream_pick_sessions",
-    f"""WITH {PICKS_SQL}, m AS (SELECT max(abs_time) AS t FROM pick),
+    f"""WITH {PICKS_SQL},
 f AS (SELECT *, CASE WHEN abs_time - lag(abs_time) OVER (PARTITION BY station ORDER BY abs_time) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS st FROM pick),
 g AS (SELECT *, sum(st) OVER (PARTITION BY station ORDER BY abs_time) AS grp FROM f)
 SELECT station, min(abs_time) AS first, count(*) AS n_phases, count(*) FILTER (WHERE phase LIKE 'P%') AS n_p, count(*) FILTER (WHERE phase LIKE 'S%') AS n_s
-FROM g, m GROUP BY station, grp, t HAVING count(*) >= 2 AND max(abs_time) + INTERVAL 2 HOURS <= t - INTERVAL 1 HOUR""",
+FROM g GROUP BY station, grp HAVING count(*) >= 2""",
 )
 def stream_pick_sessions(spark, d):
     events = jobs.table_stream(spark, d, "events.parquet")
@@ -40,15 +40,14 @@ def stream_pick_sessions(spark, d):
     )
     station = F.concat(F.lit("X"), (F.col("user_id") % 7).cast("string"), F.lit(".S"), F.col("user_id").cast("string"))
     picks = events.select(phase.alias("phase"), station.alias("station"), F.col("ts").cast("timestamp").alias("abs_time"))
-    got = jobs.run_available(
-        jobs.pick_sessions(picks, "2 hours", ["station"], min_phases=2), jobs.work_folder(spark, "sessions")
-    )
+    sessions = lambda rows: jobs.pick_sessions(rows, "2 hours", ["station"], min_phases=2)
+    got = jobs.run_to_end(picks, "abs_time", sessions, jobs.work_folder(spark, "sessions"))
     return got.withColumn("first", F.col("first").cast("timestamp_ntz"))
 
 
 @query(
     "stream_observations",
-    """SELECT DISTINCT md5(substring(event_type || ' seen at ' || CAST(user_id AS VARCHAR), 1, 80)) AS obs_key FROM events""",
+    """SELECT DISTINCT md5(event_type || ' seen at ' || CAST(user_id AS VARCHAR)) AS obs_key FROM events""",
 )
 def stream_observations(spark, d):
     events = jobs.table_stream(spark, d, "events.parquet").select(
@@ -64,7 +63,7 @@ def stream_observations(spark, d):
 def stream_index(spark, d):
     folder = jobs.work_folder(spark, "index")
     docs = jobs.table_stream(spark, d, "documents.parquet").select("doc_id", "text")
-    return jobs.index_documents(docs, f"{folder}/store", folder)[1].drop("batch")
+    return jobs.index_documents(docs, f"{folder}/store", folder)[1]
 
 
 @query("stream_evidence", _EVIDENCE + "SELECT obs_key, seq, evidence_id FROM f")

@@ -144,7 +144,7 @@ r AS (SELECT doc_id, page, list_reduce(ps, lambda a, x: CASE WHEN length(a.buf)
                 || list_transform(range(0, CAST(ceil(greatest(length(x) - 500, 0) / 450e0) AS BIGINT)), lambda i: substring(x, i * 450 + 1, 500)),
               'buf': substring(x, CAST(ceil(greatest(length(x) - 500, 0) / 450e0) AS BIGINT) * 450 + 1)}} END,
         {{'done': CAST([] AS VARCHAR[]), 'buf': ''}}) AS a FROM p),
-f AS (SELECT doc_id, page, list_filter(CASE WHEN a.buf = '' THEN a.done ELSE a.done || [a.buf] END, lambda x: length(trim(x, {_SPACE})) >= 20) AS cs FROM r),
+f AS (SELECT doc_id, page, list_filter(CASE WHEN a.buf = '' THEN a.done ELSE a.done || [a.buf] END, lambda x: length(trim(x, {_SPACE})) >= 1) AS cs FROM r),
 chunk AS (SELECT doc_id || '_' || page || '_' || (i - 1) AS chunk_id, doc_id, page, i - 1 AS chunk_no, cs[i] AS text
           FROM (SELECT doc_id, page, cs, unnest(range(1, len(cs) + 1)) AS i FROM f))
 """
@@ -300,7 +300,7 @@ def join_hyphenated(spark, d):
     _SECTIONS
     + """, ab AS (SELECT doc_id, arg_min(content, section) AS content FROM (SELECT doc_id, section, content,
         CASE WHEN section % 4 = 1 THEN 'Abstract' ELSE title END AS title FROM sec) WHERE title = 'Abstract' GROUP BY doc_id)
-SELECT t.doc_id, coalesce(substring(ab.content, 1, 1500), substring(t.text, 1, 800)) AS abstract
+SELECT t.doc_id, coalesce(ab.content, t.text) AS abstract
 FROM t LEFT JOIN ab ON ab.doc_id = t.doc_id""",
 )
 def abstracts(spark, d):
@@ -317,9 +317,9 @@ def abstracts(spark, d):
     _SECTIONS
     + """, m AS (SELECT doc_id, string_agg('[' || title || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY section) AS m
       FROM sec WHERE contains(lower(title), 'method') GROUP BY doc_id),
-c AS (SELECT doc_id, string_agg('[' || title || ']' || chr(10) || substring(content, 1, 1000), chr(10) || chr(10) ORDER BY section) AS c
+c AS (SELECT doc_id, string_agg('[' || title || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY section) AS c
       FROM sec WHERE contains(lower(title), 'conclusion') GROUP BY doc_id)
-SELECT t.doc_id, concat_ws(chr(10) || chr(10), '[Abstract]' || chr(10) || nullif(substring(t.text, 1, 800), ''), m, c) AS content
+SELECT t.doc_id, concat_ws(chr(10) || chr(10), '[Abstract]' || chr(10) || nullif(t.text, ''), m, c) AS content
 FROM t LEFT JOIN m ON m.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id""",
 )
 def key_content(spark, d):
@@ -332,18 +332,18 @@ def key_content(spark, d):
     _SECTIONS
     + """, m AS (SELECT doc_id, string_agg('[' || title || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY section) AS m
       FROM sec WHERE contains(lower(title), 'method') GROUP BY doc_id),
-c AS (SELECT doc_id, string_agg('[' || title || ']' || chr(10) || substring(content, 1, 1000), chr(10) || chr(10) ORDER BY section) AS c
+c AS (SELECT doc_id, string_agg('[' || title || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY section) AS c
       FROM sec WHERE contains(lower(title), 'conclusion') GROUP BY doc_id),
-k AS (SELECT t.doc_id, concat_ws(chr(10) || chr(10), '[Abstract]' || chr(10) || nullif(substring(t.text, 1, 800), ''), m, c) AS content
+k AS (SELECT t.doc_id, concat_ws(chr(10) || chr(10), '[Abstract]' || chr(10) || nullif(t.text, ''), m, c) AS content
   FROM t LEFT JOIN m ON m.doc_id = t.doc_id LEFT JOIN c ON c.doc_id = t.doc_id)
 SELECT k.doc_id, '=== [' || k.doc_id || '] ' || source || ' (' || lang || ') ===' || chr(10)
-  || CASE WHEN length(content) > 5000 THEN substring(content, 1, 5000) || chr(10) || '...[truncated]' ELSE content END AS block
+  || content AS block
 FROM k JOIN documents ON documents.doc_id = k.doc_id""",
 )
 def combined_context(spark, d):
     names = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("year"))
     papers = D.papers(_paper_docs(spark, d), head_chars=None).drop("year").join(names, "doc_id")
-    return D.combined_context(papers, 5000)
+    return D.combined_context(papers)
 
 
 @query(
@@ -351,8 +351,8 @@ def combined_context(spark, d):
     _SECTIONS
     + """SELECT h AS hits, p AS passage FROM (SELECT CAST(contains(lower(content), 'tion') AS BIGINT) + CAST(contains(lower(content), 'ment') AS BIGINT)
     + CAST(contains(lower(content), 'ung') AS BIGINT) + CAST(contains(lower(content), 'er') AS BIGINT) AS h,
-  '[' || doc_id || ' / ' || title || ']' || chr(10) || substring(content, 1, 500) AS p FROM sec)
-WHERE h >= 2 ORDER BY h DESC, p DESC LIMIT 5""",
+  '[' || doc_id || ' / ' || title || ']' || chr(10) || content AS p FROM sec)
+WHERE h >= 2""",
 )
 def paper_search(spark, d):
     return D.paper_search(D.paper_sections(_paper_docs(spark, d)), "tion ment ung er")
@@ -368,7 +368,7 @@ b AS (SELECT doc_id, CASE WHEN instr(text, 'References' || chr(10)) > 0 THEN sub
        ELSE substring(text, instr(text, 'Bibliography' || chr(10)) + 13) END AS block FROM t),
 l AS (SELECT doc_id, unnest(string_split(block, chr(10))) AS x, generate_subscripts(string_split(block, chr(10)), 1) AS i FROM b)
 SELECT doc_id, count(*) AS n_entries, string_agg(trim(x, {_SPACE}), chr(10) ORDER BY i) AS entries FROM l
-WHERE length(trim(x, {_SPACE})) > 20 AND regexp_matches(trim(x, {_SPACE}), '^\\[?\\d+\\]?\\s+[\\pL\\pN_]|^[A-Z][a-z]+,') GROUP BY doc_id""",
+WHERE regexp_matches(trim(x, {_SPACE}), '^\\[?\\d+\\]?\\s+[\\pL\\pN_]|^[A-Z][a-z]+,') GROUP BY doc_id""",
 )
 def reference_entries(spark, d):
     text = F.concat(
@@ -412,7 +412,7 @@ _PATH_SQL = "source || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt' AS
 @query(
     "grep_lines",
     f"""WITH l AS (SELECT {_PATH_SQL}, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS x FROM documents)
-SELECT path, line, substring(trim(x, {_SPACE}), 1, 200) AS content FROM l WHERE regexp_matches(x, '(?i)[a-z0-9.]+@[a-z]+')""",
+SELECT path, line, trim(x, {_SPACE}) AS content FROM l WHERE regexp_matches(x, '(?i)[a-z0-9.]+@[a-z]+')""",
 )
 def grep_lines(spark, d):
     docs = table(spark, d, "documents").select(_PATH(), "text")
@@ -422,10 +422,10 @@ def grep_lines(spark, d):
 @query(
     "grep_first30",
     f"""WITH l AS (SELECT {_PATH_SQL}, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS x FROM documents)
-SELECT path, line, substring(trim(x, {_SPACE}), 1, 200) AS content FROM l WHERE regexp_matches(x, '(?i)TOKEN') ORDER BY path, line LIMIT 30""",
+SELECT path, line, trim(x, {_SPACE}) AS content FROM l WHERE regexp_matches(x, '(?i)TOKEN') ORDER BY path, line LIMIT 30""",
 )
 def grep_first30(spark, d):
-    return D.grep(table(spark, d, "documents").select(_PATH(), "text"), "TOKEN", "path")
+    return D.grep(table(spark, d, "documents").select(_PATH(), "text"), "TOKEN", "path", limit=30)
 
 
 _FIND = f"""WITH f AS (SELECT {_PATH_SQL}, text, instr(lower(text), 'src1') AS at, contains(lower(source || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.txt'), '999') AS named,
@@ -440,14 +440,14 @@ def find_files(spark, d):
     return D.find(table(spark, d, "documents").select(_PATH(), "text"), "999", "path", limit=None)
 
 
-@query("find_papers", _FIND.replace("at2 + 100", "at2 + 120") + " ORDER BY path LIMIT 15")
+@query("find_papers", _FIND.replace("at2 + 100", "at2 + 120"))
 def find_papers(spark, d):
-    return D.find(table(spark, d, "documents").select(_PATH(), "text"), "999", "path", limit=15, after=120)
+    return D.find(table(spark, d, "documents").select(_PATH(), "text"), "999", "path", after=120)
 
 
 @query(
     "read_text",
-    "SELECT doc_id, substring(text, 1, 12000) AS content, length(text) > 12000 AS truncated, length(text) AS chars FROM documents",
+    "SELECT doc_id, text AS content, false AS truncated, length(text) AS chars FROM documents",
 )
 def read_text(spark, d):
     return D.read_text(table(spark, d, "documents"), "doc_id")
@@ -565,15 +565,15 @@ def evidence_table(spark, d):
     )
 
 
-_EVIDENCE = """WITH ev AS (SELECT doc_id AS seq, substring(md5(doc_id || ':' || substring(text, 1, 60)), 1, 10) AS evidence_id,
+_EVIDENCE = """WITH ev AS (SELECT doc_id AS seq, md5(doc_id || ':' || text) AS evidence_id,
   source || ' (p.1)' AS source, text AS observation, 'text' AS data_type,
   CASE WHEN doc_id % 11 = 0 THEN 'Unspecified ' ELSE upper(source[1]) || lower(source[2:]) END AS geological_structure,
   lang AS interpretation, 'medium' AS confidence, 'literature' AS source_type FROM documents),
-k AS (SELECT *, md5(substring(observation, 1, 80)) AS obs_key FROM ev),
+k AS (SELECT *, md5(observation) AS obs_key FROM ev),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY obs_key ORDER BY seq) AS r FROM k) WHERE r = 1),
 g AS (SELECT lower(trim(geological_structure)) AS conflict_key, count(*) AS n FROM ev
       WHERE lower(trim(geological_structure)) NOT IN ('', 'unspecified') GROUP BY 1
-      HAVING count(*) >= 2 AND count(DISTINCT substring(lower(interpretation), 1, 60)) > 1),
+      HAVING count(*) >= 2 AND count(DISTINCT lower(interpretation)) > 1),
 c AS (SELECT ev.*, g.conflict_key, coalesce(g.n - 1, 0) AS n_conflicts FROM ev LEFT JOIN g ON lower(trim(geological_structure)) = g.conflict_key)
 """
 
@@ -604,14 +604,14 @@ def conflict_groups(spark, d):
     return E.conflict_groups(evidence_table(spark, d))
 
 
-_CLEAN = "replace(substring({0}, 1, {1}), '|', '∣')"
+_CLEAN = "replace({0}, '|', '∣')"
 
 
 @query(
     "evidence_markdown",
     _EVIDENCE
-    + f"""SELECT evidence_id, '| ' || concat_ws(' | ', evidence_id, source, {_CLEAN.format('observation', 80)}, data_type, geological_structure,
-  {_CLEAN.format('interpretation', 60)}, confidence, CASE WHEN n_conflicts > 0 THEN n_conflicts || ' × ' || conflict_key ELSE '—' END) || ' |' AS markdown FROM c""",
+    + f"""SELECT evidence_id, '| ' || concat_ws(' | ', evidence_id, source, {_CLEAN.format('observation')}, data_type, geological_structure,
+  {_CLEAN.format('interpretation')}, confidence, CASE WHEN n_conflicts > 0 THEN n_conflicts || ' × ' || conflict_key ELSE '—' END) || ' |' AS markdown FROM c""",
 )
 def evidence_markdown(spark, d):
     return E.markdown_rows(E.flag_conflicts(evidence_table(spark, d)))
@@ -620,8 +620,8 @@ def evidence_markdown(spark, d):
 @query(
     "evidence_tool_markdown",
     _EVIDENCE
-    + f"""SELECT evidence_id, '| ' || concat_ws(' | ', evidence_id, substring(source, 1, 30), data_type, substring(geological_structure, 1, 25),
-  {_CLEAN.format('observation', 70)}, {_CLEAN.format('interpretation', 50)}, confidence, source_type) || ' |' AS markdown FROM ev""",
+    + f"""SELECT evidence_id, '| ' || concat_ws(' | ', evidence_id, source, data_type, geological_structure,
+  {_CLEAN.format('observation')}, {_CLEAN.format('interpretation')}, confidence, source_type) || ' |' AS markdown FROM ev""",
 )
 def evidence_tool_markdown(spark, d):
     return E.tool_markdown_rows(evidence_table(spark, d))
@@ -629,9 +629,9 @@ def evidence_tool_markdown(spark, d):
 
 @query(
     "paper_evidence",
-    """SELECT doc_id, substring(md5(doc_id || ':' || substring(trim(source || ' seen in ' || lang), 1, 60)), 1, 10) AS evidence_id,
+    """SELECT doc_id, md5(doc_id || ':' || trim(source || ' seen in ' || lang)) AS evidence_id,
   source || ' seen in ' || lang AS observation, lang AS data_type, 'medium' AS confidence, ' | none' AS notes
-FROM documents WHERE doc_id % 5 <> 0 AND length(trim(text, ' ' || chr(10) || chr(9))) >= 80""",
+FROM documents WHERE doc_id % 5 <> 0""",
 )
 def paper_evidence(spark, d):
     """Model answers built from the documents; every fifth has no observation."""
@@ -649,8 +649,8 @@ def paper_evidence(spark, d):
     "tool_evidence",
     """WITH i AS (SELECT doc_id, 0 AS item_no, source || ' text is in language ' || lang AS observation, source AS geological_structure FROM documents
 UNION ALL SELECT doc_id, 1, lang || ' short', 'unspecified' FROM documents)
-SELECT doc_id, CAST(item_no AS BIGINT) AS item_no, substring(md5(doc_id || ':' || substring(observation, 1, 60)), 1, 10) AS evidence_id,
-  observation, geological_structure, 'other' AS data_type FROM i WHERE length(observation) >= 20""",
+SELECT doc_id, CAST(item_no AS BIGINT) AS item_no, md5(doc_id || ':' || observation) AS evidence_id,
+  observation, geological_structure, 'other' AS data_type FROM i""",
 )
 def tool_evidence(spark, d):
     answer = F.concat(
@@ -663,7 +663,7 @@ def tool_evidence(spark, d):
 
 @query(
     "evidence_source_text",
-    """SELECT conv_id, turn, substring(text, 1, 3000) AS source_text FROM conversations WHERE length(trim(substring(text, 1, 3000), ' ' || chr(10) || chr(9))) >= 40""",
+    """SELECT conv_id, turn, text AS source_text FROM conversations WHERE length(trim(text, ' ' || chr(10) || chr(9))) >= 1""",
 )
 def evidence_source_text(spark, d):
     messages = table(spark, d, "conversations").select("conv_id", "turn", F.lit("content").alias("kind"), F.col("text").alias("content"))
@@ -725,8 +725,8 @@ def evidence_points(spark, d):
 @query(
     "evidence_source_chunks",
     """WITH r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
-SELECT conv_id, string_agg('[c' || conv_id || ' p' || turn || ']' || chr(10) || substring(text, 1, 600), chr(10) || chr(10) ORDER BY turn) AS source_text
-FROM r WHERE r <= 6 GROUP BY conv_id HAVING length(trim(source_text, ' ' || chr(10) || chr(9))) >= 40""",
+SELECT conv_id, string_agg('[c' || conv_id || ' p' || turn || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS source_text
+FROM r GROUP BY conv_id""",
 )
 def evidence_source_chunks(spark, d):
     """A conversation's messages as the chunks of one tool output."""
@@ -744,7 +744,7 @@ def evidence_source_chunks(spark, d):
 
 @query(
     "reader_output",
-    """SELECT conv_id, turn, substring(md5(CAST(turn AS VARCHAR) || ':' || role || ' said ' || length(text)), 1, 10) AS evidence_id,
+    """SELECT conv_id, turn, md5(CAST(turn AS VARCHAR) || ':' || role || ' said ' || length(text)) AS evidence_id,
   role || ' said ' || length(text) AS observation FROM conversations""",
 )
 def reader_output(spark, d):

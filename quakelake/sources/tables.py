@@ -128,17 +128,17 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def bibtex_entries(texts: DataFrame, query: str | None = None, limit: int | None = 20) -> DataFrame:
-    """Entries of BibTeX texts containing the query, with key and first 300 characters."""
+def bibtex_entries(texts: DataFrame, query: str | None = None, limit: int | None = None, width: int | None = None) -> DataFrame:
+    """Entries of BibTeX texts containing the query, with key and text (``width`` characters of it, if given)."""
     entry = F.explode(F.split(F.concat(F.lit("\n"), "text"), "\n@"))
     found = texts.select("path", entry.alias("entry"))
     if query is not None:
         found = found.filter(F.contains(F.lower("entry"), F.lit(query.lower())))
-    key = F.regexp_extract(X.head(F.col("entry"), 100), r"^\w+\{(\S+),", 1)
+    key = F.regexp_extract("entry", r"^\w+\{(\S+),", 1)
     shown = found.select(
         "path",
         F.when(key != "", key).otherwise("?").alias("key"),
-        F.concat(F.when(F.startswith("entry", F.lit("@")), "").otherwise("@"), X.strip(X.head(F.col("entry"), 300))).alias("snippet"),
+        F.concat(F.when(F.startswith("entry", F.lit("@")), "").otherwise("@"), X.strip(X.head(F.col("entry"), width))).alias("snippet"),
     )
     return shown if limit is None else shown.orderBy("path", "key", "snippet").limit(limit)
 

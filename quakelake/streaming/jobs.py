@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -14,9 +15,12 @@ from quakelake.operators.evidence import new_evidence, observation_key
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (a temporary one in tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder under the cluster's shared checkpoint folder (a temporary one in local sessions)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -40,6 +44,23 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
+def run_to_end(stream: DataFrame, time: str, build: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Drain a finite input through ``build`` and let its watermark pass everything: open windows come out too.
+
+    What is available is drained first. One row beyond all times then moves the watermark on; its own
+    window never closes. After that the progress folder takes no more rows.
+    """
+    spark = stream.sparkSession
+    ends = f"{folder}/ends"
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields if f.name != time]
+    last = spark.range(1).select(F.lit("9000-01-01").cast(stream.schema[time].dataType).alias(time), *nothing)
+    last.limit(0).write.parquet(ends)
+    both = build(stream.unionByName(spark.readStream.schema(last.schema).parquet(ends)))
+    run_available(both, folder)
+    last.write.mode("append").parquet(ends)
+    return run_available(both, folder)
+
+
 def run_batches(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None]) -> None:
     """Drain what is available through a batch function that may be called again for a batch."""
     query = (
@@ -108,14 +129,16 @@ def merge_evidence(stream: DataFrame, store: str, folder: str, order: str = "seq
     """Append arriving evidence whose observation is not in the table yet; returns the table.
 
     A batch compares itself with the other batches' partitions and overwrites its own, so running
-    it again changes nothing. Unlike :func:`new_observations` nothing is ever forgotten: the table
-    itself is the memory.
+    it again changes nothing. Partitions are named by the progress folder and the batch, so another
+    run over the same store adds to it. Unlike :func:`new_observations` nothing is ever forgotten:
+    the table itself is the memory.
     """
     path = f"{store}/evidence"
 
     def handle(batch: DataFrame, number: int) -> None:
-        held = _stored(batch.sparkSession, path, "observation string, batch int").filter(F.col("batch") != number)
-        new_evidence(batch, held, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held = _stored(batch.sparkSession, path, "observation string, run string, batch int")
+        others = held.filter((F.col("run") != _run_of(folder)) | (F.col("batch") != number))
+        new_evidence(batch, others, order).write.mode("overwrite").parquet(_partition(path, folder, number))
 
     run_batches(stream, folder, handle)
     return stream.sparkSession.read.parquet(path)
@@ -124,6 +147,15 @@ def merge_evidence(stream: DataFrame, store: str, folder: str, order: str = "seq
 # --- indexing -----------------------------------------------------------------------------------
 
 
+def _run_of(folder: str) -> str:
+    """A name for all batches of one progress folder."""
+    return "r" + hashlib.md5(folder.rstrip("/").encode()).hexdigest()[:16]
+
+
+def _partition(path: str, folder: str, number: int) -> str:
+    return f"{path}/run={_run_of(folder)}/batch={number}"
+
+
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
@@ -133,41 +165,58 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def newest(manifest: DataFrame) -> DataFrame:
+    """The last version of every document of a manifest."""
+    others = [c for c in manifest.columns if c != "doc_id"]
+    return manifest.groupBy("doc_id").agg(F.max_by(F.struct(*others), F.col("version")).alias("__m")).select("doc_id", "__m.*")
+
+
 def index_documents(
-    stream: DataFrame, store: str, folder: str, size: int = 500, overlap: int = 50
+    stream: DataFrame, store: str, folder: str, size: int = 500, overlap: int = 50, shortest: int = 1
 ) -> tuple[DataFrame, DataFrame]:
-    """Chunk arriving ``doc_id, text`` rows into a store; documents already there are skipped.
-
-    Every batch writes its own partition and writes it again if it is retried, so a lost executor or
-    a restart leaves no duplicates. Documents that give no chunk are recorded as failed. Returns
-    the manifest and the chunks.
+    """Chunk arriving ``doc_id, text`` rows into a store; returns its manifest and its chunks as they now are.
+
+    A document whose text is the one already indexed is skipped, told by a hash of the whole text. A
+    changed text becomes the document's next version, whose chunks replace the earlier ones; a null
+    text deletes the document. Every batch writes its own partition, named by progress folder and
+    batch, and writes it again if it is retried, so a lost executor, a restart or another run over
+    the store leaves no duplicates and loses nothing. Documents that give no chunk are recorded as
+    failed and tried again when they arrive again.
     """
     spark = stream.sparkSession
     id_type = stream.schema["doc_id"].dataType.simpleString()
-    manifest_ddl = f"doc_id {id_type}, n_chunks long, status string, error string, batch int"
+    manifest_ddl = f"doc_id {id_type}, text_hash string, version long, n_chunks long, status string, error string, run string, batch int"
     manifest_path, chunk_path = f"{store}/manifest", f"{store}/chunks"
 
     def handle(batch: DataFrame, number: int) -> None:
-        known = _stored(batch.sparkSession, manifest_path, manifest_ddl).filter(
-            (F.col("batch") != number) & (F.col("status") == "indexed")
-        )
+        held = _stored(batch.sparkSession, manifest_path, manifest_ddl)
+        others = held.filter((F.col("run") != _run_of(folder)) | (F.col("batch") != number))
+        known = newest(others).select("doc_id", F.col("text_hash").alias("old_hash"), F.col("version").alias("old"), F.col("status").alias("was"))
+        # The smallest of several texts of one id: the same one whenever the batch is run.
+        arrived = batch.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("text_hash", F.sha2("text", 256))
+        same = F.col("old_hash").eqNullSafe(F.col("text_hash")) & F.col("was").isin("indexed", "deleted")
+        absent = F.col("text").isNull() & F.col("was").isNull()
         fresh = (
-            batch.select("doc_id", "text")
-            .join(known.select("doc_id"), "doc_id", "left_anti")
-            # The smallest of several texts of one id: the same one whenever the batch is run.
-            .groupBy("doc_id")
-            .agg(F.min("text").alias("text"))
-            .withColumn("page", F.lit(0).cast("long"))
+            arrived.join(known, "doc_id", "left")
+            .filter(~F.coalesce(same, F.lit(False)) & ~absent)
+            .select("doc_id", "text", "text_hash", (F.coalesce("old", F.lit(0)) + 1).alias("version"))
         )
-        chunk_folder = f"{chunk_path}/batch={number}"
-        D.chunk_sections(fresh, "doc_id", size, overlap).write.mode("overwrite").parquet(chunk_folder)
+        chunk_folder = _partition(chunk_path, folder, number)
+        pieces = D.chunk_sections(fresh.withColumn("page", F.lit(0).cast("long")), "doc_id", size, overlap, shortest)
+        pieces.join(fresh.select("doc_id", "version"), "doc_id").write.mode("overwrite").parquet(chunk_folder)
         counted = batch.sparkSession.read.parquet(chunk_folder).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-        fresh.select("doc_id").join(counted, "doc_id", "left").select(
+        status = F.when(F.col("text").isNull(), "deleted").when(F.col("n_chunks") > 0, "indexed").otherwise("failed")
+        fresh.join(counted, "doc_id", "left").select(
             "doc_id",
+            "text_hash",
+            "version",
             F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"),
-            F.when(F.col("n_chunks") > 0, "indexed").otherwise("failed").alias("status"),
-            F.when(F.col("n_chunks") > 0, "").otherwise("no text extracted").alias("error"),
-        ).write.mode("overwrite").parquet(f"{manifest_path}/batch={number}")
+            status.alias("status"),
+            F.when(status == "failed", "no text extracted").otherwise("").alias("error"),
+        ).write.mode("overwrite").parquet(_partition(manifest_path, folder, number))
 
     run_batches(stream, folder, handle)
-    return spark.read.parquet(manifest_path), spark.read.parquet(chunk_path)
+    manifest = newest(spark.read.parquet(manifest_path))
+    current = manifest.filter("status = 'indexed'").select("doc_id", "version")
+    chunks = spark.read.parquet(chunk_path).join(current, ["doc_id", "version"], "left_semi")
+    return manifest.drop("run", "batch"), chunks.drop("run", "batch", "version")

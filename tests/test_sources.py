@@ -121,12 +121,12 @@ def test_file_listing(spark, tmp_path):
     assert texts["text"] == "one\ntwo\n"
 
 
-def test_fingerprint_covers_sixteen_kilobytes(spark):
+def test_fingerprint_covers_all_bytes(spark):
     import hashlib
 
     data = [bytes([i % 251]) * n for i, n in enumerate((10, 16384, 20000))]
     rows = spark.createDataFrame([(bytearray(x),) for x in data], "b binary").select("b", I.fingerprint(F.col("b")).alias("h")).collect()
-    assert all(r["h"] == hashlib.sha256(bytes(r["b"])[:16384]).hexdigest()[:16] for r in rows)
+    assert all(r["h"] == hashlib.sha256(bytes(r["b"])).hexdigest() for r in rows)
     doc = spark.range(1).select(I.document_id(F.lit("p"), F.lit("n.md"), F.lit("body").cast("binary")).alias("d")).head()["d"]
     assert doc == hashlib.md5(b"p/n.md|body").hexdigest()[:12]
 
@@ -165,7 +165,7 @@ def test_front_matter(spark):
 
 def test_index_skips_known_documents_and_records_failures(spark, tmp_path):
     src = str(tmp_path / "in")
-    rows = [(i, f"Document number {i} has a sentence that is long enough.") for i in range(4)] + [(9, "tiny")]
+    rows = [(i, f"Document number {i} has a sentence that is long enough.") for i in range(4)] + [(9, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(src)
     store, folder = str(tmp_path / "store"), str(tmp_path / "run")
     stream = jobs.table_stream(spark, src, "*.parquet")
@@ -178,15 +178,42 @@ def test_index_skips_known_documents_and_records_failures(spark, tmp_path):
     assert sorted(r["doc_id"] for r in chunks.collect()) == [0, 1, 2, 3, 20]
 
 
+def test_index_versions_over_two_progress_folders(spark, tmp_path):
+    store = str(tmp_path / "store")
+
+    def arrive(name, rows):
+        src = str(tmp_path / name)
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(src)
+        manifest, chunks = jobs.index_documents(jobs.table_stream(spark, src, "*.parquet"), store, f"{src}-run")
+        state = {r["doc_id"]: (r["status"], r["version"]) for r in manifest.collect()}
+        return state, {r["doc_id"]: r["text"] for r in chunks.collect()}
+
+    assert arrive("a", [(1, "alpha"), (2, "beta"), (5, None)]) == ({1: ("indexed", 1), 2: ("indexed", 1)}, {1: "alpha", 2: "beta"})
+    state, texts = arrive("b", [(1, "alpha"), (2, "changed"), (3, "gamma")])
+    assert texts == {1: "alpha", 2: "changed", 3: "gamma"} and state[1] == ("indexed", 1) and state[2] == ("indexed", 2)
+    state, texts = arrive("c", [(1, None), (2, "beta")])
+    assert texts == {2: "beta", 3: "gamma"} and state[1] == ("deleted", 2) and state[2] == ("indexed", 3)
+
+
+def test_open_windows_come_out_at_the_end(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [(f"2024-01-0{d} 10:00:00", "x") for d in (1, 1, 2)]
+    spark.createDataFrame(rows, "t string, k string").select(F.col("t").cast("timestamp").alias("time"), "k").write.parquet(src)
+    got = jobs.run_to_end(jobs.table_stream(spark, src, "*.parquet"), "time", lambda s: jobs.rolling_rate(s, keys=["k"]), str(tmp_path / "run"))
+    assert sorted((r["k"], r["n"]) for r in got.collect()) == [("x", 1), ("x", 2)]
+
+
 def test_evidence_merges_over_restarts(spark, tmp_path):
     src, store, folder = (str(tmp_path / n) for n in ("in", "store", "run"))
     schema = "seq long, observation string"
     spark.createDataFrame([(1, "a" * 90), (2, "b"), (3, "a" * 80 + "x")], schema).write.parquet(src)
     first = jobs.merge_evidence(jobs.table_stream(spark, src, "*.parquet"), store, folder)
-    assert sorted(r["seq"] for r in first.collect()) == [1, 2]
+    assert sorted(r["seq"] for r in first.collect()) == [1, 2, 3]
     spark.createDataFrame([(4, "b"), (5, "c")], schema).write.mode("append").parquet(src)
     both = jobs.merge_evidence(jobs.table_stream(spark, src, "*.parquet"), store, folder)
-    assert sorted(r["seq"] for r in both.collect()) == [1, 2, 5]
+    assert sorted(r["seq"] for r in both.collect()) == [1, 2, 3, 5]
+    again = jobs.merge_evidence(jobs.table_stream(spark, src, "*.parquet"), store, str(tmp_path / "other"))
+    assert sorted(r["seq"] for r in again.collect()) == [1, 2, 3, 5]
 
 
 def test_lineage_is_cut_in_the_shared_folder(spark, tmp_path):
