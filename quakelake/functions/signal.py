@@ -33,6 +33,8 @@ def _one_sided(power: np.ndarray, n_fft: int) -> np.ndarray:
 def welch(x: np.ndarray, rate: float, win: str = "hann") -> tuple[np.ndarray, np.ndarray]:
     """Power density averaged over half-overlapping windows of at most ten seconds, means removed."""
     n = min(len(x), int(rate * 10))
+    if n < 1:  # an empty trace, or less than one sample in a window
+        return np.zeros(0), np.zeros(0)
     w = window(win, n)
     starts = range(0, len(x) - n + 1, n - n // 2)
     frames = np.stack([x[s : s + n] for s in starts])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quakelake.functions import geo
 from quakelake.functions.times import micros
-from quakelake.operators.common import attach, join_keys, small_side, with_position, with_rows
+from quakelake.operators.common import attach, join_keys, literal_rows, small_side, with_position, with_rows
 
 LOG10_E = math.log10(math.e)
 
@@ -561,10 +561,13 @@ def nearest_fault(
     """
     seg = segments.select("segment_id", "lon1", "lat1", "lon2", "lat2")
     lon, lat = F.col("longitude"), F.col("latitude")
-    per_block = with_rows(events, seg, "__segs", "segment_id", max_rows).withColumn(
-        "__near", geo.nearest_segment(lon, lat, F.col("__segs"))
-    )
-    nearest = per_block.groupBy(event_id).agg(F.min("__near").alias("__near"))
+    near = geo.nearest_segment(lon, lat, F.col("__segs")).alias("__near")
+    constant = literal_rows(seg, max_rows)
+    if constant is not None:
+        nearest = events.withColumn("__segs", constant).select(event_id, near)
+    else:
+        per_block = with_rows(events, seg, "__segs", "segment_id", max_rows).select(event_id, near)
+        nearest = per_block.groupBy(event_id).agg(F.min("__near").alias("__near"))
     return nearest.select(
         event_id, F.col("__near.km").alias("fault_km"), F.col("__near.id").alias("segment_id")
     )

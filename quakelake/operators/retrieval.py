@@ -124,6 +124,8 @@ def tfidf_search(
 #: Query vectors (queries times dimensions) that may travel to every task.
 SMALL_QUERY_VALUES = 2_000_000
 VECTORS_PER_CELL = 50_000
+#: Scores held at once, rows times queries.
+TILE_SCORES = 4_000_000
 
 
 def _matrix(vectors, normalise: bool) -> np.ndarray:
@@ -173,6 +175,16 @@ def _scores(vectors, query_matrix: np.ndarray, normalise: bool) -> np.ndarray:
     return np.round(_matrix(vectors, normalise) @ query_matrix.T, SCORE_PLACES)
 
 
+def _scan_tiles(kept: dict, ids: np.ndarray, vectors, query_matrix: np.ndarray, query_ids: list, k: int, normalise: bool, tile: int) -> None:
+    """Keep the best of all vectors, scored in tiles of bounded size."""
+    columns = max(1, min(len(query_ids), tile))
+    rows = max(1, tile // columns)
+    for c in range(0, len(query_ids), columns):
+        for r in range(0, len(ids), rows):
+            scores = _scores(vectors[r : r + rows], query_matrix[c : c + columns], normalise)
+            _keep_best(kept, ids[r : r + rows], scores, query_ids[c : c + columns], k)
+
+
 def vector_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -184,8 +196,9 @@ def vector_topk(
     normalise: bool = True,
     small_values: int = SMALL_QUERY_VALUES,
     vectors_per_cell: int = VECTORS_PER_CELL,
+    tile_scores: int = TILE_SCORES,
 ) -> DataFrame:
-    """Exact inner-product top-k: ``<query>, rank, <id>, score``.
+    """Exact inner-product top-k: ``<query>, rank, <id>, score``. Rows without a vector take no part.
 
     Each task multiplies its vectors with all queries and keeps k rows per query, so the shuffle
     carries k rows per query and task. A query batch too large to send to every task is cut into
@@ -194,11 +207,10 @@ def vector_topk(
     id_type = vectors.schema[id_col].dataType.simpleString()
     q_type = queries.schema[query_id].dataType.simpleString()
     schema = f"{query_id} {q_type}, {id_col} {id_type}, score double"
-    data = vectors.select(F.col(id_col), F.col(vec_col).alias("__v"))
-    asked = queries.select(F.col(query_id), F.col(query_vec).alias("__q"))
+    data = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col), F.col(vec_col).alias("__v"))
+    asked = queries.filter(F.col(query_vec).isNotNull()).select(F.col(query_id), F.col(query_vec).alias("__q"))
 
-    one = asked.select(F.size("__q").alias("d")).head()
-    dim = max(one[0] if one else 1, 1)
+    dim = max(asked.agg(F.max(F.size("__q"))).head()[0] or 1, 1)
     max_queries = max(1, small_values // dim)
     rows = asked.limit(max_queries + 1).collect()
     if len(rows) <= max_queries:
@@ -211,8 +223,8 @@ def vector_topk(
             kept: dict = {}
             for batch in batches:
                 if len(batch) and query_ids:
-                    scores = _scores(batch["__v"], query_matrix, normalise)
-                    _keep_best(kept, np.array(batch[id_col].tolist()), scores, query_ids, k)
+                    ids = np.array(batch[id_col].tolist())
+                    _scan_tiles(kept, ids, batch["__v"], query_matrix, query_ids, k, normalise, tile_scores)
             yield from _kept_rows(kept, query_id, id_col)
 
         partial = data.mapInPandas(scan, schema)
@@ -229,8 +241,8 @@ def vector_topk(
         def cell(vecs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
             kept: dict = {}
             if len(vecs) and len(qs):
-                scores = _scores(vecs["__v"], _matrix(qs["__q"], normalise), normalise)
-                _keep_best(kept, np.array(vecs[id_col].tolist()), scores, qs[query_id].tolist(), k)
+                ids, asked_ids = np.array(vecs[id_col].tolist()), qs[query_id].tolist()
+                _scan_tiles(kept, ids, vecs["__v"], _matrix(qs["__q"], normalise), asked_ids, k, normalise, tile_scores)
             empty = pd.DataFrame({query_id: [], id_col: [], "score": []})
             return next(_kept_rows(kept, query_id, id_col), empty)
 
@@ -379,7 +391,8 @@ def _hits(tokens: Column, field: Column) -> Column:
 
 
 def _name_points(query: Column, name: Column) -> Column:
-    return F.when(F.contains(query["q"], name) | _any(query["two"], name), 2).otherwise(0)
+    low = F.lower(name)
+    return F.when(F.contains(query["q"], low) | _any(query["two"], low), 2).otherwise(0)
 
 
 def entry_score(query: Column, entry: Column) -> Column:

@@ -197,7 +197,7 @@ def skill_catalog(spark, d):
     """Benchmark items as catalog entries: keywords from the first words, body the whole text."""
     words = F.slice(F.array_distinct(R.X.tokens(F.col("text"))), 1, 4)
     return table(spark, d, "benchmark").select(
-        F.concat(F.lit("skill_"), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("name"),
+        F.concat(F.lit("Skill_"), F.lpad(F.col("item_id").cast("string"), 5, "0")).alias("name"),
         F.element_at(F.split("text", "[.] "), 1).alias("description"),
         F.concat_ws(" ", F.element_at(F.split("text", " "), 1), F.lit("topic")).alias("title"),
         words.alias("keywords"),
@@ -211,7 +211,7 @@ def skill_catalog(spark, d):
 _CATALOG = f"""WITH tk AS (SELECT item_id, unnest({_TOKENS.format('text')}) AS t, generate_subscripts({_TOKENS.format('text')}, 1) AS pos FROM benchmark),
 fd AS (SELECT item_id, t, min(pos) AS pos FROM tk GROUP BY item_id, t),
 kw AS (SELECT item_id, list(t ORDER BY pos)[1:4] AS keywords FROM fd GROUP BY item_id),
-cat AS (SELECT 'skill_' || lpad(CAST(b.item_id AS VARCHAR), 5, '0') AS name, string_split(text, '. ')[1] AS description,
+cat AS (SELECT 'Skill_' || lpad(CAST(b.item_id AS VARCHAR), 5, '0') AS name, string_split(text, '. ')[1] AS description,
                string_split(text, ' ')[1] || ' topic' AS title, coalesce(keywords, CAST([] AS VARCHAR[])) AS keywords, text AS body,
                CASE b.item_id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'builtin' ELSE 'generated' END AS source
         FROM benchmark b LEFT JOIN kw ON kw.item_id = b.item_id),
