@@ -28,7 +28,7 @@ ENTRIES = 4
 HIDDEN = 32
 THRESHOLD = 0.7
 #: Words a task remembers the buckets of.
-MEMORY = 200_000
+MEMORY = 500_000
 #: Words worked on at once.
 STRETCH = 1 << 18
 
@@ -53,15 +53,20 @@ class Buckets:
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
+        self.shapes: dict[bytes, int] = {}
 
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
         known = self.known
         if len(known) > MEMORY:
             known.clear()
+            self.shapes.clear()
         for w in set(words).difference(known):
-            shape = RUNS.sub(rb"\1", w.translate(KINDS))
-            known[w] = (zlib.crc32(w.lower()) % WORD_BUCKETS) * SHAPE_BUCKETS + zlib.crc32(shape) % SHAPE_BUCKETS
+            kinds = w.translate(KINDS)
+            shape = self.shapes.get(kinds)
+            if shape is None:
+                shape = self.shapes[kinds] = zlib.crc32(RUNS.sub(rb"\1", kinds)) % SHAPE_BUCKETS
+            known[w] = zlib.crc32(w.lower()) % WORD_BUCKETS * SHAPE_BUCKETS + shape
         both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return both // SHAPE_BUCKETS, both % SHAPE_BUCKETS + WORD_BUCKETS
 
