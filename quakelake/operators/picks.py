@@ -197,14 +197,29 @@ def polarity_windows(picks: DataFrame, traces: DataFrame, keys: Sequence[str] =
 
     ``picks`` has ``rel_time``; ``traces`` has ``sampling_rate, data``. Picks too near an end get
     no window and the reason ``out_of_bounds``; picks without a trace are dropped.
+
+    Traces are cut into blocks of a window's length, each row holding its block and the next, so
+    that a pick meets one such row and not the whole trace, and a busy station is as many keys as it
+    has blocks.
     """
-    at = F.floor(F.col("rel_time") * F.col("sampling_rate")).cast("int")
-    joined = picks.join(traces.select(*keys, "sampling_rate", "data"), list(keys)).withColumn("__i", at)
-    inside = (F.col("__i") >= HALF_WINDOW) & (F.col("__i") <= F.size("data") - HALF_WINDOW)
-    return joined.select(
-        *picks.columns,
-        F.when(inside, F.slice("data", F.greatest(F.col("__i") - HALF_WINDOW + 1, F.lit(1)), F.lit(2 * HALF_WINDOW))).alias("window"),
-        F.when(inside, "ok").otherwise("out_of_bounds").alias("reason"),
+    keys, width = list(keys), 2 * HALF_WINDOW
+    heads = traces.select(*keys, "sampling_rate", F.size("data").alias("__n"))
+    at = F.floor(F.col("rel_time") * F.col("sampling_rate"))
+    placed = (
+        picks.join(heads, keys)
+        .withColumn("__first", at - HALF_WINDOW)
+        .withColumn("__ok", (F.col("__first") >= 0) & (F.col("__first") <= F.col("__n") - width))
+        .withColumn("__block", F.when(F.col("__ok"), F.floor(F.col("__first") / width)))
+    )
+    last = F.floor(F.greatest(F.size("data") - 1, F.lit(0)) / width)
+    blocks = traces.select(*keys, "data", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__block")).select(
+        *keys, "__block", F.slice("data", (F.col("__block") * width + 1).cast("int"), F.lit(2 * width)).alias("__part")
+    )
+    window = F.slice("__part", (F.col("__first") - F.col("__block") * width + 1).cast("int"), F.lit(width))
+    return placed.join(blocks, [*keys, "__block"], "left").select(
+        *[F.col(c) for c in picks.columns],
+        F.when(F.col("__ok"), window).alias("window"),
+        F.when(F.col("__ok"), "ok").otherwise("out_of_bounds").alias("reason"),
     )
 
 

@@ -2,7 +2,7 @@
 
 Long-form operators reduce each trace with map-side combining and join the result back; windows run
 over (trace, block of sample numbers), so no task holds a whole trace. Kernels that need the whole
-sample array (filters, spectra) work on segments of bounded length, one row each, without a shuffle.
+sample array (filters, spectra) work on array rows, one trace or one named window each.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from quakelake.operators.common import attach, join_keys
 
 #: Samples one (trace, block) window may hold.
 BLOCK = 262_144
-#: Samples of one segment row.
-SEGMENT = 65_536
+#: Samples one array row may hold.
+LARGEST = 16_777_216
 DISPLAY_POINTS = 4000
 
 
@@ -195,15 +195,15 @@ def motion_pairs(samples: DataFrame, keys: Sequence[str] = ("station",), compone
     return wide.filter(F.col("e").isNotNull() & F.col("n").isNotNull() & F.col("z").isNotNull())
 
 
-def segments(
-    samples: DataFrame, keys: Sequence[str] = ("trace_id",), length: int = SEGMENT
-) -> DataFrame:
-    """Array rows of at most ``length`` samples: ``keys, segment, data``.
+def segments(samples: DataFrame, keys: Sequence[str] = ("trace_id",), length: int | None = None) -> DataFrame:
+    """Array rows ``keys, segment, data``: whole traces, or windows of ``length`` samples where asked for.
 
-    A trace no longer than ``length`` is one segment; a longer one is cut, so that no group grows
-    with the trace.
+    Kernels on arrays begin anew in every row, so traces are cut only at a length the caller names. A
+    row that would hold more than ``LARGEST`` samples is an error, not a silent cut.
     """
-    cut = samples.withColumn("segment", F.floor(F.col("i") / length).cast("long"))
-    return cut.groupBy(*keys, "segment").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("data")
-    )
+    at = F.lit(0) if length is None else F.floor(F.col("i") / length)
+    cut = samples.withColumn("segment", at.cast("long"))
+    held = F.when(
+        F.count("*") > LARGEST, F.raise_error(F.lit(f"a trace holds more than {LARGEST} samples: name a window length"))
+    ).otherwise(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]))
+    return cut.groupBy(*keys, "segment").agg(held.alias("data"))

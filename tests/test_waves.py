@@ -191,3 +191,25 @@ def test_events_need_enough_phases(spark):
     df = spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(rows)], "phase string, s long, id long").withColumn("abs_time", F.timestamp_seconds("s"))
     got = K.events_from_groups(K.group_picks(df, 60, ties=["id"]), min_phases=2, min_p=2, min_s=1).collect()
     assert [(r["event_no"], r["n_phases"], r["n_p"], r["n_s"]) for r in got] == [(1, 3, 2, 1)]
+
+
+def test_polarity_windows_over_blocks(spark):
+    data = [float(i * i % 977) for i in range(5000)]
+    traces = spark.createDataFrame([("f", "s", 100.0, data), ("f", "short", 100.0, data[:900]), ("f", "none", 100.0, [])], "file string, station string, sampling_rate double, data array<double>")
+    at = [0, 511, 512, 1023, 1024, 1535, 1536, 2500, 4488, 4489, 4999, 9000]
+    picks = [("f", "s", i / 100, i) for i in at] + [("f", "short", 5.0, -1), ("f", "none", 0.0, -2), ("f", "absent", 0.0, -3), ("f", "s", 6.0, 600), ("f", "s", 6.0, 600)]
+    df = spark.createDataFrame(picks, "file string, station string, rel_time double, n long")
+    rows = K.polarity_windows(df, traces).collect()
+    assert len(rows) == len(picks) - 1
+    for r in rows:
+        i = int(r["n"])
+        inside = r["station"] == "s" and 512 <= i <= len(data) - 512
+        assert (r["reason"], r["window"]) == (("ok", data[i - 512 : i + 512]) if inside else ("out_of_bounds", None))
+
+
+def test_traces_are_whole_unless_a_length_is_named(spark, monkeypatch):
+    df = long_form(spark, {1: SINE, 2: SINE[:10]})
+    assert {r["trace_id"]: len(r["data"]) for r in W.segments(df).collect()} == {1: len(SINE), 2: 10}
+    monkeypatch.setattr(W, "LARGEST", 100)
+    with pytest.raises(Exception, match="window length"):
+        W.segments(df).collect()
