@@ -21,6 +21,10 @@ FIT_UNLABELLED = 24_000
 CANDIDATES = 50_000
 FEATURES = 1_024
 LEAST_TEXTS = 4
+#: How many times likelier a feature must be in toxic texts than in all others.
+LIFT = 3.0
+#: Standard deviations that its count in toxic texts must be above what the other texts suggest.
+SURE = 8.0
 THRESHOLD = 0.7
 #: Bytes at the edges of a word that do not belong to it.
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|/\\-_~+="
@@ -52,12 +56,12 @@ class Classifier:
         return float(1 / (1 + np.exp(-(self.bias + self.weights[at].sum()))))
 
 
-def fit_non_negative(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.05, decay: float = 1e-4):
+def fit_non_negative(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs: int = 200, rate: float = 0.05, decay: float = 1e-6):
     """Weights and bias of a logistic classifier under the non-negative PU risk.
 
-    Risk: prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]). When the second
-    part, the risk on negatives, falls below zero on a batch, the step goes against it instead, so
-    that the classifier cannot win by calling the unlabelled positives negative.
+    Risk: prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]). Where the second
+    part, the risk on negatives, falls below zero on a batch, it counts as zero and only the first
+    part is followed, so that the classifier cannot win by driving it down without end.
     """
     rng = np.random.default_rng(7)
     w, b = np.zeros(x_pos.shape[1]), float(np.log(prior / (1 - prior)))
@@ -77,13 +81,14 @@ def fit_non_negative(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, epochs:
             if negative >= 0:
                 gp, gu = grad_pos + grad_neg_p, grad_neg_u
             else:
-                gp, gu = -grad_neg_p, -grad_neg_u
+                gp, gu = grad_pos, np.zeros(len(u))
             g = np.append(xp.T @ gp + xu.T @ gu + decay * w, gp.sum() + gu.sum())
             step += 1
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            w, b = w - move[:-1], b - move[-1]
+            # Features are signs of toxicity: none speaks against it.
+            w, b = np.maximum(w - move[:-1], 0), b - move[-1]
     return w, b
 
 
@@ -150,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     in_p = np.array([r["n"] for r in top], float)
     rest = np.maximum(corpus[:-1] - in_p, 0)
     p_rate, u_rate = (in_p + 0.5) / (n_pos + 1), (rest + 0.5) / (max(corpus[-1] - n_pos, 0) + 1)
-    gain = np.where(p_rate > u_rate, p_rate * np.log(p_rate / u_rate), -np.inf)
+    sure = in_p - n_pos * u_rate > SURE * np.sqrt(n_pos * u_rate)
+    gain = np.where(sure & (p_rate > LIFT * u_rate), p_rate * np.log(p_rate / u_rate), -np.inf)
     kept = [i for i in np.argsort(-gain, kind="stable")[:FEATURES] if gain[i] > 0]
     index = {names[i]: k for k, i in enumerate(kept)}
     shared_index = spark.sparkContext.broadcast(index)
