@@ -191,7 +191,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         rows = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * DIMENSIONS, pa.int32()), values)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), rows], names=["bucket", "vector"])
 
-    def add(key, part: pd.DataFrame) -> pd.DataFrame:
+    def add(key, part):
         at, where = np.unique(part["bucket"].to_numpy(), return_inverse=True)
         sums = np.zeros((len(at), DIMENSIONS))
         np.add.at(sums, where, np.stack(part["vector"].to_numpy()))
