@@ -21,7 +21,7 @@ FILTER_ROWS = 1024
 FILTER_BITS = FILTER_ROWS * 32768
 
 #: Bytes of a batch of rows on its way to a Python worker.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 _local_dirs: dict[str, str] = {}
 

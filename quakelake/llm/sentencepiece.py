@@ -20,7 +20,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes matched at once; one longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
 #: Encoded segments that a task remembers.
-MEMORY = 200_000
+MEMORY = 100_000
 #: Segments above this many characters are relaxed one by one.
 LONG = 64
 #: Stand-ins inside a batch for the word mark and for the end of a segment; no UTF-8 text has them.
