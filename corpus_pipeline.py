@@ -26,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     digest = F.sha2(lower_ascii(whole("text")), 256)
-    found = stored(exact_duplicates(docs.select("doc_id", "text", digest.alias("sha")), carry=["sha"]).filter("group_size > 1"), "copies")
+    found = stored(exact_duplicates(docs.select("doc_id", "text", digest.alias("sha")), carry=["sha"]), "copies")
     keys = {"doc_id": F.col("doc_id"), "sha": digest}
     return kept_rows(docs, found.filter("kept"), found.filter("not kept"), keys, once=True)
 

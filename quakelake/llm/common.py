@@ -131,7 +131,9 @@ def may_hold(df: DataFrame, bitmap: DataFrame, name: str, *key: Column) -> DataF
 def kept_rows(df: DataFrame, stay: DataFrame, gone: DataFrame, keys: dict[str, Column], once: bool = False) -> DataFrame:
     """The rows of ``df`` whose keys are in ``stay``; ``gone`` holds the keys of dropped rows.
 
-    With ``once`` rows whose keys are in both stay once.
+    Every row of ``df`` has its key in ``stay`` or ``gone``; a kept row that is missing in ``stay``
+    would be lost where the filter of ``gone`` holds it by chance. With ``once`` rows whose keys are
+    in both stay once.
 
     Rows that the filter of ``gone`` clears pass without moving; only the others, the dropped ones
     and a few more, meet ``stay`` in a join. ``keys`` gives the key columns of ``stay`` and ``gone``

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quakelake.llm import mixing, sentencepiece, toxicity
+from quakelake.llm import common, mixing, sentencepiece, toxicity
 from quakelake.llm.common import stored
 from test_llm_operators import ascii_lower, brute_near, docs
 
@@ -52,6 +52,16 @@ def test_exact_stage(stages):
     assert Counter((r["doc_id"], ascii_lower(r["text"])) for r in after) == Counter((i if i >= 0 else None, t) for t, i in best.items())
 
 
+def test_full_filter_drops_no_unique_document(spark, monkeypatch):
+    """With a filter of one bit every row is unsure, as some are on large inputs."""
+    monkeypatch.setattr(common, "FILTER_BITS", 1)
+    rows = [(1, "one text", "s"), (2, "ONE text", "s"), (3, "another text", "s"), (4, None, "s"), (None, "no id", "s"), (6, "six", "s"), (6, "six", "s")]
+    stayed = corpus_pipeline.exact_dedup(spark, docs(spark, rows), "").collect()
+    assert pairs(stayed) == Counter([(2, "ONE text"), (3, "another text"), (4, None), (None, "no id"), (6, "six")])
+    stayed = corpus_pipeline.near_dedup(spark, docs(spark, [(1, "a b c d e f", "s"), (2, "a b c d e f", "s"), (3, "u v w x y z", "s")]), "").collect()
+    assert pairs(stayed) == Counter([(1, "a b c d e f"), (3, "u v w x y z")])
+
+
 def test_near_stage(stages):
     before, after = stages[1][2], stages[1][3]
     found = brute_near([(r["doc_id"], r["text"], None) for r in before], 5)
