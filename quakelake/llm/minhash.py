@@ -15,10 +15,10 @@ from quakelake.llm.registry import query
 
 #: Sorted signature orders, and hashes in each; trees * depth hashes in all.
 TREES, DEPTH = 16, 8
-#: Common prefix that makes neighbours in an order candidates. A pair at similarity 0.8 shares it in
-#: some order with probability 1 - (1 - 0.8^3)^16 > 0.99998.
+#: Common prefix in an order that makes rows candidates. A pair at similarity 0.8 shares it in some
+#: order with probability 1 - (1 - 0.8^3)^16 > 0.99998.
 SHALLOW = 3
-#: Rows of a region compared at once; larger regions are told apart by deeper prefixes.
+#: Rows of a region compared as one; of larger regions every two blocks of about that size are.
 REGION = 1_024
 #: Documents of a candidate class in one block; pairs of blocks are confirmed in tasks of their own.
 BLOCK = 256
@@ -92,7 +92,7 @@ def _rows(batches, width: int):
         )
 
 
-# --- candidates: regions of the sorted orders ---------------------------------------------------
+# --- candidates: regions of equal prefix ---------------------------------------------------
 
 _NIBBLES = np.uint64(0x1111111111111111)
 
@@ -120,52 +120,33 @@ def _linked(nodes: np.ndarray, marks: np.ndarray, least: int) -> list[tuple[int,
 
 
 def region_edges(keys: np.ndarray, nodes: np.ndarray, marks: np.ndarray, least: int, depth: int = SHALLOW) -> list[tuple[int, int]]:
-    """Candidate edges among rows sorted by signature that share their first ``depth`` hashes.
-
-    A region of bounded size is searched whole. A larger one is cut where the common prefix is
-    shorter than one more hash, and each part is searched on its own, as deep as needed; rows on
-    both sides of a cut are still neighbours and compared. Rows that agree in all hashes go in
-    overlapping runs.
-    """
-    if len(nodes) <= REGION:
-        return _linked(nodes, marks, least)
+    """Candidate edges among rows sorted by key; rows that share their first ``depth`` values are compared wholly."""
+    cuts = np.flatnonzero((keys[1:, :depth] != keys[:-1, :depth]).any(axis=1)) + 1
     edges = []
-    if depth >= keys.shape[1]:
-        for at in range(0, len(nodes), REGION // 2):
-            part = slice(at, at + REGION)
-            edges += _linked(nodes[part], marks[part], least)
-        return edges
-    cuts = np.flatnonzero((keys[1:, depth] != keys[:-1, depth])) + 1
-    bounds = [0, *cuts.tolist(), len(nodes)]
-    for a, b in zip(bounds, bounds[1:]):
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(nodes)]):
         if b - a > 1:
-            edges += region_edges(keys[a:b], nodes[a:b], marks[a:b], least, depth + 1)
-    for c in cuts:
-        part = slice(max(0, c - 4), c + 4)
-        edges += _linked(nodes[part], marks[part], least)
+            edges += _linked(nodes[a:b], marks[a:b], least)
     return edges
 
 
 def _regions(batches, least: int):
-    """Walk a sorted partition, region by region; the last one is carried to the next batch."""
+    """Walk a sorted partition, unit by unit; the last one is carried to the next batch."""
     held = None
     for batch in _with_end(batches):
         if batch is not None:
-            tree = batch.column(0).to_numpy().astype(np.uint32)
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH)
-            marks = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(tree), -1)
-            rows = (np.column_stack([tree, keys.astype(np.uint32)]), batch.column(3).to_numpy(), marks)
+            unit = [batch.column(i).to_numpy().astype(np.int64)[:, None] for i in range(3)]
+            prefix = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u4").reshape(-1, SHALLOW).astype(np.int64)
+            marks = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(prefix), -1)
+            rows = (np.hstack([*unit, prefix]), batch.column(5).to_numpy(), marks)
             held = rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows))
         if held is None or not len(held[1]):
             continue
         keys, nodes, marks = held
-        cuts = np.flatnonzero((keys[1:, : SHALLOW + 1] != keys[:-1, : SHALLOW + 1]).any(axis=1)) + 1
-        bounds = [0, *cuts.tolist()] + ([len(nodes)] if batch is None else [])
-        edges = []
-        for a, b in zip(bounds, bounds[1:]):
-            if b - a > 1:
-                edges += region_edges(keys[a:b, 1:], nodes[a:b], marks[a:b], least)
-        last = bounds[-1]
+        last = len(nodes)
+        if batch is not None:
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+        edges = region_edges(keys[:last], nodes[:last], marks[:last], least, keys.shape[1])
         held = (keys[last:], nodes[last:], marks[last:])
         pairs = np.array(edges, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -221,6 +202,24 @@ def confirm(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tup
     return [(int(nodes[i]), int(nodes[k])) for i, k in enumerate(label) if i != k]
 
 
+UNIT = ["tree", "x", "y", "prefix"]
+
+
+def _units(trees: DataFrame) -> DataFrame:
+    """Deal every region of ``tree`` and ``prefix`` to units that together compare all its pairs.
+
+    A region up to ``REGION`` rows is one unit. A crowded one is cut into blocks by the hash of the
+    id, and each two blocks are a unit, which also compares the pairs inside them.
+    """
+    regions = trees.groupBy("tree", "prefix").count().filter(F.col("count") > REGION)
+    crowded = stored(regions.select("tree", "prefix", F.ceil(F.col("count") / REGION).cast("int").alias("blocks")), "crowded")
+    salted = trees.join(crowded, ["tree", "prefix"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("own")) | (F.col("blocks") == 1))
+    paired = salted.withColumn("own", own).withColumn("other", F.explode(others))
+    return paired.select("tree", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "prefix", "marks", "id")
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -229,10 +228,10 @@ def near_duplicates(
     Documents are linked when ``100 * intersection >= percent * union`` of their sets of distinct
     ``width``-word shingles; a component is named by its smallest id and keeps that document.
 
-    Equal sets become one node first. Every node's signature is laid out in several sorted orders,
-    dealt by range so that no prefix, however common, is one task. Rows next to each other with a
-    common prefix of ``SHALLOW`` hashes form a region; crowded regions go deeper. Within a region
-    sketches decide which nodes belong to one candidate class. The classes are then confirmed on
+    Equal sets become one node first. Every node's signature is laid out in several orders. Rows
+    with a common prefix of ``SHALLOW`` hashes in an order form a region, whose pairs are all
+    compared; crowded regions are cut into pairs of blocks, so that no prefix, however common, is one
+    task. Sketches decide which nodes belong to one candidate class. The classes are then confirmed on
     full sets: each class is cut into blocks, every pair of blocks is compared wholly, and the exact
     links give the components. Sets travel once per block pair of their own class; only forests of
     edges leave a task.
@@ -252,10 +251,10 @@ def near_duplicates(
     nodes = filled.join(reps.select("fa", "fb", F.col("rep").alias("id")), ["fa", "fb", "id"], "left_semi")
 
     trees = nodes.select("id", "keys", "marks", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
-        "tree", F.substring("keys", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("key"), "marks", "id"
+        "tree", F.substring("keys", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * SHALLOW)).alias("prefix"), "marks", "id"
     )
     least = least_matches(percent / 100)
-    forest = trees.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
+    forest = _units(trees).repartition(*UNIT).sortWithinPartitions(*UNIT)
     candidates = stored(forest.mapInArrow(lambda b: _regions(b, least), "a long, b long").filter("a <> b").distinct(), "candidates")
     classes = stored(connected_components(candidates, "a", "b"), "classes")
     discard(candidates)

@@ -145,6 +145,26 @@ def test_near_duplicates(spark, monkeypatch, region, block):
     assert set(components(edges).values()) == {0}
 
 
+@pytest.mark.parametrize("same", [minhash.DEPTH, minhash.SHALLOW])
+def test_crowded_regions_compare_all_pairs(same):
+    """Two rows alike, far apart in a crowd that shares all hashes or only the first three."""
+    n = 3 * minhash.REGION
+    rng = np.random.default_rng(3)
+    keys = np.zeros((n, minhash.DEPTH), np.uint32)
+    keys[:, same:] = np.arange(n)[:, None]
+    marks = rng.integers(0, 1 << 63, (n, minhash.TREES * minhash.DEPTH // 16)).astype(np.uint64)
+    marks[-1] = marks[0]
+    assert minhash.region_edges(keys, np.arange(n), marks, minhash.least_matches(0.8)) == [(0, n - 1)]
+
+
+@pytest.mark.parametrize("region", [1, 3])
+def test_near_duplicates_by_pairs_of_blocks(spark, monkeypatch, region):
+    monkeypatch.setattr(minhash, "REGION", region)
+    rows = near_rows()
+    got = minhash.near_duplicates(docs(spark, rows), width=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_near(rows, 4)
+
+
 def test_near_duplicates_null_ids_and_empty(spark):
     rows = [(None, "a b c d e f", "s"), (3, "a b c d e f", "s"), (None, "q r s t u v", "s")]
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(spark, rows)).collect()}
