@@ -20,6 +20,7 @@ MODULES = [
     "toxicity",
     "url_filter",
     "mixing",
+    "packing",
 ]
 
 QUERIES: dict[str, Query] = {}
