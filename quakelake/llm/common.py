@@ -55,6 +55,26 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str, to: str) -> tuple[DataFrame, int]:
+    """Sort by ``order`` and number all rows from 0 in the column ``to``; also their count.
+
+    Ranges are cut by value and, among equal rows, by a salt, so no value is one task. The table is
+    written once; what each partition holds is one number on the driver per partition of the shuffle.
+    """
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4096))
+    keys = [F.col(c) for c in order]
+    placed = df.withColumn("__salt", salt).repartitionByRange(*keys, F.col("__salt")).sortWithinPartitions(*keys).drop("__salt")
+    table = stored(placed.withColumn("__at", F.monotonically_increasing_id()), name)
+    part, local = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    total, starts = 0, []
+    for number, rows in sorted(table.groupBy(part).count().collect()):
+        starts.append((number, total))
+        total += rows
+    bases = df.sparkSession.createDataFrame(starts, "__part long, __base long")
+    joined = table.join(F.broadcast(bases), part == F.col("__part"))
+    return joined.withColumn(to, F.col("__base") + local).drop("__at", "__part", "__base"), total
+
+
 def whole(text: Column | str) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -20,6 +20,8 @@ MODULES = [
     "toxicity",
     "url_filter",
     "mixing",
+    "repair",
+    "negatives",
     "packing",
 ]
 
