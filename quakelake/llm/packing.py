@@ -21,8 +21,10 @@ CAPACITY = 4096
 END = 2
 #: Tokens that a task holds before it fills windows; half of them stay, so that lengths remain varied.
 POOL = 1 << 20
-#: Characters of a text that are encoded at once; texts are cut before white space only.
+#: Characters of a text that are encoded at once; texts are cut before blanks only.
 SEGMENT = 1 << 16
+#: Words whose ids a task keeps, and their greatest length.
+KNOWN, LONG_WORD = 400_000, 64
 
 
 # --- one window ---------------------------------------------------------------------------------
@@ -140,27 +142,41 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
     return out
 
 
-def token_ids(tokenizer, texts: list[str], end: int) -> list[np.ndarray]:
-    """Ids of every text with ``end`` behind them.
+class WordIds:
+    """Token ids of texts, put together from those of their words.
 
-    The vocabulary's pieces never reach over white space, so segments of a text give its own ids.
+    The vocabulary's pieces never reach over blanks, so a text has the ids of its words in a row.
+    Each word is encoded when it is first met. Ids of short words are kept in two halves: a full
+    younger half becomes the older one, from which words that occur again are taken back.
     """
-    parts = [segments(t) for t in texts]
-    coded = iter(tokenizer.encode_batch_fast([s for p in parts for s in p], add_special_tokens=False))
-    last = np.array([end], np.uint32)
-    return [np.concatenate([*[np.array(next(coded).ids, np.uint32) for _ in p], last]) for p in parts]
 
-
-def _small_batches(texts: list[str], size: int = 16 * SEGMENT) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that together are about ``size`` characters."""
-    at, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
-        if held >= size:
-            yield at, i + 1
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    def __init__(self, tokenizer, end: int) -> None:
+        self.tokenizer = tokenizer
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.end = np.array([end], "<u4").tobytes()
+
+    def _ids(self, words: list[str]) -> bytes:
+        new, long = [], {}
+        for word in set(words).difference(self.young):
+            if word in self.old:
+                self.young[word] = self.old[word]
+            else:
+                new.append(word)
+        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            (self.young if len(word) <= LONG_WORD else long)[word] = np.array(coded.ids, "<u4").tobytes()
+        if long:
+            return b"".join([self.young[w] if w in self.young else long[w] for w in words])
+        return b"".join(map(self.young.__getitem__, words))
+
+    def of(self, text: str) -> np.ndarray:
+        """Ids of a text with ``end`` behind them."""
+        parts = []
+        for segment in segments(text):
+            if len(self.young) > KNOWN // 2:
+                self.young, self.old = {}, self.young
+            parts.append(self._ids(segment.split(" ")))
+        return np.frombuffer(b"".join([*parts, self.end]), "<u4")
 
 
 def pack_documents(
@@ -205,16 +221,15 @@ def pack_documents(
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
+        model = WordIds(Tokenizer.from_file(path), end)
         kind = None
 
         def documents():
             nonlocal kind
             for batch in batches:
                 kind = batch.schema.field(0).type
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in _small_batches(texts):
-                    yield from zip(ids[a:b], token_ids(model, texts[a:b], end))
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    yield doc, model.of(text.as_py())
 
         first = TaskContext.get().partitionId() << 33
         rows, held = [], 0
