@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
+import sys
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from quakelake.llm.common import bounded_batches, own_columns, whole
 from quakelake.llm.registry import query
@@ -142,29 +148,66 @@ def segments(text: str, size: int = SEGMENT) -> list[str]:
     return out
 
 
+#: Words of printable ASCII, but for ``<``, which may open a special token, white space, and the
+#: composed letters of Latin-1: normal forms leave them as they are.
+PLAIN = regex.compile(r"[!-;=-~\t-\rÀ-ÖØ-öø-ÿ]*")
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it can be
+    printed, otherwise the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+BYTE_SYMBOLS = byte_symbols()
+
+
 class WordIds:
     """Token ids of texts, put together from those of their words.
 
     The vocabulary's pieces never reach over blanks, so a text has the ids of its words in a row.
     Each word is encoded when it is first met. Ids of short words are kept in two halves: a full
     younger half becomes the older one, from which words that occur again are taken back.
+
+    Where the vocabulary lower-cases and splits by a pattern of its own, plain words are split by it
+    here, and only pieces not met before go through its merges.
     """
 
-    def __init__(self, tokenizer, end: int) -> None:
-        self.tokenizer = tokenizer
+    def __init__(self, path: str, end: int) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.end = np.array([end], "<u4").tobytes()
+        with open(path, encoding="utf-8") as file:
+            self.split = split_pattern(json.load(file))
+
+    def _plain(self, word: str) -> bytes | None:
+        if self.split is None or not PLAIN.fullmatch(word):
+            return None
+        out = b""
+        for piece in self.split.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                symbols = piece if piece.isascii() else "".join(map(BYTE_SYMBOLS.__getitem__, piece.encode()))
+                ids = self.pieces[piece] = _bytes([t.id for t in self.tokenizer.model.tokenize(symbols)])
+            out += ids
+        return out
 
     def _ids(self, words: list[str]) -> bytes:
         new, long = [], {}
         for word in set(words).difference(self.young):
-            if word in self.old:
-                self.young[word] = self.old[word]
-            else:
+            ids = self.old.get(word)
+            if ids is None and len(word) <= LONG_WORD:
+                ids = self._plain(word)
+            if ids is None:
                 new.append(word)
+            else:
+                self.young[word] = ids
         for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (self.young if len(word) <= LONG_WORD else long)[word] = np.array(coded.ids, "<u4").tobytes()
+            (self.young if len(word) <= LONG_WORD else long)[word] = _bytes(coded.ids)
         if long:
             return b"".join([self.young[w] if w in self.young else long[w] for w in words])
         return b"".join(map(self.young.__getitem__, words))
@@ -175,10 +218,39 @@ class WordIds:
         for segment in segments(text):
             if len(self.young) > KNOWN // 2:
                 self.young, self.old = {}, self.young
+            if len(self.pieces) > KNOWN // 2:
+                self.pieces = {}
             parts.append(self._ids(segment.split(" ")))
         return np.frombuffer(b"".join([*parts, self.end]), "<u4")
 
 
+def _bytes(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
+def split_pattern(vocabulary: dict) -> regex.Pattern | None:
+    """The pattern of a vocabulary that lower-cases, splits by one pattern and maps bytes; else None."""
+    steps = (vocabulary.get("normalizer") or {}).get("normalizers") or []
+    cuts = (vocabulary.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    known = [s for s in steps if s == blank or s["type"] in ("NFC", "Lowercase")] == steps and {"type": "Lowercase"} in steps
+    if not known or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or vocabulary.get("post_processor"):
+        return None
+    split, level = cuts
+    if split["behavior"] != "Removed" or not split["invert"] or level["add_prefix_space"] or level["use_regex"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
+@lru_cache(1)
+def word_ids(path: str, end: int) -> WordIds:
+    """The vocabulary with the words it has met: one per Python worker, over all its tasks."""
+    return WordIds(path, end)
+
+
 def pack_documents(
     df: DataFrame,
     tokenizer: str | None = None,
@@ -219,9 +291,7 @@ def pack_documents(
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = WordIds(Tokenizer.from_file(path), end)
+        model = word_ids(path, end)
         kind = None
 
         def documents():

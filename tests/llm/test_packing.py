@@ -72,6 +72,24 @@ def test_segments_keep_ids():
         assert [i for p in parts for i in model.encode(p, add_special_tokens=False).ids] == model.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = Tokenizer.from_file(path)
+    rnd = random.Random(8)
+    words = ["It's", "DON'T", "a\nb.", "x1y22", "<|endoftext|>", "<|ENDOFTEXT|>.", "'sabc", "\"'s", "e\u0301t", "=\u0338", "ΣΑΣ", "…", "\x1c7", "\x85", "", "ab" * 60, "9.81m/s^2", "ÀÉ", "Straße", "naïve,", "ÿÐ÷×ª", "tab\tbed", "''ll"]
+    for known in (6, 400_000):
+        monkeypatch.setattr(packing, "KNOWN", known)
+        monkeypatch.setattr(packing, "SEGMENT", 40)
+        coder = packing.WordIds(path, 2)
+        assert coder.split is not None
+        for _ in range(150):
+            text = " ".join(rnd.choice(words) + rnd.choice(["", "", ",", "'", "!?"]) for _ in range(rnd.randint(0, 30)))
+            assert coder.of(text).tolist() == model.encode(text, add_special_tokens=False).ids + [2]
+    coder.split = None
+    assert coder.of("It's Größe").tolist() == model.encode("It's Größe", add_special_tokens=False).ids + [2]
+    assert packing.split_pattern({"normalizer": None}) is None
+
+
 def test_pack_documents(spark):
     model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rnd = random.Random(5)
