@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakelake.functions import text as X
-from quakelake.operators.common import collect_small, exploded, small_side, top_k, with_rows
+from quakelake.operators.common import collect_small, exploded, small_side, spread, top_k
+from quakelake.operators.substrings import MARKED, substring_pairs
 
 #: Scores are compared at this many decimals, so that equal texts tie whatever the summation order.
 SCORE_PLACES = 9
@@ -372,67 +375,60 @@ def _query_terms(queries: DataFrame, query_id: str, query_col: str) -> DataFrame
     )
 
 
-def _keyword_points(query: Column, keywords: Column) -> Column:
-    """5 for a keyword inside the query, else 3 if one of the query's tokens is inside the keyword."""
-    return F.aggregate(
-        keywords,
-        F.lit(0),
-        lambda acc, kw: acc
-        + F.when(F.contains(query["q"], kw), 5).when(_any(query["two"], kw), 3).otherwise(0),
-    )
-
-
-def _any(tokens: Column, field: Column) -> Column:
-    return F.exists(tokens, lambda t: F.contains(field, t))
-
-
-def _hits(tokens: Column, field: Column) -> Column:
-    return F.size(F.filter(tokens, lambda t: F.contains(field, t)))
-
-
-def _name_points(query: Column, name: Column) -> Column:
-    low = F.lower(name)
-    return F.when(F.contains(query["q"], low) | _any(query["two"], low), 2).otherwise(0)
-
-
-def entry_score(query: Column, entry: Column) -> Column:
-    """Relevance of a catalog entry ``struct(name, description, keywords, body, source)``."""
-    score = (
-        _keyword_points(query, entry["keywords"])
-        + _name_points(query, entry["name"])
-        + F.when(_any(query["specific"], entry["description"]), 2).otherwise(0)
-        + F.least(F.lit(3), _hits(query["specific"], entry["body"]))
-    )
-    return score + F.when((entry["source"] == "user") & (score > 0), 1).otherwise(0)
+@dataclass(frozen=True)
+class Field:
+    """How one field of a catalog entry scores against a query; each item of an array field for itself.
 
-
-def workflow_score(query: Column, entry: Column) -> Column:
-    """Relevance of a workflow ``struct(name, title, description, keywords, source)``."""
-    score = (
-        _keyword_points(query, entry["keywords"])
-        + _name_points(query, entry["name"])
-        + F.when(_any(query["three"], entry["title"]), 1).otherwise(0)
-        + _hits(query["three"], entry["description"])
-    )
-    return score + F.when((entry["source"] == "user") & (score > 0), 1).otherwise(0)
-
-
-def reference_score(query: Column, entry: Column) -> Column:
-    """Relevance of a reference file ``struct(parts, headings, opening)``.
-
-    Name parts inside the query count 6 each, tokens in each heading 3, in the text 1.
+    ``inside`` points if the field, of at least ``least`` characters, stands in the query; otherwise
+    ``any_token`` points if one of the query's tokens stands in the field. ``each_token`` points for
+    every token that does, ``cap`` at most. ``tokens`` are those of two characters or more, of three
+    or more, or the specific ones (three, or two CJK characters).
     """
-    named = F.size(F.filter(entry["parts"], lambda p: (F.length(p) >= 3) & F.contains(query["q"], p))) * 6
-    headed = F.aggregate(
-        entry["headings"], F.lit(0), lambda acc, h: acc + _hits(query["specific"], h) * 3
-    )
-    return named + headed + _hits(query["specific"], entry["opening"])
+
+    name: str
+    inside: int = 0
+    any_token: int = 0
+    each_token: int = 0
+    cap: int | None = None
+    tokens: str = "two"
+    least: int = 0
+
+    def admits(self, token: Column) -> Column:
+        return {"two": F.length(token) >= 2, "three": F.length(token) >= 3, "specific": X.long_enough(token)}[self.tokens]
+
+    def points(self, hits: Column, inside: Column) -> Column:
+        each = hits * self.each_token
+        if self.cap is not None:
+            each = F.least(F.lit(self.cap), each)
+        return F.when(inside, self.inside).when(hits > 0, self.any_token).otherwise(0) + each
+
+
+#: Entries ``(name, description, keywords, body, source)``.
+entry_score = (
+    Field("keywords", inside=5, any_token=3),
+    Field("name", inside=2, any_token=2),
+    Field("description", any_token=2, tokens="specific"),
+    Field("body", each_token=1, cap=3, tokens="specific"),
+)
+#: Workflows ``(name, title, description, keywords, source)``.
+workflow_score = (
+    Field("keywords", inside=5, any_token=3),
+    Field("name", inside=2, any_token=2),
+    Field("title", any_token=1, tokens="three"),
+    Field("description", each_token=1, tokens="three"),
+)
+#: Reference files ``(parts, headings, opening)``, as :func:`reference_fields` makes them.
+reference_score = (
+    Field("parts", inside=6, least=3),
+    Field("headings", each_token=3, tokens="specific"),
+    Field("opening", each_token=1, tokens="specific"),
+)
 
 
 def reference_fields(
     refs: DataFrame, name_col: str = "ref_name", text_col: str = "text", id_col: str = "ref_id", max_chars: int | None = None
 ) -> DataFrame:
-    """What :func:`reference_score` looks at: name parts, headings, text (its opening with ``max_chars``)."""
+    """What ``reference_score`` looks at: name parts, headings, text (its opening with ``max_chars``)."""
     headings = F.transform(
         F.filter(X.lines(X.head(F.col(text_col), max_chars)), lambda x: x.startswith("#")),
         lambda x: F.lower(X.strip(F.ltrim(x, F.lit("#")))),
@@ -453,54 +449,80 @@ def lower_fields(catalog: DataFrame, *fields: str) -> DataFrame:
     )
 
 
+def _field_texts(catalog: DataFrame, fields: Sequence[Field], entry_id: str) -> DataFrame:
+    """``(at struct(entry, user, field, place), text)``: every searched text of every entry."""
+    kinds = dict(catalog.dtypes)
+    user = F.coalesce(F.col("source") == "user", F.lit(False)) if "source" in kinds else F.lit(False)
+    parts = []
+    for number, field in enumerate(fields):
+        if kinds[field.name].startswith("array"):
+            rows = exploded(catalog, [F.col(entry_id).alias("e"), user.alias("u")], F.col(field.name), "text", "place")
+        else:
+            rows = catalog.select(F.col(entry_id).alias("e"), user.alias("u"), F.col(field.name).alias("text"), F.lit(0).cast("long").alias("place"))
+        text = F.lower("text") if field.name == "name" else F.col("text")
+        at = F.struct(F.col("e").alias("entry"), F.col("u").alias("user"), F.lit(number).alias("field"), "place")
+        parts.append(rows.select(at.alias("at"), text.alias("text")).filter(F.col("text").isNotNull()))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def field_topk(
     catalog: DataFrame,
     queries: DataFrame,
-    score: Callable[[Column, Column], Column],
+    score: Sequence[Field],
     k: int = 3,
     entry_id: str = "name",
     query_id: str = "query_id",
     query_col: str = "query",
     min_score: int = 1,
-    max_rows: int = 500,
+    max_rows: int = MARKED,
 ) -> DataFrame:
-    """Best catalog entries per query by a field score; equal scores in entry order.
+    """Best catalog entries per query by the points of their fields; equal scores in entry order.
+
+    An entry of the source ``user`` that scores gets one point more. ``entry_id`` is unique; null
+    fields score nothing.
 
-    The catalog rides on the query rows (as a constant while it has at most ``max_rows`` entries,
-    in blocks beyond that), so pairs below ``min_score`` never leave the row.
+    Each distinct token of all queries is looked up once in an inverted index of the fields' grams,
+    and each distinct field that may stand inside a query once in an index of the queries. Only what
+    matches becomes rows, which are counted per (query, entry, field); adaptive execution sends the
+    matches of tokens to the queries where they turn out small and splits frequent tokens where not.
+    ``max_rows`` bounds what :func:`substring_pairs` sends.
     """
-    asked = _query_terms(queries, query_id, query_col)
-    texts = [c for c in catalog.columns if c != "source" and dict(catalog.dtypes)[c] in ("string", "array<string>")]
-    entries = catalog.withColumn("__all", F.concat_ws("\n", *texts))
-    # Only the query's tokens that occur anywhere in the entry go on to the fields.
-    met = F.transform(
-        "__entries",
-        lambda e: F.struct(e.alias("e"), F.filter("two", lambda t: F.contains(e["__all"], t)).alias("two")),
-    )
-    pairs = F.transform(
-        met,
-        lambda m: F.struct(
-            m["e"].alias("e"),
-            F.struct(
-                F.col("q").alias("q"),
-                m["two"].alias("two"),
-                F.filter(m["two"], lambda t: F.length(t) >= 3).alias("three"),
-                F.filter(m["two"], X.long_enough).alias("specific"),
-            ).alias("q"),
-        ),
-    )
-    # Keep the k best of each block inside the row before anything is shuffled.
-    scored = F.filter(
-        F.transform(
-            pairs, lambda p: F.struct((-score(p["q"], p["e"])).alias("minus"), p["e"][entry_id].alias("id"))
-        ),
-        lambda s: s["minus"] <= -min_score,
-    )
-    best = exploded(
-        with_rows(asked, entries, "__entries", entry_id, max_rows), [query_id], F.slice(F.array_sort(scored), 1, k), "s"
-    ).select(query_id, F.col("s.id").alias(entry_id), (-F.col("s.minus")).cast("long").alias("score"))
+    asked = _query_terms(spread(queries, query_id), query_id, query_col)
+    texts = _field_texts(catalog, score, entry_id)
+    tokens = exploded(asked, [query_id], F.col("two"), "token")
+
+    searched = [n for n, f in enumerate(score) if f.any_token or f.each_token]
+    found = substring_pairs(tokens.select("token"), texts.filter(F.col("at.field").isin(searched)), "token", "text", "at", max_rows)
+    admitted = reduce(lambda a, b: a | b, [(F.col("at.field") == n) & score[n].admits(F.col("token")) for n in searched], F.lit(False))
+    admitted_pairs = found.filter(admitted).select("token", "at.*")
+    named = reduce(lambda a, b: a | b, [(F.col("at.field") == n) & (F.length("text") >= f.least) for n, f in enumerate(score) if f.inside], F.lit(False))
+    standing = texts.filter(named)
+    within = substring_pairs(standing.select("text"), asked, "text", "q", query_id, max_rows).join(standing, "text").select(query_id, "at.*")
+
+    # Fields of one text: a row per (token, entry) flags them all. Array fields: a row per item.
+    kinds = dict(catalog.dtypes)
+    single = [n for n, f in enumerate(score) if not kinds[f.name].startswith("array")]
+    alone, listed = F.col("field").isin(single), ~F.col("field").isin(single)
+    flags = [(F.col("field") == n).cast("int").alias(f"f{n}") for n in single]
+    off = [F.lit(0).alias(f"f{n}") for n in single]
+    per_token = admitted_pairs.filter(alone).select("token", "entry", "user", *flags).groupBy("token", "entry", "user").agg(*[F.max(f"f{n}").alias(f"f{n}") for n in single])
+    hit = tokens.join(per_token, "token").select(query_id, "entry", "user", *[f"f{n}" for n in single], *[F.lit(0).alias(f"i{n}") for n in single])
+    stands = within.filter(alone).select(query_id, "entry", "user", *off, *[(F.col("field") == n).cast("int").alias(f"i{n}") for n in single])
+    counted = hit.unionByName(stands).groupBy(query_id, "entry", "user").agg(
+        *[F.sum(f"f{n}").alias(f"f{n}") for n in single], *[F.max(f"i{n}").alias(f"i{n}") for n in single]
+    )
+    of_singles = counted.select(query_id, "entry", "user", reduce(lambda a, b: a + b, [score[n].points(F.col(f"f{n}"), F.col(f"i{n}") > 0) for n in single], F.lit(0)).alias("points"))
+    items = tokens.join(admitted_pairs.filter(listed), "token").select(query_id, "entry", "user", "field", "place", F.lit(1).alias("hit"), F.lit(0).alias("inside"))
+    items = items.unionByName(within.filter(listed).select(query_id, "entry", "user", "field", "place", F.lit(0).alias("hit"), F.lit(1).alias("inside")))
+    items = items.groupBy(query_id, "entry", "user", "field", "place").agg(F.sum("hit").alias("hits"), F.max("inside").alias("inside"))
+    points = F.lit(0)
+    for number, field in enumerate(score):
+        points = F.when(F.col("field") == number, field.points(F.col("hits"), F.col("inside") > 0)).otherwise(points)
+    entries = of_singles.unionByName(items.select(query_id, "entry", "user", points.alias("points"))).groupBy(query_id, F.col("entry").alias(entry_id), "user")
+    scored = entries.agg(F.sum("points").alias("score")).withColumn("score", F.col("score") + F.when(F.col("user") & (F.col("score") > 0), 1).otherwise(0))
+    best = scored.filter(F.col("score") >= min_score)
     return top_k(best, [query_id], [F.desc("score"), F.asc(entry_id)], k).select(
-        query_id, "rank", entry_id, "score"
+        query_id, "rank", entry_id, F.col("score").cast("long").alias("score")
     )
 
 
