@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quakelake.functions import source_params as P
+from quakelake.operators import frames as Fr
 from quakelake.operators import picks as K
 from quakelake.operators import spectra as S
 from quakelake.operators import waveform as W
@@ -144,9 +145,8 @@ def motion_pairs(spark, d):
 
 # --- spectra ------------------------------------------------------------------------------------
 
-# Discrete Fourier sums written out, per segment of at most 64 samples.
-_LEN = 64
-_SEG_SQL = f"""seg AS (SELECT trace_id, i // {_LEN} AS segment, i % {_LEN} AS j, v, count(*) OVER (PARTITION BY trace_id, i // {_LEN}) AS n FROM smp)"""
+# Discrete Fourier sums written out, over whole traces.
+_SEG_SQL = """seg AS (SELECT trace_id, 0 AS segment, i AS j, v, count(*) OVER (PARTITION BY trace_id) AS n FROM smp)"""
 _SPEC_SQL = (
     _SMP
     + f""", {_SEG_SQL},
@@ -159,13 +159,17 @@ sp AS (SELECT kk.trace_id, kk.segment, kk.k, kk.k * 100e0 / kk.n AS freq,
 )
 
 
-def trace_segments(spark, d, length: int = _LEN):
+def trace_segments(spark, d, length: int | None = None):
     return W.segments(samples(spark, d), length=length).withColumn("sampling_rate", F.lit(100.0))
 
 
-@query("segment_lengths", _SMP + f", {_SEG_SQL} SELECT trace_id, segment, count(*) AS npts, min(v) AS v_min, max(v) AS v_max FROM seg GROUP BY trace_id, segment")
+# Here the windows of 64 samples are what is asked for.
+@query(
+    "segment_lengths",
+    _SMP + " SELECT trace_id, i // 64 AS segment, count(*) AS npts, min(v) AS v_min, max(v) AS v_max FROM smp GROUP BY trace_id, i // 64",
+)
 def segment_lengths(spark, d):
-    got = trace_segments(spark, d).withColumn("starttime", F.lit("2024-01-01").cast("timestamp"))
+    got = trace_segments(spark, d, 64).withColumn("starttime", F.lit("2024-01-01").cast("timestamp"))
     return W.segment_summary(got).select("trace_id", "segment", "npts", "v_min", "v_max")
 
 
@@ -174,21 +178,26 @@ def spectrum(spark, d):
     return rounded(S.spectrum(trace_segments(spark, d)), 9, "freq", "amp")
 
 
+# Half-overlapping frames of at most 1,000 samples.
 @query(
     "psd",
     _SMP
-    + f""", {_SEG_SQL},
-w AS (SELECT *, (v - avg(v) OVER (PARTITION BY trace_id, segment)) * CASE WHEN n > 1 THEN 0.5e0 - 0.5e0 * cos(2 * pi() * j / n) ELSE 1 END AS x,
-   CASE WHEN n > 1 THEN pow(0.5e0 - 0.5e0 * cos(2 * pi() * j / n), 2) ELSE 1 END AS w2 FROM seg),
-kk AS (SELECT trace_id, segment, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT trace_id, segment, n FROM seg)),
-sp AS (SELECT kk.trace_id, kk.segment, kk.k, kk.k * 100e0 / kk.n AS freq,
-   (pow(sum(x * cos(2 * pi() * kk.k * j / kk.n)), 2) + pow(sum(x * sin(2 * pi() * kk.k * j / kk.n)), 2)) / (100e0 * sum(w2))
+    + """, len AS (SELECT trace_id, count(*) AS total, least(count(*), 1000) AS n FROM smp GROUP BY trace_id),
+fr AS (SELECT trace_id, n, unnest(range(0, (total - n) // (n - n // 2) + 1)) * (n - n // 2) AS s FROM len),
+seg AS (SELECT smp.trace_id, s, n, i - s AS j, v - avg(v) OVER (PARTITION BY smp.trace_id, s) AS c,
+    CASE WHEN n > 1 THEN 0.5e0 - 0.5e0 * cos(2 * pi() * (i - s) / n) ELSE 1 END AS h
+  FROM fr JOIN smp ON smp.trace_id = fr.trace_id AND i >= s AND i < s + n),
+kk AS (SELECT trace_id, s, n, unnest(range(0, n // 2 + 1)) AS k FROM fr),
+sp AS (SELECT kk.trace_id, kk.s, kk.k, kk.k * 100e0 / kk.n AS freq,
+   (pow(sum(c * h * cos(2 * pi() * kk.k * j / kk.n)), 2) + pow(sum(c * h * sin(2 * pi() * kk.k * j / kk.n)), 2)) / (100e0 * sum(h * h))
    * CASE WHEN kk.k = 0 OR (kk.n % 2 = 0 AND kk.k = kk.n // 2) THEN 1 ELSE 2 END AS power
-  FROM kk JOIN w ON w.trace_id = kk.trace_id AND w.segment = kk.segment GROUP BY kk.trace_id, kk.segment, kk.k, kk.n)
-SELECT trace_id, segment, k, round(freq, 9) AS freq, round(power, 6) AS power FROM sp""",
+  FROM kk JOIN seg ON seg.trace_id = kk.trace_id AND seg.s = kk.s GROUP BY kk.trace_id, kk.s, kk.k, kk.n),
+m AS (SELECT trace_id, k, freq, avg(power) AS power FROM sp GROUP BY trace_id, k, freq)
+SELECT trace_id, k, round(freq, 9) AS freq, round(power, 6) AS power, CASE WHEN power > 1e-6 THEN round(10 * log10(power + 1e-30), 4) END AS db FROM m""",
 )
 def psd(spark, d):
-    return rounded(S.power_density(trace_segments(spark, d)), 9, "freq").withColumn("power", F.round("power", 6)).drop("db")
+    got = Fr.power_density(samples(spark, d), 100.0).withColumn("db", F.when(F.col("power") > 1e-6, F.round("db", 4)))
+    return rounded(got, 9, "freq").withColumn("power", F.round("power", 6))
 
 
 @query(
@@ -202,7 +211,7 @@ def peak_frequency(spark, d):
 
 @query(
     "hvsr",
-    f"""WITH {_COMP_SQL}, seg AS (SELECT station, component, i // {_LEN} AS segment, i % {_LEN} AS j, v, count(*) OVER (PARTITION BY station, component, i // {_LEN}) AS n FROM cmp),
+    f"""WITH {_COMP_SQL}, seg AS (SELECT station, component, 0 AS segment, i AS j, v, count(*) OVER (PARTITION BY station, component) AS n FROM cmp),
 w AS (SELECT *, CASE WHEN n > 1 THEN v * (0.5e0 - 0.5e0 * cos(2 * pi() * j / n)) ELSE v END AS x FROM seg),
 kk AS (SELECT station, component, segment, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT station, component, segment, n FROM seg)),
 sp AS (SELECT kk.station, kk.component, kk.segment, kk.k, kk.k * 100e0 / kk.n AS freq,
@@ -215,7 +224,7 @@ SELECT station, segment, k, round(freq, 9) AS freq, round(CASE WHEN z > 0 THEN s
 FROM p WHERE z IS NOT NULL AND n IS NOT NULL AND e IS NOT NULL AND freq BETWEEN 0.1 AND 20""",
 )
 def hvsr(spark, d):
-    seg = W.segments(component_samples(spark, d), ["station", "component"], _LEN).withColumn("sampling_rate", F.lit(100.0))
+    seg = W.segments(component_samples(spark, d), ["station", "component"]).withColumn("sampling_rate", F.lit(100.0))
     spec = S.spectrum(seg, ["station", "component", "segment"])
     return rounded(rounded(S.hv_ratio(spec), 9, "freq"), 5, "hvsr")
 
@@ -287,24 +296,24 @@ def station_average(spark, d):
     return rounded(S.station_average(rows, values=["ml"]), 6, "ml_mean", "ml_std")
 
 
-# Windows of 32 samples every 4, padded to 256 points.
+# Frames of 32 samples every 4 over whole traces, padded to 256 points.
 @query(
     "spectrogram",
     _SMP
-    + f""", {_SEG_SQL},
-c AS (SELECT trace_id, segment, j, n, v - avg(v) OVER (PARTITION BY trace_id, segment) AS x FROM seg WHERE n >= 32),
-fr AS (SELECT trace_id, segment, f * 4 AS s FROM (SELECT trace_id, segment, unnest(range(0, (n - 32) // 4 + 1)) AS f FROM (SELECT DISTINCT trace_id, segment, n FROM c))),
-w AS (SELECT fr.trace_id, fr.segment, fr.s, j - fr.s AS m, x * (0.5e0 - 0.5e0 * cos(2 * pi() * (j - fr.s) / 31)) AS y
-      FROM fr JOIN c ON c.trace_id = fr.trace_id AND c.segment = fr.segment AND c.j >= fr.s AND c.j < fr.s + 32),
+    + """, c AS (SELECT trace_id, i, count(*) OVER (PARTITION BY trace_id) AS n, v - avg(v) OVER (PARTITION BY trace_id) AS x FROM smp),
+fr AS (SELECT trace_id, unnest(range(0, (n - 32) // 4 + 1)) * 4 AS s FROM (SELECT DISTINCT trace_id, n FROM c WHERE n >= 32)),
+w AS (SELECT fr.trace_id, fr.s, i - fr.s AS m, x * (0.5e0 - 0.5e0 * cos(2 * pi() * (i - fr.s) / 31)) AS y
+      FROM fr JOIN c ON c.trace_id = fr.trace_id AND c.i >= fr.s AND c.i < fr.s + 32),
 h AS (SELECT sum(pow(0.5e0 - 0.5e0 * cos(2 * pi() * m / 31), 2)) AS w2 FROM (SELECT unnest(range(32)) AS m)),
-k AS (SELECT unnest(range(1, 129)) AS k)
-SELECT w.trace_id, w.segment, (s + 16) / 100e0 AS t, k * 100e0 / 256 AS freq,
-  round((pow(sum(y * cos(2 * pi() * k * m / 256)), 2) + pow(sum(y * sin(2 * pi() * k * m / 256)), 2)) / (100e0 * any_value(w2)) * CASE WHEN k = 128 THEN 1 ELSE 2 END, 6) AS power
-FROM w, h, k GROUP BY w.trace_id, w.segment, s, k""",
+k AS (SELECT unnest(range(1, 129)) AS k),
+p AS (SELECT w.trace_id, s, k, (pow(sum(y * cos(2 * pi() * k * m / 256)), 2) + pow(sum(y * sin(2 * pi() * k * m / 256)), 2)) / (100e0 * any_value(w2)) * CASE WHEN k = 128 THEN 1 ELSE 2 END AS power
+      FROM w, h, k GROUP BY w.trace_id, s, k)
+SELECT trace_id, (s + 16) / 100e0 AS t, k * 100e0 / 256 AS freq, CASE WHEN power > 1e-6 THEN round(10 * log10(power), 4) END AS power FROM p""",
 )
 def spectrogram(spark, d):
-    got = S.spectrogram(trace_segments(spark, d), seconds=0.32, decibel=False)
-    return got.withColumn("power", F.round(F.col("power") * F.col("power"), 6))
+    """Decibels; where there is next to no power they are left open."""
+    got = Fr.spectrogram(samples(spark, d), 100.0, seconds=0.32)
+    return got.withColumn("power", F.when(F.col("power") > -60, F.round("power", 4)))
 
 
 @query("bandpass")
