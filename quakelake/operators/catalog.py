@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quakelake.functions import geo
 from quakelake.functions.times import micros
-from quakelake.operators.common import attach, join_keys, literal_rows, small_side, with_position, with_rows
+from quakelake.operators.common import attach, join_keys, literal_rows, small_side, with_position
+from quakelake.session import cut_lineage, local_folder
 
 LOG10_E = math.log10(math.e)
 
@@ -551,23 +552,82 @@ def time_series(df: DataFrame) -> DataFrame:
     return df.select("time", "magnitude", "depth").filter(F.col("time").isNotNull()).orderBy("time", "magnitude", "depth")
 
 
+#: Degrees of a cell of the finest grid of segments, and its doublings up to the whole globe.
+FAULT_CELL, FAULT_LEVELS = 0.125, 13
+
+
+def _segment_cells(segments: DataFrame, cell: float) -> DataFrame:
+    """Segments with every cell that they pass through: row by row of the grid, then along the row."""
+    pad = 1e-9
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    rows = segments.withColumn("y", F.explode(F.sequence(F.floor((low - pad) / cell), F.floor((high + pad) / cell))))
+    dy = F.col("lat2") - F.col("lat1")
+    bottom, top = F.greatest(F.col("y") * cell - pad, low), F.least((F.col("y") + 1) * cell + pad, high)
+
+    def lon(lat: Column) -> Column:
+        along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(lat - F.col("lat1"), dy)))
+        return F.col("lon1") + along * (F.col("lon2") - F.col("lon1"))
+
+    flat = F.abs(dy) < 1e-6
+    ends = [F.when(flat, F.col("lon1")).otherwise(lon(bottom)), F.when(flat, F.col("lon2")).otherwise(lon(top))]
+    first, last = F.floor((F.least(*ends) - pad) / cell), F.floor((F.greatest(*ends) + pad) / cell)
+    return rows.withColumn("x", F.explode(F.sequence(first, last)))
+
+
+def _nearest_by_grid(events: DataFrame, segments: DataFrame, event_id: str, cell: float) -> DataFrame:
+    """Nearest segments from the nine cells around each event, in coarser and coarser grids.
+
+    What lies outside those cells is at least one cell away, so an event whose nearest segment is
+    closer than that is done; the others go on in cells of twice the size. At the last size the nine
+    cells hold the globe.
+    """
+    fine = _segment_cells(segments, cell)
+    lon, lat = F.col("longitude"), F.col("latitude")
+    places = events.select(event_id, "longitude", "latitude")
+    open_ = places.filter(lon.isNotNull() & lat.isNotNull()).withColumns(
+        {"cx": F.floor(lon / cell), "cy": F.floor(lat / cell)}
+    )
+    kind = f"struct<km:double,id:{segments.schema['segment_id'].dataType.simpleString()}>"
+    done = places.filter(lon.isNull() | lat.isNull()).select(event_id, F.lit(None).cast(kind).alias("__near"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    for level in range(FAULT_LEVELS):
+        cells = fine.withColumns({"x": F.shiftright("x", level), "y": F.shiftright("y", level)}).distinct()
+        asked = open_.withColumn("__d", around).withColumns(
+            {"x": F.shiftright("cx", level) + F.col("__d.i"), "y": F.shiftright("cy", level) + F.col("__d.j")}
+        )
+        met = asked.join(cells, ["x", "y"])
+        one = F.array(F.struct("segment_id", "lon1", "lat1", "lon2", "lat2"))
+        best = met.groupBy(event_id).agg(F.min(geo.nearest_segment(lon, lat, one)).alias("__near"))
+        scored = cut_lineage(open_.join(best, event_id, "left"), local_folder(events.sparkSession))
+        reach = F.greatest(F.lit(0.0), F.cos(F.radians(lat))) * (cell * 2**level * geo.KM_PER_DEGREE * (1 - 1e-9))
+        sure = F.coalesce(F.col("__near.km") <= reach, F.lit(False)) if level < FAULT_LEVELS - 1 else F.lit(True)
+        done = done.unionByName(scored.filter(sure).select(event_id, "__near"))
+        open_ = scored.filter(~sure).drop("__near")
+        if open_.isEmpty():
+            break
+    return done
+
+
 def nearest_fault(
-    events: DataFrame, segments: DataFrame, event_id: str = "event_id", max_rows: int = 2_000
+    events: DataFrame, segments: DataFrame, event_id: str = "event_id", max_rows: int = 2_000, cell: float = FAULT_CELL
 ) -> DataFrame:
-    """Distance of each event to its nearest fault segment.
+    """Distance of each event to its nearest fault segment, the smaller id on ties.
 
-    ``segments`` has ``segment_id, lon1, lat1, lon2, lat2``. Few segments ride along as a plan
-    constant; many are joined block by block and the nearest per event is reduced from the blocks.
+    ``segments`` has ``segment_id, lon1, lat1, lon2, lat2``; those with a null are left out, and
+    events without a place or without segments have nulls. Few segments ride along as a plan
+    constant. More are laid out on a grid of ``cell`` degrees, and an event meets only those of the
+    cells around it. ``event_id`` is unique.
     """
-    seg = segments.select("segment_id", "lon1", "lat1", "lon2", "lat2")
+    seg = segments.select("segment_id", "lon1", "lat1", "lon2", "lat2").dropna()
     lon, lat = F.col("longitude"), F.col("latitude")
-    near = geo.nearest_segment(lon, lat, F.col("__segs")).alias("__near")
     constant = literal_rows(seg, max_rows)
     if constant is not None:
+        near = geo.nearest_segment(lon, lat, F.col("__segs")).alias("__near")
         nearest = events.withColumn("__segs", constant).select(event_id, near)
     else:
-        per_block = with_rows(events, seg, "__segs", "segment_id", max_rows).select(event_id, near)
-        nearest = per_block.groupBy(event_id).agg(F.min("__near").alias("__near"))
+        nearest = _nearest_by_grid(events, seg, event_id, cell)
     return nearest.select(
-        event_id, F.col("__near.km").alias("fault_km"), F.col("__near.id").alias("segment_id")
+        event_id,
+        F.col("__near.km").alias("fault_km"),
+        F.when(F.col("__near.km").isNotNull(), F.col("__near.id")).alias("segment_id"),
     )

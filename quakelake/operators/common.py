@@ -119,31 +119,6 @@ def literal_rows(df: DataFrame, max_rows: int) -> Column | None:
     return F.from_json(F.lit(text), f"array<{df.schema.simpleString()}>")
 
 
-def with_rows(big: DataFrame, small: DataFrame, name: str, key: str, max_rows: int = 2_000) -> DataFrame:
-    """Give each row of ``big`` the rows of ``small`` as an array column, block by block.
-
-    While ``small`` has at most ``max_rows`` rows and few bytes the array is a plan constant and
-    nothing moves. Beyond that it is cut into blocks of about that size by the hash of its unique
-    ``key``; ``big`` then has one row per block, joined on the block number, and the caller reduces
-    over the blocks.
-    """
-    constant = literal_rows(small, max_rows)
-    if constant is not None:
-        return big.withColumn(name, constant)
-    n, size = small.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()
-    n_blocks = max(-(-n // max_rows), -(-(size or 0) // LITERAL_BYTES))
-    blocks = (
-        small.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))
-        .groupBy("__block")
-        .agg(F.collect_list(F.struct(*small.columns)).alias(name))
-    )
-    return (
-        big.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .join(blocks, "__block")
-        .drop("__block")
-    )
-
-
 # --- ordered scans ------------------------------------------------------------------------------
 
 

@@ -258,25 +258,30 @@ def polarity_tally(decided: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # --- picks and traces, stations, events ---------------------------------------------------------
 
 
-def picks_on_traces(picks: DataFrame, traces: DataFrame) -> DataFrame:
+def picks_on_traces(picks: DataFrame, traces: DataFrame, cell_seconds: int = 86_400) -> DataFrame:
     """Picks that fall inside a trace of their station, with seconds from its start.
 
     ``traces`` has ``trace_id, station, starttime, sampling_rate, npts``; a pick names the station
-    by its code or as ``NET.STA``.
+    by its code or as ``NET.STA``. Traces are laid out over the cells of time that they cover (a day
+    each), and a pick meets only those of its own station and cell, so a busy station is many keys.
+    Picks and traces without a time, station or rate meet nothing.
     """
-    spans = traces.select(
-        "trace_id",
-        F.col("station").alias("__sta"),
-        micros(F.col("starttime")).alias("__t0"),
-        ((F.col("npts") - 1) / F.col("sampling_rate")).alias("__len"),
+    cell = cell_seconds * 1_000_000
+    start = micros(F.col("starttime"))
+    seconds = (F.col("npts") - 1) / F.col("sampling_rate")
+    first, last = F.floor(start / cell), F.floor((start + F.ceil(seconds * 1_000_000)) / cell)
+    spans = (
+        traces.filter((F.col("npts") > 0) & (F.col("sampling_rate") > 0))
+        .select("trace_id", F.col("station").alias("__sta"), start.alias("__t0"), seconds.alias("__len"), F.explode(F.sequence(first, last)).alias("__span"))
     )
-    rel = (micros(F.col("abs_time")) - F.col("__t0")) / 1e6
+    at = micros(F.col("abs_time"))
     return (
         picks.withColumn("__code", last_code(F.col("station")))
-        .join(spans, F.col("__code") == F.col("__sta"))
-        .withColumn("rel_time", rel)
+        .withColumn("__cell", F.floor(at / cell))
+        .join(spans, (F.col("__code") == F.col("__sta")) & (F.col("__cell") == F.col("__span")))
+        .withColumn("rel_time", (at - F.col("__t0")) / 1e6)
         .filter((F.col("rel_time") >= 0) & (F.col("rel_time") <= F.col("__len")))
-        .drop("__code", "__sta", "__t0", "__len")
+        .drop("__code", "__sta", "__t0", "__len", "__cell", "__span")
     )
 
 

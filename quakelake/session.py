@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plans; cluster sizing stays with the cluster.
@@ -37,6 +39,19 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_folders: dict[str, str] = {}
+
+
+def local_folder(spark: SparkSession) -> str | None:
+    """A temporary folder for a session whose tasks all run in this machine's one process, else None."""
+    if not spark.sparkContext.master.startswith("local["):
+        return None
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-work-")
+    return _folders[app]
+
+
 def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Checkpoint into the cluster's shared folder.
 
