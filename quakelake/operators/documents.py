@@ -7,6 +7,7 @@ document at a time and need no shuffle.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,44 +195,67 @@ def chunk_sections(
 def sliding_window_texts(text: Column, size: int = 500, overlap: int = 50, shortest: int = 1) -> Column:
     """Windows over the space-collapsed text, ended at a sentence or word end past the middle, as an array.
 
-    Ends are worked out first, as a short list of numbers; the texts are cut out at them afterwards.
-    A rest shorter than ``overlap`` starts no window, as the one before holds it.
+    The text is cut once into pieces of ``size`` characters; a window lies in two neighbours, so no
+    step reads the text from its start. Ends are worked out first, as a list of numbers; the windows
+    are cut out at them afterwards. A rest shorter than ``overlap`` starts no window, as the one
+    before holds it.
     """
     if not 0 <= overlap < size // 2:
         raise ValueError("overlap must be below half the window")
     flat = F.regexp_replace(text, X.SPACE_CLASS + "+", " ")
-    # Bound by a lambda, the collapsed text is worked out once and not at every step.
-    return F.get(F.transform(F.array(flat), lambda t: _windows(t, size, overlap, shortest)), F.lit(0))
+    # Bound by lambdas, the collapsed text and its pieces are worked out once and not at every step.
+    pieces = F.transform(
+        F.array(flat), lambda t: F.struct(F.length(t).alias("total"), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), 0).alias("pieces"))
+    )
+    return F.get(F.transform(pieces, lambda p: _windows(p["pieces"], p["total"], size, overlap, shortest)), F.lit(0))
 
 
-def _windows(flat: Column, size: int, overlap: int, shortest: int) -> Column:
-    total = F.length(flat)
+def _windows(pieces: Column, total: Column, size: int, overlap: int, shortest: int) -> Column:
     most = F.ceil(total / F.lit(size // 2 + 1 - overlap)).cast("int") + 1
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def cut(at: Column, length: Column) -> Column:
+        piece = F.floor(at / size).cast("int")
+        two = F.concat(F.coalesce(F.get(pieces, piece), F.lit("")), F.coalesce(F.get(pieces, piece + 1), F.lit("")))
+        return F.substring(two, at - piece * size + 1, length)
 
     def after_last(window: Column, marks: str) -> Column:
         """Characters before the last of the marks; 0 without one."""
         return F.length(F.regexp_extract(window, rf"(?s)^(.*)[{marks}]", 1))
 
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        window = F.substring(flat, at + 1, F.lit(size))
-        sentence, word = after_last(window, ".!?"), after_last(window, " ")
-        stop = (
-            F.when(at + size >= total, at + size)
-            .when(sentence > size // 2, at + sentence + 1)
-            .when(word > size // 2, at + word)
-            .otherwise(at + size)
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use(value)`` with the value worked out once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def stop_in(window: Column, at: Column) -> Column:
+        ends = F.struct(after_last(window, ".!?").alias("sentence"), after_last(window, " ").alias("word"))
+        return bound(
+            ends,
+            lambda e: F.when(e["sentence"] > size // 2, at + e["sentence"] + 1).when(e["word"] > size // 2, at + e["word"]).otherwise(at + size),
         )
+
+    def taken(acc: Column, stop: Column) -> Column:
         following = F.when(total - (stop - overlap) < overlap, total).otherwise(stop - overlap)
-        return F.when(at >= total, acc).otherwise(
-            F.struct(following.alias("at"), F.concat(acc["spans"], F.array(F.struct(at.alias("a"), stop.alias("b")))).alias("spans"))
-        )
+        full = F.size(acc["open"]) >= 256
+        done = F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        opened = F.when(full, F.array(stop)).otherwise(F.concat(acc["open"], F.array(stop)))
+        return F.struct(following.alias("at"), done.alias("done"), opened.alias("open"))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        stop = F.when(at + size >= total, at + size).otherwise(bound(cut(at, F.lit(size)), lambda w: stop_in(w, at)))
+        return F.when(at >= total, acc).otherwise(bound(stop, lambda s: taken(acc, s)))
+
+    # Ends go to a short list and from there, many at once, to the long one, which is seldom copied.
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("done"), none.alias("open"))
+    stops = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["open"]))))
+
+    def texts(ends: Column) -> Column:
+        """Each window but the first starts ``overlap`` before the end of the one before."""
+        found = F.transform(ends, lambda e, i: X.strip(bound(F.when(i == 0, 0).otherwise(F.get(ends, i - 1) - overlap), lambda a: cut(a, e - a))))
+        return F.filter(found, lambda x: F.length(x) >= shortest)
 
-    spans = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["spans"])
-    cut = F.transform(spans, lambda x: X.strip(F.substring(flat, x["a"] + 1, x["b"] - x["a"])))
-    return F.filter(cut, lambda x: F.length(x) >= shortest)
+    return bound(stops, texts)
 
 
 def sliding_chunks(
