@@ -127,7 +127,11 @@ def observation_key(observation: Column) -> Column:
 
 
 def new_evidence(incoming: DataFrame, table: DataFrame | None, order: str = "seq") -> DataFrame:
-    """Incoming records whose observation is not in the table, each observation once (first wins)."""
+    """Incoming records whose observation is not in the table, each observation once (first wins).
+
+    Records without an observation count as one observation: the first is kept, and none beside one
+    that the table holds already.
+    """
     others = list(incoming.columns)
     first = (
         incoming.withColumn("obs_key", observation_key(F.col("observation")))
@@ -137,8 +141,10 @@ def new_evidence(incoming: DataFrame, table: DataFrame | None, order: str = "seq
     )
     if table is None:
         return first
-    held = table.select(observation_key(F.col("observation")).alias("obs_key"))
-    return first.join(held, "obs_key", "left_anti")
+    # A table that holds the keys needs no text to be read again.
+    key = F.col("obs_key") if "obs_key" in table.columns else observation_key(F.col("observation"))
+    held = table.select(key.alias("__held"))
+    return first.join(held, F.col("obs_key").eqNullSafe(F.col("__held")), "left_anti")
 
 
 def _structure_key() -> Column:

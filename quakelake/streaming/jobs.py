@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakelake.operators import documents as D
@@ -129,19 +129,24 @@ def merge_evidence(stream: DataFrame, store: str, folder: str, order: str = "seq
     """Append arriving evidence whose observation is not in the table yet; returns the table.
 
     A batch compares itself with the other batches' partitions and overwrites its own, so running
-    it again changes nothing. Partitions are named by the progress folder and the batch, so another
+    it again changes nothing. Of those it reads only the keys, and only the shares of the table that
+    its own keys fall into. Partitions are named by the progress folder and the batch, so another
     run over the same store adds to it. Unlike :func:`new_observations` nothing is ever forgotten:
     the table itself is the memory.
     """
     path = f"{store}/evidence"
 
     def handle(batch: DataFrame, number: int) -> None:
-        held = _stored(batch.sparkSession, path, "observation string, run string, batch int")
+        held = _stored(batch.sparkSession, path, "obs_key string, run string, batch int, share string")
         others = held.filter((F.col("run") != _run_of(folder)) | (F.col("batch") != number))
-        new_evidence(batch, others, order).write.mode("overwrite").parquet(_partition(path, folder, number))
+        touched = _touched(batch.select(_share(observation_key(F.col("observation"))).alias("share")))
+        fresh = new_evidence(batch, others.filter(F.col("share").isin(touched)), order)
+        shared = fresh.withColumn("share", _share(F.col("obs_key")))
+        shared.write.mode("overwrite").partitionBy("share").parquet(_partition(path, folder, number))
 
     run_batches(stream, folder, handle)
-    return stream.sparkSession.read.parquet(path)
+    ddl = ", ".join(["obs_key string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema], "run string, batch int, share string"])
+    return _stored(stream.sparkSession, path, ddl)
 
 
 # --- indexing -----------------------------------------------------------------------------------
@@ -156,6 +161,16 @@ def _partition(path: str, folder: str, number: int) -> str:
     return f"{path}/run={_run_of(folder)}/batch={number}"
 
 
+def _share(key: Column) -> Column:
+    """One of sixteen shares of a store, by the first digit of a key's hash; keys that are null have one."""
+    return F.concat(F.lit("s"), F.coalesce(F.substring(F.md5(key.cast("string")), 1, 1), F.lit("-")))
+
+
+def _touched(shares: DataFrame) -> list[str]:
+    """The shares that a batch falls into, seventeen at most."""
+    return sorted(r["share"] for r in shares.distinct().collect())
+
+
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
@@ -179,19 +194,21 @@ def index_documents(
     A document whose text is the one already indexed is skipped, told by a hash of the whole text. A
     changed text becomes the document's next version, whose chunks replace the earlier ones; a null
     text deletes the document. Every batch writes its own partition, named by progress folder and
-    batch, and writes it again if it is retried, so a lost executor, a restart or another run over
-    the store leaves no duplicates and loses nothing. Documents that give no chunk are recorded as
-    failed and tried again when they arrive again.
+    batch, and writes it again if it is retried; of the manifest it reads the shares that its own ids
+    fall into. So a lost executor, a restart or another run over the store leaves no duplicates and
+    loses nothing. Documents that give no chunk are recorded as failed and tried again when they
+    arrive again.
     """
     spark = stream.sparkSession
     id_type = stream.schema["doc_id"].dataType.simpleString()
-    manifest_ddl = f"doc_id {id_type}, text_hash string, version long, n_chunks long, status string, error string, run string, batch int"
+    manifest_ddl = f"doc_id {id_type}, text_hash string, version long, n_chunks long, status string, error string, run string, batch int, share string"
     manifest_path, chunk_path = f"{store}/manifest", f"{store}/chunks"
 
     def handle(batch: DataFrame, number: int) -> None:
         held = _stored(batch.sparkSession, manifest_path, manifest_ddl)
         others = held.filter((F.col("run") != _run_of(folder)) | (F.col("batch") != number))
-        known = newest(others).select("doc_id", F.col("text_hash").alias("old_hash"), F.col("version").alias("old"), F.col("status").alias("was"))
+        touched = _touched(batch.select(_share(F.col("doc_id")).alias("share")))
+        known = newest(others.filter(F.col("share").isin(touched))).select("doc_id", F.col("text_hash").alias("old_hash"), F.col("version").alias("old"), F.col("status").alias("was"))
         # The smallest of several texts of one id: the same one whenever the batch is run.
         arrived = batch.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("text_hash", F.sha2("text", 256))
         same = F.col("old_hash").eqNullSafe(F.col("text_hash")) & F.col("was").isin("indexed", "deleted")
@@ -213,10 +230,11 @@ def index_documents(
             F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"),
             status.alias("status"),
             F.when(status == "failed", "no text extracted").otherwise("").alias("error"),
-        ).write.mode("overwrite").parquet(_partition(manifest_path, folder, number))
+            _share(F.col("doc_id")).alias("share"),
+        ).write.mode("overwrite").partitionBy("share").parquet(_partition(manifest_path, folder, number))
 
     run_batches(stream, folder, handle)
-    manifest = newest(spark.read.parquet(manifest_path))
+    manifest = newest(_stored(spark, manifest_path, manifest_ddl)).drop("share")
     current = manifest.filter("status = 'indexed'").select("doc_id", "version")
     chunks = spark.read.parquet(chunk_path).join(current, ["doc_id", "version"], "left_semi")
     return manifest.drop("run", "batch"), chunks.drop("run", "batch", "version")
