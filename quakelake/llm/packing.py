@@ -30,7 +30,7 @@ POOL = 1 << 20
 #: Characters of a text that are encoded at once; texts are cut before blanks only.
 SEGMENT = 1 << 16
 #: Words whose ids a task keeps, and their greatest length.
-KNOWN, LONG_WORD = 400_000, 64
+KNOWN, LONG_WORD = 800_000, 64
 
 
 # --- one window ---------------------------------------------------------------------------------
