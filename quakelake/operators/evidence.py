@@ -186,7 +186,11 @@ def flag_conflicts(table: DataFrame) -> DataFrame:
 
 
 def conflicts_of(flagged: DataFrame, asked: DataFrame) -> DataFrame:
-    """Partners of the asked-for records: ``evidence_id, other_id``."""
+    """Partners of the asked-for records: ``evidence_id, other_id``.
+
+    The asked-for records are sent to the table while they are proven few, so no large group of
+    partners is one key of a shuffle; more of them are joined, and adaptive execution splits the key.
+    """
     mine = flagged.join(asked.select("evidence_id"), "evidence_id", "left_semi").filter(
         F.col("conflict_key").isNotNull()
     ).select("evidence_id", "conflict_key")
@@ -194,7 +198,7 @@ def conflicts_of(flagged: DataFrame, asked: DataFrame) -> DataFrame:
         F.col("evidence_id").alias("other_id"), "conflict_key"
     )
     return (
-        others.join(mine, "conflict_key")
+        others.join(small_side(mine), "conflict_key")
         .filter(F.col("other_id") != F.col("evidence_id"))
         .select("evidence_id", "other_id")
         .distinct()

@@ -325,3 +325,8 @@ _NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_orderkey", "l
 )
 def profile_numeric(spark, d):
     return profiling.numeric_profile(table(spark, d, "lineitem").select(*_NUM))
+
+
+@query("table_shape", "SELECT count(*) AS n_rows, CAST(3 AS BIGINT) AS n_columns, 'n_nationkey:int, n_name:string, n_regionkey:int' AS columns FROM nation")
+def table_shape(spark, d):
+    return profiling.table_shape(table(spark, d, "nation"))

@@ -604,6 +604,18 @@ def conflict_groups(spark, d):
     return E.conflict_groups(evidence_table(spark, d))
 
 
+@query(
+    "conflict_partners",
+    _EVIDENCE
+    + """SELECT DISTINCT a.evidence_id, b.evidence_id AS other_id FROM c a JOIN c b ON a.conflict_key = b.conflict_key AND a.evidence_id <> b.evidence_id
+WHERE a.seq % 50 = 0""",
+)
+def conflict_partners(spark, d):
+    """Partners of the records that are asked for: every fiftieth."""
+    flagged = E.flag_conflicts(evidence_table(spark, d))
+    return E.conflicts_of(flagged, flagged.filter("seq % 50 = 0"))
+
+
 _CLEAN = "replace({0}, '|', '∣')"
 
 
