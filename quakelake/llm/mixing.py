@@ -17,6 +17,8 @@ LIMIT = 2
 SEED = "mix-1"
 #: Ranges of the sampling rank; a source is cut inside one of them.
 RANKS = 4096
+#: Order of a source's rows in its sample. Rows that agree in all three are interchangeable.
+TIE = ("rank", "id", "size")
 
 
 def words(text: Column) -> Column:
@@ -111,27 +113,58 @@ def sampling_plan(
     cut = pieces.filter("before <= wanted").groupBy("source").agg(F.max_by(F.struct("piece", "before"), "piece").alias("cut"))
     cut = cut.select(F.col("source").alias("__s"), F.col("cut.piece").alias("cut_piece"), F.col("cut.before").alias("before"))
     at_cut = ranked.join(small_side(cut), F.col("source").eqNullSafe(F.col("__s")) & (F.col("piece") == F.col("cut_piece")))
-    within = Window.partitionBy("__s").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2
+    # Rows of one id and size tie in the draw; what is wanted may end among them.
+    ties = at_cut.groupBy("__s", "rank", "id", "size").agg(
+        F.count("*").alias("rows"), F.first("before").alias("before"), F.first("wanted").alias("wanted")
+    )
+    within = Window.partitionBy("__s").orderBy(*TIE).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(within), F.lit(0))
+    reached = F.floor((F.col("wanted") - F.col("__start")) / F.col("size") + 0.5)
     ends = (
-        at_cut.withColumn("__r", reached)
-        .filter("__r <= wanted")
+        ties.withColumn("__start", start)
+        .filter(F.col("__start") + F.col("size") / 2 <= F.col("wanted"))
+        .withColumn("chosen", F.least(F.col("rows"), F.greatest(reached, F.lit(1))))
         .groupBy("__s")
-        .agg(F.max(F.struct("rank", "id")).alias("last"))
+        .agg(F.max(F.struct(*TIE, "rows", "chosen")).alias("last"))
     )
     limits = cut.select("__s", "cut_piece").join(ends.withColumnRenamed("__s", "__e"), F.col("__s").eqNullSafe(F.col("__e")), "left").drop("__e")
     plan = targets.join(limits, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     return sized, stored(plan, "mix-plan")
 
 
+def _numbered(tied: DataFrame) -> DataFrame:
+    """Add ``__nth``, from 1, to the rows of each source's split tie.
+
+    Rows are numbered inside the partition of a table written for it and partitions by one running
+    sum over their counts, so a tie of any size is never one task.
+    """
+    table = stored(tied.withColumn("__part", F.spark_partition_id()), "mix-ties")
+    own = Window.partitionBy("source", "__part").orderBy(F.lit(0))
+    before = Window.partitionBy("__source").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = table.groupBy(F.col("source").alias("__source"), F.col("__part").alias("__p")).agg(F.count("*").alias("__n"))
+    starts = starts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    same = F.col("source").eqNullSafe(F.col("__source")) & (F.col("__part") == F.col("__p"))
+    numbered = table.withColumn("__own", F.row_number().over(own)).join(small_side(starts), same)
+    return numbered.withColumn("__nth", F.col("__before") + F.col("__own")).drop("__part", "__own", "__source", "__p", "__before")
+
+
 def taken(sized: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """Add ``copies`` of each document of ``(id, source, size)`` to take, its source's size and target."""
+    """Add ``copies`` of each document of ``(id, source, size)`` to take, its source's size and target.
+
+    Where the sample ends among rows of one id and size, as many of them as are wanted are taken.
+    """
     ranked = _ranked(sized, small_side(plan), seed)
-    more = (F.col("piece") < F.col("cut_piece")) | (
-        (F.col("piece") == F.col("cut_piece")) & (F.struct("rank", "id") <= F.col("last"))
-    )
+    place, last = F.struct(*TIE), F.struct(*[F.col(f"last.{c}") for c in TIE])
+    at_cut = F.col("piece") == F.col("cut_piece")
+    some = F.coalesce(at_cut & place.eqNullSafe(last) & (F.col("last.chosen") < F.col("last.rows")), F.lit(False))
+    more = (F.col("piece") < F.col("cut_piece")) | (at_cut & (place <= last))
+    plain = ranked
+    if not plan.filter("last.chosen < last.rows").isEmpty():
+        plain = ranked.filter(~some).withColumn("__nth", F.lit(None).cast("long"))
+        plain = plain.unionByName(_numbered(ranked.filter(some)))
+        more = F.when(F.col("__nth").isNotNull(), F.col("__nth") <= F.col("last.chosen")).otherwise(more)
     copies = F.col("copies") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return ranked.withColumn("copies", copies).drop("wanted", "rank", "piece", "cut_piece", "last", "n")
+    return plain.withColumn("copies", copies).drop("wanted", "rank", "piece", "cut_piece", "last", "n", "__nth")
 
 
 def mix_sources(
@@ -141,8 +174,9 @@ def mix_sources(
 
     Whole documents are taken, at most twice each, and each source's words end within half a
     document of its target. Null texts have size 0 and are never sampled beyond certain copies;
-    null sources are one source, the last; rows with the same id share their random number; an
-    empty table gives no rows; other columns are ignored. Two runs on the same rows agree.
+    null sources are one source, the last; rows that agree in source, id and size tie in the draw and
+    are taken one by one, whichever come first. Long texts count whole. An empty table gives no rows;
+    other columns are ignored. Two runs on the same rows agree.
     """
     sized, plan = sampling_plan(df, id_col, text_col, source_col, seed)
     out = taken(sized, plan, seed).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))

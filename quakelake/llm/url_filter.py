@@ -22,8 +22,10 @@ RULES = (
 PARTS = r"://([^/?#]*)([^?#]*)"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b["']?[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b["']?[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+HREF = r"""(?is)(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+TARGET = r"""(?is)[;,\s"']url\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+#: Scheme, authority, path and query of a reference (RFC 3986, appendix B).
+REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
 
 
 def host_of(url: Column) -> Column:
@@ -48,22 +50,61 @@ def canonical_address(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), short))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
+    empty = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        # The first segment is the empty one before the leading slash, which ".." never removes.
+        up = F.when(F.size(kept) > 1, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(kept)
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    folded = F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
+    # A last segment of dots leaves its slash.
+    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(folded, F.lit("/"))).otherwise(folded)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), ended).otherwise(path)
+
+
+def resolved(reference: Column, base: Column) -> Column:
+    """The address that a reference on the page ``base`` means (RFC 3986, 5.2); null if it is none.
+
+    References with a scheme but no authority (``mailto:``, ``data:``) are no addresses, and none is
+    read on a page without ``://``. Blanks around the reference go, ``&amp;`` is ``&``, the fragment
+    is left out.
+    """
+    given = F.regexp_replace(F.regexp_replace(reference, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), "(?i)&amp;", "&")
+    scheme, authority, path, search = (F.regexp_extract(given, REFERENCE, i) for i in range(1, 5))
+    own_path, own_search = path_of(base), F.regexp_extract(base, r"://[^/?#]*[^?#]*(\?[^#]*)?", 1)
+    folder = F.when(own_path == "", F.lit("/")).otherwise(F.regexp_extract(own_path, r"(?s)^(.*/)", 1))
+    merged = (
+        F.when(path == "", F.concat(own_path, F.when(search == "", own_search).otherwise(search)))
+        .when(path.startswith("/"), F.concat(without_dots(path), search))
+        .otherwise(F.concat(without_dots(F.concat(folder, path)), search))
+    )
+    elsewhere = F.concat(lower_ascii(F.substr(authority, F.lit(3))), without_dots(path), search)
+    return (
+        F.when(~base.contains("://"), F.lit(None))
+        .when(authority != "", elsewhere)
+        .when(scheme == "", F.concat(host_of(base), merged))
+    )
+
+
 def declared_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(src, dst)`` addresses: canonical links, refresh redirects, and the canonical spelling itself.
 
-    Targets that are not absolute are read against the page's scheme and host when they start with
-    a slash, and ignored otherwise.
+    Every such tag of a page counts; its target is resolved against the page's address. Null or
+    empty pages declare none, and empty targets mean the page itself. Tags are read by patterns over
+    the whole text, however long it is.
     """
-    url, html = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
+    url, html = F.col(f"`{url_col}`"), whole(F.col(f"`{html_col}`"))
 
-    def target(tag: str, attribute: str) -> Column:
-        found = F.regexp_extract(F.regexp_extract(whole(html), tag, 0), attribute, 1)
-        root = F.concat(F.lit("x://"), host_of(url), found)
-        return F.when(found.contains("://"), found).when(found.startswith("/"), root)
+    def targets(tag: str, attribute: str) -> Column:
+        tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+        named = F.filter(tags, lambda t: t.rlike(attribute))
+        return F.transform(named, lambda t: F.concat(*[F.regexp_extract(t, attribute, i) for i in (1, 2, 3)]))
 
-    ends = F.array(
-        address(target(CANONICAL, HREF)), address(target(REFRESH, TARGET)), canonical_address(url)
-    )
+    found = F.concat(targets(CANONICAL, HREF), targets(REFRESH, TARGET))
+    ends = F.concat(F.transform(found, lambda t: resolved(t, url)), F.array(canonical_address(url)))
     return pages.select(address(url).alias("src"), F.explode(ends).alias("dst")).filter("src <> dst")
 
 

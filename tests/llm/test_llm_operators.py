@@ -389,6 +389,48 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(df.filter("false"), url_filter.declared_links(df.filter("false"))).count() == 0
 
 
+RFC_3986 = {
+    "g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "g#s": "/b/c/g",
+    "": "/b/c/d;p?q", "#s": "/b/c/d;p?q", ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../": "/b/", "../g": "/b/g",
+    "../..": "/", "../../g": "/g", "../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", "..g": "/b/c/..g",
+    "./../g": "/b/g", "./g/.": "/b/c/g/", "g/../h": "/b/c/h", "g?y/../x": "/b/c/g?y/../x",
+}
+
+
+def test_references_are_resolved(spark):
+    rows = [(k, "http://a/b/c/d;p?q", "a" + v) for k, v in RFC_3986.items()]
+    rows += [
+        ("//G.org", "http://a/b/c/d;p?q", "g.org"),
+        ("https://x.org/a/../b?u=1&amp;v=2#f", "http://a/b", "x.org/b?u=1&v=2"),
+        ("/go?u=http://c.com/de/z", "http://h.net/p", "h.net/go?u=http://c.com/de/z"),
+        (" g ", "http://a", "a/g"),
+        ("mailto:x@y.org", "http://a/b", None),
+        ("g", "no scheme", None),
+        (None, "http://a/b", None),
+    ]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "ref string, base string, want string, i int")
+    for r in df.withColumn("got", url_filter.resolved(F.col("ref"), F.col("base"))).collect():
+        assert r["got"] == r["want"], r
+
+
+def test_declared_links(spark):
+    two = '<link rel="canonical" href="http://x.net/1"><link data-href="no" rel=canonical href=\'../de/z\'>'
+    pages = [
+        (1, "http://a.com/p/q", two),
+        (2, "http://e.net/x", '<link rel="canonical" href="//example.org/es/z">'),
+        (3, "http://f.net/x", '<link rel="canonical" href="/go?u=http://c.example.com/de/z">'),
+        (4, "http://g.net/x", "<meta content='0; url=//example.org/en/1' http-equiv=refresh>"),
+        (5, "http://h.net/x", "w" * 3_000_000 + '<link rel="canonical" href="http://example.org/es/">'),
+        (6, "http://i.net/x", '<link rel="canonical">'),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    links = {tuple(r) for r in url_filter.declared_links(df).collect()}
+    assert {("a.com/p/q", "x.net/1"), ("a.com/p/q", "a.com/de/z"), ("e.net/x", "example.org/es/z")} <= links
+    assert ("f.net/x", "f.net/go?u=http://c.example.com/de/z") in links and len(links) == 6
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(df, url_filter.declared_links(df)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "allow"}
+
+
 # --- mixing -------------------------------------------------------------------------------------
 
 
@@ -433,3 +475,16 @@ def test_mixing(spark):
     again = mixing.mix_sources(docs(spark, rows[::-1])).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
     assert mixing.mix_sources(docs(spark, [])).count() == 0
+
+
+def test_mixing_cuts_inside_ties(spark):
+    """Rows that repeat one id are taken one by one, and the rows of other sources are left alone."""
+    rows = [(1, "w " * 10, "a")] * 10 + [(None, "w " * 4, None)] * 9 + [(i, "w " * 7, "b") for i in range(30)]
+    df = docs(spark, rows).repartition(3)
+    got = mixing.mix_sources(df).collect()
+    assert len(got) == len(rows)
+    for source, size in (("a", 10), ("b", 7), (None, 4)):
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= size / 2
+    again = mixing.mix_sources(df.repartition(5)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
