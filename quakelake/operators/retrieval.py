@@ -27,7 +27,7 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Terms are counted inside the row, by sorting its tokens, so that no (document, term) pair is
     shuffled for counting.
     """
-    ordered = docs.select(id_col, F.sort_array(X.tokens(F.col(text_col))).alias("__t")).withColumn(
+    ordered = spread(docs.select(id_col, text_col), id_col).select(id_col, F.sort_array(X.tokens(F.col(text_col))).alias("__t")).withColumn(
         "__b", X.run_starts(F.col("__t"))
     )
     rows = exploded(
@@ -81,45 +81,54 @@ def tfidf_search(
     Documents sharing no weighted term with the query are eligible at score 0, as many as needed
     to fill ``k``.
     """
-    if weights is None:
-        idf = inverse_document_frequency(term_counts(docs, id_col, text_col), docs)
-        weights = tfidf_weights(docs, id_col, text_col, idf)
-        terms = idf.select("term", "idf")
-    else:
-        terms = weights.groupBy("term").agg(F.max("idf").alias("idf"))
-    stored = weights.select(id_col, "term", "idf", "weight").filter(F.col("weight") > 0)
     asked = (
         exploded(queries, [query_id], X.tokens(F.col(query_col)), "term")
         .groupBy(query_id, "term")
         .agg(F.count("*").alias("qtf"))
     )
     asked = small_side(asked)
-    hits = (
-        stored.join(asked, "term")
-        .withColumn("__q", F.col("qtf") * F.col("idf"))
-        .groupBy(query_id, id_col)
-        .agg(F.sum(F.col("__q") * F.col("weight")).alias("__dot"))
+    if weights is None:
+        counts = term_counts(docs, id_col, text_col)
+        idf = inverse_document_frequency(counts, docs)
+        hits = _asked_weights(counts, idf, asked.select("term").distinct(), id_col)
+        terms = idf.select("term", "idf")
+    else:
+        hits = weights.select(id_col, "term", "idf", "weight").filter(F.col("weight") > 0)
+        terms = weights.groupBy("term").agg(F.max("idf").alias("idf"))
+    parts = hits.join(asked, "term").select(
+        query_id, id_col, (F.col("qtf") * F.col("idf") * F.col("weight")).alias("__part")
     )
+    # Zero-score fillers: at most k of the k first documents can already be hits.
+    first = docs.select(id_col).orderBy(id_col).limit(k).agg(F.collect_list(id_col).alias("ids")).scalar()
+    fillers = queries.select(query_id, F.explode(first).alias(id_col)).withColumn("__part", F.lit(0.0))
+    dots = parts.unionByName(fillers).groupBy(query_id, id_col).agg(F.sum("__part").alias("__dot"))
     lengths = (
         asked.join(terms, "term")
         .groupBy(query_id)
         .agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("__qlen"))
     )
-    scored = hits.join(lengths, query_id).select(
-        query_id, id_col, F.round(F.col("__dot") / F.col("__qlen"), SCORE_PLACES).alias("score")
-    )
-    best = top_k(scored, [query_id], [F.desc("score"), F.asc(id_col)], k)
-    # Zero-score fillers: at most k of the k first documents can already be hits.
-    first = docs.select(id_col).orderBy(id_col).limit(k).agg(F.collect_list(id_col).alias("ids")).scalar()
-    fillers = (
-        queries.select(query_id, F.explode(first).alias(id_col))
-        .join(best, [query_id, id_col], "left_anti")
-        .withColumn("score", F.lit(0.0))
+    score = F.when(F.col("__dot") > 0, F.col("__dot") / F.col("__qlen")).otherwise(F.lit(0.0))
+    scored = dots.join(lengths, query_id, "left").select(query_id, id_col, F.round(score, SCORE_PLACES).alias("score"))
+    return top_k(scored, [query_id], [F.desc("score"), F.asc(id_col)], k).select(query_id, "rank", id_col, "score")
+
+
+def _asked_weights(counts: DataFrame, idf: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """``<id>, term, idf, weight`` of the ``terms`` only, weights being over the whole documents' lengths.
+
+    A document's length and its asked terms come out of one aggregation by document, so other terms
+    leave as a sum and a frequent term is spread over its documents.
+    """
+    marked = (
+        counts.join(idf.hint("merge"), "term")
+        .join(terms.withColumn("__asked", F.lit(True)), "term", "left")
+        .withColumn("__w", F.col("tf") / F.col("n_tokens") * F.col("idf"))
     )
-    both = best.drop("rank").unionByName(fillers)
-    return top_k(both, [query_id], [F.desc("score"), F.asc(id_col)], k).select(
-        query_id, "rank", id_col, "score"
+    entry = F.when(F.col("__asked") & (F.col("__w") > 0), F.struct("term", "idf", "__w"))
+    whole = marked.groupBy(id_col).agg(
+        F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__len"), F.collect_list(entry).alias("__held")
     )
+    rows = whole.filter(F.size("__held") > 0).select(id_col, "__len", F.explode("__held").alias("__e"))
+    return rows.select(id_col, "__e.term", "__e.idf", (F.col("__e.__w") / F.col("__len")).alias("weight"))
 
 
 # --- vectors ------------------------------------------------------------------------------------
