@@ -25,9 +25,16 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def table_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Parquet files of a folder whose names match, as a stream with the schema of the present ones."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    """Parquet tables of a folder whose names match, as a stream with the schema of the present ones.
+
+    A table is one file or a folder of part files. The path is always a pattern, since a stream takes
+    a plain path for a folder.
+    """
+    path = f"{folder.rstrip('/')}/{pattern}"
+    if not any(c in pattern for c in "*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def run_available(stream: DataFrame, folder: str) -> DataFrame:

@@ -44,3 +44,18 @@ def test_empty_streams(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(src)
     got = jobs.merge_evidence(jobs.table_stream(spark, src, "*.parquet"), str(tmp_path / "store"), str(tmp_path / "run"))
     assert got.count() == 0 and {"obs_key", "seq", "observation"} <= set(got.columns)
+
+
+def test_streams_over_tables_of_one_file_and_of_part_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"seen {i}") for i in range(40)], SCHEMA)
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    rows.limit(1).write.parquet(str(tmp_path / "parts" / "labels.parquet"))
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "documents.parquet")
+    for folder in ("parts", "one"):
+        stream = jobs.table_stream(spark, str(tmp_path / folder), "documents.parquet")
+        got = jobs.merge_evidence(stream, str(tmp_path / f"{folder}-store"), str(tmp_path / f"{folder}-run"))
+        assert sorted(r["seq"] for r in got.collect()) == list(range(40))
+        docs = stream.selectExpr("seq AS doc_id", "observation AS text")
+        chunks = jobs.index_documents(docs, str(tmp_path / f"{folder}-index"), str(tmp_path / f"{folder}-indexing"))[1]
+        assert sorted(r["doc_id"] for r in chunks.collect()) == list(range(40))
