@@ -32,8 +32,8 @@ def text_pages(
     return _explode_sections(df, X.text_pages(F.col(text_col), page_size), id_col)
 
 
-def paper_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return exploded(df, [id_col], X.paper_sections(F.col(text_col)), "s", "section").select(
+def paper_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
+    return exploded(df, [id_col], X.paper_sections(F.col(text_col), whole), "s", "section").select(
         id_col,
         "section",
         "s.title",
