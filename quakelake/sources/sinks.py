@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakelake.functions.times import micros
@@ -88,16 +88,24 @@ def station_lines(stations: DataFrame) -> DataFrame:
 
 
 def differential_time_lines(pairs: DataFrame) -> DataFrame:
-    """dt.ct text: a ``# EV1 EV2 0.0`` line per pair, then its stations. ``line_key`` orders them."""
-    head = pairs.select("ev1", "ev2").distinct().select(
-        "ev1", "ev2", F.lit("").alias("station"), F.lit("").alias("phase"),
-        F.format_string("# %s %s 0.0", F.col("ev1").cast("string"), F.col("ev2").cast("string")).alias("value"),
+    """dt.ct text: a ``# EV1 EV2 0.0`` line per pair, then its stations, in order of pair, station and phase.
+
+    Pairs are dealt to ranges once, as numbers; a pair lies in one range, where its first row brings
+    the head line, and lines are written after the sort.
+    """
+    order = Window.partitionBy("ev1", "ev2").orderBy("station", "phase")
+    ranked = pairs.select("ev1", "ev2", "station", "phase", "tp1", "tp2", "weight").repartitionByRange("ev1", "ev2")
+    ranked = ranked.withColumn("__first", F.row_number().over(order) == 1)
+    blank = F.lit("")
+    one, two = (F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("ev1", "ev2"))
+    head = F.struct(
+        blank.alias("station"), blank.alias("phase"), F.concat(F.lit("# "), one, F.lit(" "), two, F.lit(" 0.0")).alias("value")
     )
-    body = pairs.select(
-        "ev1", "ev2", "station", "phase",
-        F.format_string("%-8s %9.3f %9.3f %7.4f %s", "station", "tp1", "tp2", "weight", "phase").alias("value"),
+    body = F.struct(
+        "station", "phase", F.format_string("%-8s %9.3f %9.3f %7.4f %s", "station", "tp1", "tp2", "weight", "phase").alias("value")
     )
-    return head.unionByName(body).orderBy("ev1", "ev2", "station", "phase")
+    lines = F.when(F.col("__first"), F.array(head, body)).otherwise(F.array(body))
+    return ranked.select("ev1", "ev2", F.explode_outer(lines).alias("__l")).select("ev1", "ev2", "__l.station", "__l.phase", "__l.value")
 
 
 def phase_lines(picks: DataFrame) -> DataFrame:

@@ -227,3 +227,15 @@ def test_file_priority(spark):
     df = spark.createDataFrame([(p,) for p in paths], "rel_path string")
     kept = [r["rel_path"] for r in I.key_files(df, max_files=3).collect()]
     assert sorted(kept) == ["p/README.md", "p/a/b.md", "p/c.txt", "root.md"]
+
+
+def test_differential_time_lines_in_order_by_one_shuffle(spark):
+    rows = [(2, 3, "B", "P"), (1, 2, "B", "S"), (1, 2, "A", "S"), (1, 2, "A", "P"), (1, 9, "C", "P")]
+    pairs = spark.createDataFrame([(*r, 1.0, 2.5, 0.5) for r in rows], "ev1 long, ev2 long, station string, phase string, tp1 double, tp2 double, weight double")
+    lines = sinks.differential_time_lines(pairs.repartition(3))
+    body = lambda s, p: f"{s:<8} {1.0:9.3f} {2.5:9.3f} {0.5:7.4f} {p}"
+    assert [r["value"] for r in lines.collect()] == [
+        "# 1 2 0.0", body("A", "P"), body("A", "S"), body("B", "S"), "# 1 9 0.0", body("C", "P"), "# 2 3 0.0", body("B", "P"),
+    ]
+    plan = sinks.differential_time_lines(pairs)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan
