@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from quakelake.session import apply_settings
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
@@ -26,3 +27,13 @@ def test_entry(spark):
 
 def test_sql_names_are_queries():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_shuffles_start_with_many_partitions(spark):
+    """A task's share stays small when the input grows; sessions that ask for more keep theirs."""
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    other = spark.newSession()
+    other.conf.unset(initial)
+    assert int(apply_settings(other).conf.get(initial)) >= 512
+    other.conf.set(initial, "2000")
+    assert apply_settings(other).conf.get(initial) == "2000"
