@@ -2,40 +2,41 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakelake.llm.common import bounded_batches, own_columns, stored, whole
+from quakelake.llm.common import bounded_batches, discard, own_columns, stored, whole
 from quakelake.llm.registry import query
 
-#: Frequent words that are clustered one by one; the others go by groups of like endings.
-SINGLE = 600
-GROUPS = 199
-UNITS = SINGLE + GROUPS + 1
-#: The unit that bounds texts, and its class, which takes no part in the exchange.
-BOUND = UNITS - 1
+#: Most frequent words, whose exchange sees every move; all others are exchanged in rounds.
+CORE = 600
 CLASSES = 48
 SWEEPS = 6
-#: Words whose counts are sent to every task; counts of all others are joined.
+#: Rounds in which every other word takes the class that fits its neighbours best.
+ROUNDS = 1
+#: Classes of what may stand beside a word: the bound of texts, and words without a class as yet.
+BOUND, OTHER = CLASSES, CLASSES + 1
+SIDES = CLASSES + 2
+#: Words, and bytes of each, whose classes and counts are sent to every task; all others are joined.
 FREQUENT = 200_000
+LONGEST = 64
 #: Distinct words that a task counts before it hands them on.
 HELD = 200_000
 #: Weight of the class frequencies in a transition.
 PRIOR = 8.0
-
-
-def group_of(word: bytes) -> int:
-    """Unit of a word that is not clustered on its own."""
-    return SINGLE + zlib.crc32(word[-3:]) % GROUPS
+#: What is taken off a word's own neighbours, and how many usual ones it gets.
+DISCOUNT = 0.75
+USUAL = 1.0
+#: A token whose class a join tells, in a text's sequence of classes.
+HOLE = 255
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -76,56 +77,62 @@ def frequent_words(counts: DataFrame, most: int) -> pd.DataFrame:
     return top.sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
 
 
-def unit_bigrams(docs: DataFrame, single: dict[bytes, int]) -> np.ndarray:
-    """How often each unit follows each other one, bounds included: a matrix of fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(single)
+def unit_bigrams(docs: DataFrame, unit_of: dict[bytes, int], units: int) -> np.ndarray:
+    """How often each unit follows each other one: a matrix of fixed size.
+
+    The last two units are the bound of texts and all words without a unit.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(unit_of)
+    bound, other = units - 2, units - 1
 
     def count(batches):
-        single = shared.value
-        total = np.zeros(UNITS * UNITS, np.int64)
+        unit_of = shared.value
+        total = np.zeros(units * units, np.int64)
         for batch in batches:
-            chain = [np.array([BOUND])]
-            for text in batch.column(0).to_pylist():
-                words = text.lower().split()
-                at = np.fromiter(map(single.get, words, repeat(-1)), np.int64, len(words))
-                for i in np.flatnonzero(at < 0).tolist():
-                    at[i] = group_of(words[i])
-                chain += [at, np.array([BOUND])]
-                if len(chain) > 2_000:
-                    total += _pairs(chain)
-                    chain = [np.array([BOUND])]
-            total += _pairs(chain)
+            for chain in _chains(batch.column(0), unit_of, bound, other):
+                units_in = np.concatenate(chain)
+                total += np.bincount(units_in[:-1] * units + units_in[1:], minlength=units * units)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
-    out = np.zeros(UNITS * UNITS)
-    counts = docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
-    return out.reshape(UNITS, UNITS)
+    return _matrix(docs.mapInArrow(count, "at long, n long"), units)
 
 
-def _pairs(chain: list[np.ndarray]) -> np.ndarray:
-    units = np.concatenate(chain)
-    return np.bincount(units[:-1] * UNITS + units[1:], minlength=UNITS * UNITS)
+def _chains(texts: pa.Array, unit_of: dict[bytes, int], bound: int, other: int, at_once: int = 1_000):
+    """The units of up to ``at_once`` texts in a row, bounds before, between and after them."""
+    edge = np.array([bound])
+    for first in range(0, len(texts), at_once):
+        chain = [edge]
+        for text in texts.slice(first, at_once).to_pylist():
+            words = text.lower().split()
+            chain += [np.fromiter(map(unit_of.get, words, repeat(other)), np.int64, len(words)), edge]
+        yield chain
+
+
+def _matrix(cells: DataFrame, size: int) -> np.ndarray:
+    """A square matrix of fixed size from counts ``(at, n)`` of its cells."""
+    out = np.zeros(size * size)
+    counts = cells.groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out[counts["at"].to_numpy(np.int64)] = counts["n"].to_numpy(np.float64)
+    return out.reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of every unit; the last unit keeps a class of its own.
+def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, fixed: int = 1) -> np.ndarray:
+    """Class of every unit; the last ``fixed`` units keep classes of their own.
 
     Units start in the order of frequency, dealt to the classes in turn. Each sweep takes every unit
     out of its class and puts it where the likelihood of the class bigrams grows most, until no unit
     moves. The work depends on the number of units and classes only.
     """
     n = len(pairs)
-    bound = n - 1
-    order = [u for u in np.argsort(-pairs.sum(axis=1), kind="stable") if u != bound]
-    of = np.full(n, classes)
+    order = [u for u in np.argsort(-pairs.sum(axis=1), kind="stable") if u < n - fixed]
+    of = np.arange(n) - (n - fixed) + classes
     of[order] = np.arange(len(order)) % classes
-    member = np.zeros((n, classes + 1))
+    member = np.zeros((n, classes + fixed))
     member[np.arange(n), of] = 1
     between = member.T @ pairs @ member
     right_of = pairs @ member  # unit to following class
@@ -166,30 +173,165 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-@dataclass
-class ClassModel:
-    """Classes of units, log10 of transitions, and of what an emission is divided by."""
-
-    class_of: np.ndarray
-    step: np.ndarray
-    divisor: np.ndarray
-    frequent: dict[bytes, int]
-    frequent_class: np.ndarray
-    frequent_log: np.ndarray
-    end_log: float
-
-    def read(self, text: bytes):
-        """Tokens, class part of the score, log10(c + 1) of the frequent words, how many, and the other words."""
-        words = text.lower().split()
-        at = np.fromiter(map(self.frequent.get, words, repeat(-1)), np.int64, len(words))
-        rare = np.flatnonzero(at < 0)
-        others = Counter(words[i] for i in rare.tolist())
-        seq = np.full(len(words) + 2, CLASSES)
-        seq[1:-1] = self.frequent_class[at]
-        seq[1 + rare] = self.class_of[[group_of(words[i]) for i in rare.tolist()]] if len(rare) else 0
-        part = self.step[seq[:-1], seq[1:]].sum() - self.divisor[seq[1:]].sum()
-        logs = self.frequent_log[at[at >= 0]].sum() + self.end_log
-        return len(words) + 1, float(part), float(logs), len(words) - len(rare), others
+def neighbours(texts: DataFrame, class_of: dict[bytes, int], core: int) -> DataFrame:
+    """``(word, sides array<struct(side, n)>)`` for every word of ``texts (text)`` but the ``core`` first of ``class_of``.
+
+    A side is the class before the word, times ``SIDES``, and the class after it.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((class_of, set(list(class_of)[:core])))
+
+    def count(batches):
+        class_of, settled = shared.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1_000):
+                words, sides = [], []
+                for text in batch.column(0).slice(first, 1_000).to_pylist():
+                    own = text.lower().split()
+                    at = np.full(len(own) + 2, BOUND, np.int64)
+                    at[1:-1] = np.fromiter(map(class_of.get, own, repeat(OTHER)), np.int64, len(own))
+                    open_at = [i for i, w in enumerate(own) if w not in settled]
+                    words += [own[i] for i in open_at]
+                    sides.append((at[:-2] * SIDES + at[2:])[open_at])
+                held = pa.array(words, pa.binary()).dictionary_encode()
+                key, n = np.unique(held.indices.to_numpy(zero_copy_only=False).astype(np.int64) * SIDES**2 + np.concatenate(sides), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [held.dictionary.take(pa.array(key // SIDES**2)), pa.array((key % SIDES**2).astype(np.int32)), pa.array(n)], names=["word", "side", "n"]
+                )
+
+    # Dealt by word once: both groupings keep that.
+    counted = texts.mapInArrow(count, "word binary, side int, n long").repartition("word")
+    summed = counted.groupBy("word", "side").agg(F.sum("n").alias("n"))
+    return summed.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("sides"))
+
+
+def usual_neighbours(beside: DataFrame) -> np.ndarray:
+    """Shares of the classes before and after words seen once: a matrix of fixed size."""
+    once = beside.filter((F.size("sides") == 1) & (F.col("sides")[0]["n"] == 1)).groupBy(F.col("sides")[0]["side"].alias("at")).agg(F.count("*").alias("n"))
+    found = _matrix(once, SIDES)
+    return found / max(found.sum(), 1)
+
+
+def best_classes(beside: DataFrame, between: np.ndarray, usual: np.ndarray) -> DataFrame:
+    """``(word, n, class)``: the class whose neighbours fit each word's own best, as ``between`` counts them.
+
+    What a word adds to the likelihood of the class bigrams in class c is the sum of log N(l, c) / N(c)
+    over the classes l before it and of log N(c, r) / N(c) over those after it. A word's own counts
+    are discounted, as a class that fits one occurrence by chance fits no other; ``usual`` neighbours
+    of rare words take the place of what is discounted.
+    """
+    total = between.sum()
+    of = between[:, :CLASSES].sum(axis=0)
+    empty = np.where(of > 0, 0.0, -np.inf) if of.any() else 0.0
+    before = np.log((between[:, :CLASSES] + PRIOR * (between.sum(axis=1, keepdims=True) + 1) / (total + SIDES)) / (of + PRIOR))
+    after = np.log((between[:CLASSES].T + PRIOR * (between.sum(axis=0)[:, None] + 1) / (total + SIDES)) / (of + PRIOR))
+    always = USUAL * (usual.sum(axis=1) @ before + usual.sum(axis=0) @ after) + empty
+
+    def choose(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4_096):
+                part = batch.slice(first, 4_096)
+                listed, rows = part.column(1), part.num_rows
+                row = np.repeat(np.arange(rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+                cells = listed.flatten()
+                side, n = (np.asarray(c, np.int64) for c in cells.flatten())
+                left = np.bincount(row * SIDES + side // SIDES, n, rows * SIDES).reshape(rows, SIDES)
+                right = np.bincount(row * SIDES + side % SIDES, n, rows * SIDES).reshape(rows, SIDES)
+                times = left.sum(axis=1)
+                own = (left @ before + right @ after) * (1 - DISCOUNT / times)[:, None]
+                best = np.argmax(np.round(own + always, 6), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(times.astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "n", "class"]
+                )
+
+    return beside.mapInArrow(choose, "word binary, n long, class int")
+
+
+def word_classes(texts: DataFrame, top: pd.DataFrame) -> tuple[dict[bytes, int], DataFrame]:
+    """Classes of all words of ``texts (text)``: of those in ``top`` as a dict, of all but the core also as a table.
+
+    The core is exchanged word by word. Every other word, however rare, then takes the class that its
+    own neighbours fit best, all at once in each round, as in distributed exchange: the first round
+    knows the classes of the core, later ones those of all words in ``top``.
+    """
+    names = [bytes(w) for w in top["word"]]
+    core = names[:CORE]
+    pairs = unit_bigrams(texts, {w: i for i, w in enumerate(core)}, len(core) + 2)
+    of = exchange(pairs, fixed=2)
+    class_of = {w: int(of[i]) for i, w in enumerate(core)}
+    member = np.zeros((len(pairs), SIDES))
+    member[np.arange(len(pairs)), of] = 1
+    between = member.T @ pairs @ member
+    kind = texts.sparkSession.createDataFrame(pd.DataFrame({"word": names}), "word binary")
+    for n in range(ROUNDS):
+        if n:
+            between = unit_bigrams(texts, class_of, SIDES)
+        beside = stored(neighbours(texts, class_of, len(core)), "neighbours")
+        lexicon = stored(best_classes(beside, between, usual_neighbours(beside)), "word-classes")
+        discard(beside)
+        found = lexicon.join(F.broadcast(kind), "word").select("word", "class").toPandas()
+        got = dict(zip(map(bytes, found["word"]), found["class"].tolist()))
+        class_of = {w: class_of[w] if i < len(core) else got[w] for i, w in enumerate(names)}
+    return class_of, lexicon
+
+
+def class_sequences(docs: DataFrame, class_of: dict[bytes, int], logs_of: np.ndarray, lexicon: DataFrame, unseen: int) -> DataFrame:
+    """``(id, learnt, n_tokens, known, logs, classes)`` for every row of ``docs (id, text binary, learnt)``.
+
+    ``classes`` has a byte per word; ``known`` words occur in learnt texts, ``logs`` is their sum of
+    log10(c + 1). Words that are not in ``class_of`` meet ``lexicon`` in a join.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(class_of)}, np.array([*class_of.values(), HOLE], np.uint8), np.append(logs_of, 0.0)))
+
+    def read(batches):
+        place, classes, logs_of = shared.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                texts, rows = part.column(1).to_pylist(), []
+                for text in texts:
+                    words = text.lower().split()
+                    at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                    rare: dict[bytes, int] = {}
+                    holes = [rare.setdefault(words[i], len(rare)) for i in np.flatnonzero(at < 0).tolist()]
+                    rows.append((len(words) + 1, len(words) - len(holes), float(logs_of[at].sum()), classes[at].tobytes(), list(rare), holes))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(2),
+                        pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+                        *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                    ],
+                    names=["id", "learnt", "digest", "n_tokens", "known", "logs", "classes", "words", "holes"],
+                )
+
+    def fill(batches):
+        for batch in batches:
+            ids, learnt, n_tokens, known, logs, classes, words, holes, found, ns, kinds = (c.to_pylist() if k > 1 else c for k, c in enumerate(batch.columns))
+            for row, rare in enumerate(words):
+                if not rare:
+                    continue
+                told = dict(zip(found[row] or [], zip(ns[row] or [], kinds[row] or [])))
+                n, kind = np.array([told.get(w, (0, unseen)) for w in rare], np.int64).T
+                at = np.array(holes[row])
+                full = np.frombuffer(classes[row], np.uint8).copy()
+                full[full == HOLE] = kind[at]
+                classes[row] = full.tobytes()
+                known[row] += int((n[at] > 0).sum())
+                logs[row] += float(np.log10(n[at] + 1.0).sum())
+            yield pa.RecordBatch.from_arrays(
+                [ids, learnt, pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(classes, pa.binary())],
+                names=["id", "learnt", "n_tokens", "known", "logs", "classes"],
+            )
+
+    own = f"id {docs.schema['id'].dataType.simpleString()}, learnt boolean"
+    counts = "n_tokens long, known long, logs double, classes binary"
+    first = stored(docs.select("id", "text", "learnt").mapInArrow(read, f"{own}, digest binary, {counts}, words array<binary>, holes array<int>"), "read-texts")
+    asked = first.select("digest", F.explode("words").alias("word"))
+    # Equal texts share a digest and what is found for it.
+    found = asked.join(lexicon, "word").groupBy("digest").agg(F.collect_set(F.struct("word", "n", "class")).alias("found"))
+    joined = first.join(found, "digest", "left").drop("digest")
+    return joined.select("*", "found.word", "found.n", "found.class").drop("found").mapInArrow(fill, f"{own}, {counts}")
 
 
 def class_scores(docs: DataFrame, learn: Column) -> DataFrame:
@@ -200,9 +342,10 @@ def class_scores(docs: DataFrame, learn: Column) -> DataFrame:
     within its class, (c + 1) / (N_class + V_class + 1), so that unseen words have a share in each
     class. ``base_score`` is the add-one unigram score. Both are sums of log10.
 
-    Word counts cover all learnt texts. Those of the most frequent words, a bounded number, travel
-    with the tasks; all other words meet the table of counts in a join. Only the unit bigrams, whose
-    number is fixed, and the clustering on them are worked on in one place.
+    Every word of the learnt texts has a class by its own neighbours; unseen words share the class
+    of most words seen once. Counts and classes of the most frequent words, a bounded number, travel
+    with the tasks; all other words meet the table of classes in a join. Only class bigrams, whose
+    number is fixed, and the exchange of the core are worked on in one place.
 
     Null texts are empty and score their end; a null id is learnt from; rows that repeat are scored
     each; an empty table gives no rows.
@@ -215,91 +358,60 @@ def class_scores(docs: DataFrame, learn: Column) -> DataFrame:
     n_docs = texts.count()
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).head()
     n, v = (total["n"] or 0) + n_docs, total["v"] + (n_docs > 0)
-    top = frequent_words(counts, FREQUENT)
-    names = [bytes(w) for w in top["word"]]
-    single = {w: i for i, w in enumerate(names[:SINGLE])}
-    pairs = unit_bigrams(texts, single)
-    of = exchange(pairs)
-
-    shared_single = spark.sparkContext.broadcast(single)
-
-    def by_unit(batches):
-        single = shared_single.value
-        held = np.zeros((UNITS, 2), np.int64)
+    top = frequent_words(counts.filter(F.octet_length("word") <= LONGEST), FREQUENT)
+    class_of, lexicon = word_classes(texts, top)
+
+    tokens, types, once = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1), np.zeros(CLASSES)
+    tokens[BOUND], types[BOUND] = n_docs, 1
+    for word, c in zip(top["n"][:CORE], class_of.values()):
+        tokens[c] += word
+        types[c] += 1
+    seen_once = F.sum((F.col("n") == 1).cast("int")).alias("once")
+    for r in lexicon.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v"), seen_once).collect():
+        tokens[r["class"]] += r["n"]
+        types[r["class"]] += r["v"]
+        once[r["class"]] = r["once"]
+    divisor = np.log10(tokens + types + 1)
+    logs_of = np.log10(top["n"].to_numpy(np.float64) + 1)
+    read = stored(class_sequences(docs, class_of, logs_of, lexicon, int(np.argmax(once))), "class-sequences")
+
+    def steps(batches):
+        total = np.zeros((CLASSES + 1) ** 2, np.int64)
         for batch in batches:
-            words = [bytes(w) for w in batch.column(0).to_pylist()]
-            at = np.array([single.get(w, -1) if w in single else group_of(w) for w in words], np.int64)
-            held[:, 0] += np.bincount(at, batch.column(1).to_numpy(), minlength=UNITS).astype(np.int64)
-            held[:, 1] += np.bincount(at, minlength=UNITS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(UNITS)), pa.array(held[:, 0]), pa.array(held[:, 1])], names=["unit", "n", "v"])
-
-    tokens, types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in counts.mapInArrow(by_unit, "unit long, n long, v long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        tokens[of[r["unit"]]] += r["n"]
-        types[of[r["unit"]]] += r["v"]
-    tokens[CLASSES], types[CLASSES] = n_docs, 1
-    member = np.zeros((UNITS, CLASSES + 1))
-    member[np.arange(UNITS), of] = 1
-    between = member.T @ pairs @ member
+            for classes in batch.column(0).to_pylist():
+                at = _bounded(classes)
+                total += np.bincount(at[:-1] * (CLASSES + 1) + at[1:], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
+
+    between = _matrix(read.filter("learnt").select("classes").mapInArrow(steps, "at long, n long"), CLASSES + 1)
     share = (between.sum(axis=0) + 1) / (between.sum() + CLASSES + 1)
-    step = np.log10((between + PRIOR * share) / (between.sum(axis=1, keepdims=True) + PRIOR))
-    model = ClassModel(
-        class_of=of,
-        step=step,
-        divisor=np.log10(tokens + types + 1),
-        frequent={w: i for i, w in enumerate(names)},
-        frequent_class=of[[i if i < SINGLE else group_of(w) for i, w in enumerate(names)] + [0]],
-        frequent_log=np.log10(np.append(top["n"].to_numpy(np.float64), 0) + 1),
-        end_log=float(np.log10(n_docs + 1)),
-    )
-    shared = spark.sparkContext.broadcast(model)
+    # A token's transition and what its emission is divided by.
+    step = np.log10((between + PRIOR * share) / (between.sum(axis=1, keepdims=True) + PRIOR)) - divisor
 
-    def read(batches):
-        model = shared.value
-        for batch in batches:
-            ids, learnt = batch.column(0), batch.column(2)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.column(1).slice(at, 512).to_pylist()
-                rows = [model.read(t) for t in part]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(at, 512),
-                        learnt.slice(at, 512),
-                        pa.array([xxhash.xxh3_128_digest(t) for t in part], pa.binary()),
-                        *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.int64()))],
-                        pa.array([list(r[4]) for r in rows], pa.list_(pa.binary())),
-                        pa.array([list(r[4].values()) for r in rows], pa.list_(pa.int32())),
-                    ],
-                    names=["id", "learnt", "digest", "n_tokens", "part", "logs", "known", "words", "times"],
-                )
+    @F.pandas_udf("double")
+    def class_part(classes: pd.Series) -> pd.Series:
+        ats = map(_bounded, classes)
+        return pd.Series([step[at[:-1], at[1:]].sum() for at in ats], dtype="float64")
 
-    kind = docs.schema["id"].dataType.simpleString()
-    first = stored(
-        docs.mapInArrow(
-            read, f"id {kind}, learnt boolean, digest binary, n_tokens long, part double, logs double, known long, words array<binary>, times array<int>"
-        ),
-        "read-texts",
-    )
-    rest = first.select("digest", F.explode(F.arrays_zip("words", "times")).alias("w")).select("digest", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    found = rest.join(counts, "word").groupBy("digest").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("times").alias("more_known")
-    )
-    # Equal texts share a digest: what they have gathered together is theirs in equal parts.
-    copies = first.groupBy("digest").agg(F.count("*").alias("copies"))
-    found = found.join(copies, "digest")
-    logs = F.col("logs") + F.coalesce(F.col("more_logs") / F.col("copies"), F.lit(0.0))
-    known = F.col("known") + F.coalesce((F.col("more_known") / F.col("copies")).cast("long"), F.lit(0))
-    return first.drop("words", "times").join(found, "digest", "left").select(
+    logs = F.col("logs") + F.lit(float(np.log10(n_docs + 1)))
+    return read.select(
         "id",
         (~F.col("learnt")).alias("held_out"),
         "n_tokens",
-        (known + F.lit(1 if n_docs else 0)).alias("n_known"),
+        (F.col("known") + F.lit(1 if n_docs else 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        (logs + F.col("part")).alias("score"),
+        (logs + class_part("classes")).alias("score"),
     )
 
 
+def _bounded(classes: bytes) -> np.ndarray:
+    """The classes of a text between two bounds."""
+    at = np.full(len(classes) + 2, BOUND, np.int64)
+    at[1:-1] = np.frombuffer(classes, np.uint8)
+    return at
+
+
 @query("op5_brown")
 def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class model and unigram scores of every document; one in seven is held out."""

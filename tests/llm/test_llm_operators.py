@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,24 @@ def test_class_model_beats_unigrams_and_exchange_finds_classes(spark):
     assert got and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_every_word_has_the_class_of_its_neighbours(spark):
+    """Words far below the core, and below what is sent, are classed by their own neighbours, not by a hash."""
+    rnd = random.Random(5)
+    nouns, verbs = [f"n{i}x" for i in range(900)], [f"v{i}x" for i in range(900)]
+    common = ["the", "of", "to", "in", "cat", "dog", "sit", "run"]
+    pairs = [*zip(nouns, verbs), *[(rnd.choice(["cat", "dog"]), rnd.choice(["sit", "run"])) for _ in range(400)]]
+    lines = [f"of the {a} to {b} in" for a, b in pairs]
+    texts = spark.createDataFrame([(line.encode(),) for line in rnd.sample(lines, len(lines))], "text binary")
+    counts = Counter(w for line in lines for w in line.split())
+    top = pd.DataFrame([(w.encode(), counts[w]) for w in common], columns=["word", "n"])
+    class_of, lexicon = brown.word_classes(texts, top)
+    got = {bytes(r["word"]).decode(): r["class"] for r in lexicon.collect()}
+    assert set(got) == set(nouns + verbs) and set(class_of) == {w.encode() for w in common}
+    assert {got[w] for w in nouns} <= {class_of[b"cat"], class_of[b"dog"]}
+    assert {got[w] for w in verbs} <= {class_of[b"sit"], class_of[b"run"]}
+    assert not {got[w] for w in nouns} & {got[w] for w in verbs}
+
+
 # --- top-k --------------------------------------------------------------------------------------
 
 
