@@ -57,14 +57,21 @@ def rst_section_texts(text: Column) -> Column:
     a heading, and a directive with the indented lines that follow it.
     """
     rows = X.lines(text)
-    below = F.concat(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), F.array(F.lit("")))
+    return _rst_found(_rst_pieces(_rst_marked(rows, _rst_letters(rows, _rst_below(rows)))), text)
 
+
+def _rst_below(rows: Column) -> Column:
+    return F.concat(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), F.array(F.lit("")))
+
+
+def _rst_letters(rows: Column, below: Column) -> Column:
     def letter(line: Column, after: Column) -> Column:
         title = X.strip(line)
-        underlined = (title != "") & after.rlike(RST_UNDERLINE) & (F.length(X.strip(after)) >= F.length(title))
+        # The pattern is tried last: few lines have one below that is long enough.
+        underlined = (F.length(after) >= 3) & (title != "") & (F.length(X.strip(after)) >= F.length(title)) & after.rlike(RST_UNDERLINE)
         return (
             F.when(underlined, "h")
-            .when(line.rlike(RST_DIRECTIVE), "d")
+            .when(F.contains(line, F.lit("..")) & line.rlike(RST_DIRECTIVE), "d")
             .when((line == "") | line.rlike("^" + X.SPACE_CLASS), "i")
             .otherwise("n")
         )
@@ -73,24 +80,39 @@ def rst_section_texts(text: Column) -> Column:
     letters = F.regexp_replace(letters, "h.", "hu")
     # An indented line goes if the line before it went; the first letter stands before all lines.
     letters = F.regexp_replace(F.concat(F.lit("n"), letters), r"d|(?<!^)\Gi", "u")
-    marked = F.zip_with(
-        rows,
-        F.split(F.substring(letters, 2, 2**31 - 1), ""),
-        lambda line, kind: F.when(
-            kind != "u",
-            F.concat(
-                F.when(kind == "h", F.lit("\x01")).otherwise(""),
-                F.regexp_replace(F.regexp_replace(line, RST_ROLE, "$1"), RST_QUOTED, "$1"),
-            ),
-        ),
+    return F.split(F.substring(letters, 2, 2**31 - 1), "")
+
+
+def _rst_marked(rows: Column, letters: Column) -> Column:
+    def plain(line: Column) -> Column:
+        return F.when(F.contains(line, F.lit("`")), F.regexp_replace(F.regexp_replace(line, RST_ROLE, "$1"), RST_QUOTED, "$1")).otherwise(line)
+
+    return F.zip_with(
+        rows, letters, lambda line, kind: F.when(kind != "u", F.concat(F.when(kind == "h", F.lit("\x01")).otherwise(""), plain(line)))
     )
+
+
+def _rst_pieces(marked: Column) -> Column:
     pieces = F.split(F.array_join(F.filter(marked, lambda x: x.isNotNull()), "\n"), "\n?\x01")
-    found = F.filter(F.transform(pieces, X.strip), lambda x: x != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(X.strip(text)))
+    return F.filter(F.transform(pieces, X.strip), lambda x: x != "")
+
+
+def _rst_found(pieces: Column, text: Column) -> Column:
+    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(X.strip(text)))
 
 
 def rst_sections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return _explode_sections(df.filter(F.col(text_col).isNotNull()), rst_section_texts(F.col(text_col)), id_col)
+    """``<id>, text, page`` per section, as :func:`rst_section_texts` tells them.
+
+    What a later step uses twice is a column of its own, because an expression used twice is worked
+    out twice: the lines alone would be cut ten times over.
+    """
+    held = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
+    held = held.withColumn("__parts", F.split("__text", X.LINE_END))
+    held = held.withColumn("__rows", X.without_last(F.col("__parts")))
+    held = held.withColumn("__letters", _rst_letters(F.col("__rows"), _rst_below(F.col("__rows"))))
+    held = held.withColumn("__pieces", _rst_pieces(_rst_marked(F.col("__rows"), F.col("__letters"))))
+    return _explode_sections(held, _rst_found(F.col("__pieces"), F.col("__text")), id_col)
 
 
 # HTML elements whose text is dropped (the first hold no markup), that end a line, and

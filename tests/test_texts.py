@@ -124,6 +124,18 @@ def test_rst_sections(spark):
     assert one(spark, " ", D.rst_section_texts) == [""]
 
 
+def test_rst_sections_cut_lines_once(spark, sf_dir):
+    """Lines are cut in one place of the plan; the rows are those of the expression."""
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace("text", r"[.] ", ".\n=====================================\n").alias("text"))
+    made = spark.createDataFrame([(-1, "A b\n===\n.. x::\n   gone\n``c`` :r:`d`\r\n"), (-2, ""), (-3, None), (-4, "T\n***\n\n")], "doc_id long, text string")
+    df = base.unionByName(made)
+    got = D.rst_sections(df)
+    want = df.filter("text is not null").select("doc_id", F.posexplode(D.rst_section_texts(F.col("text"))).alias("page", "text"))
+    assert sorted((r["doc_id"], r["page"], r["text"]) for r in got.collect()) == sorted((r["doc_id"], r["page"], r["text"]) for r in want.collect())
+    plan = D.rst_sections(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1
+
+
 def test_sliding_windows_cover_the_text(spark):
     text = " ".join(f"word{i}." if i % 7 == 0 else f"word{i}" for i in range(400))
     pieces = one(spark, text, D.sliding_window_texts)
