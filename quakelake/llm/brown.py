@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -28,8 +25,8 @@ SIDES = CLASSES + 2
 #: Words, and bytes of each, whose classes and counts are sent to every task; all others are joined.
 FREQUENT = 200_000
 LONGEST = 64
-#: Distinct words that a task counts before it hands them on.
-HELD = 200_000
+#: Words that a task gathers before it hands on their counts.
+HELD = 1_000_000
 #: Weight of the class frequencies in a transition.
 PRIOR = 8.0
 #: What is taken off a word's own neighbours, and how many usual ones it gets.
@@ -39,22 +36,57 @@ USUAL = 1.0
 HOLE = 255
 
 
+def text_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """All words of ``texts``, A-Z lower-cased, one after the other, and the text that each is in."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    row, words = pc.list_parent_indices(split), split.flatten()
+    # White space at an end of a text leaves an empty word there.
+    full = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(full, min_count=0).as_py():
+        row, words = row.filter(full), words.filter(full)
+    return row.to_numpy(), words.view(pa.binary())
+
+
+def _places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """The place of every word in ``known``, -1 for others."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values of the numbers up to each of ``ends``."""
+    offsets = np.append(0, ends * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(cells: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all binary values one after the other, and the row that each is in."""
+    wide = np.dtype(kind).itemsize
+    if not len(cells):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    _, ends, held = cells.buffers()
+    ends = np.frombuffer(ends, np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    values = np.frombuffer(held or b"", kind, (ends[-1] - ends[0]) // wide, ends[0])
+    return values, np.repeat(np.arange(len(cells)), np.diff(ends) // wide)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """``(word, n)`` over all texts of ``docs (text)``, A-Z lower-cased."""
 
     def count(batches):
-        seen: Counter = Counter()
+        held, size = [], 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
+            found = pa.chunked_array(held, pa.binary()).value_counts()
+            held.clear()
+            return pa.RecordBatch.from_arrays(found.flatten(), names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(text.lower().split())
-                if len(seen) > HELD:
-                    yield flush()
+            _, words = text_words(batch.column(0))
+            held.append(words)
+            size += len(words)
+            if size > HELD:
+                yield flush()
+                size = 0
         yield flush()
 
     return docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -82,31 +114,32 @@ def unit_bigrams(docs: DataFrame, unit_of: dict[bytes, int], units: int) -> np.n
 
     The last two units are the bound of texts and all words without a unit.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(unit_of)
     bound, other = units - 2, units - 1
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array(list(unit_of), pa.binary()), np.array([*unit_of.values(), other], np.int64)))
 
     def count(batches):
-        unit_of = shared.value
+        known, unit = shared.value
         total = np.zeros(units * units, np.int64)
         for batch in batches:
-            for chain in _chains(batch.column(0), unit_of, bound, other):
-                units_in = np.concatenate(chain)
-                total += np.bincount(units_in[:-1] * units + units_in[1:], minlength=units * units)
+            row, words = text_words(batch.column(0))
+            total += _steps(chain(unit[_places(words, known)], row, batch.num_rows, bound)[0], units)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "n"])
 
     return _matrix(docs.mapInArrow(count, "at long, n long"), units)
 
 
-def _chains(texts: pa.Array, unit_of: dict[bytes, int], bound: int, other: int, at_once: int = 1_000):
-    """The units of up to ``at_once`` texts in a row, bounds before, between and after them."""
-    edge = np.array([bound])
-    for first in range(0, len(texts), at_once):
-        chain = [edge]
-        for text in texts.slice(first, at_once).to_pylist():
-            words = text.lower().split()
-            chain += [np.fromiter(map(unit_of.get, words, repeat(other)), np.int64, len(words)), edge]
-        yield chain
+def chain(values: np.ndarray, row: np.ndarray, rows: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all texts one after the other, a bound before, between and after texts; the place of each."""
+    place = np.arange(len(values)) + row + 1
+    out = np.full(len(values) + rows + 1, bound, np.int64)
+    out[place] = values
+    return out, place
+
+
+def _steps(at: np.ndarray, size: int) -> np.ndarray:
+    """How often each value below ``size`` follows each other one."""
+    return np.bincount(at[:-1] * size + at[1:], minlength=size * size)
 
 
 def _matrix(cells: DataFrame, size: int) -> np.ndarray:
@@ -174,39 +207,78 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, fi
 
 
 def neighbours(texts: DataFrame, class_of: dict[bytes, int], core: int) -> DataFrame:
-    """``(word, sides array<struct(side, n)>)`` for every word of ``texts (text)`` but the ``core`` first of ``class_of``.
+    """``(word, only, sides, counts)`` for every word of ``texts (text)`` but the ``core`` first of ``class_of``.
 
-    A side is the class before the word, times ``SIDES``, and the class after it.
+    A side is the class before the word, times ``SIDES``, and the class after it. The distinct sides
+    of a word, at most ``SIDES`` squared, and how often it has each are packed into binary values, so
+    that a row is a word and not an occurrence; ``only`` is the side of a word seen once.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((class_of, set(list(class_of)[:core])))
+    shared = texts.sparkSession.sparkContext.broadcast((pa.array(list(class_of), pa.binary()), np.array([*class_of.values(), OTHER], np.int64)))
+
+    def rows(words: pa.Array, key: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+        """A row for each of ``words``, from sorted keys: its place times ``SIDES`` squared, and a side."""
+        ends = np.searchsorted(key, np.arange(1, len(words) + 1) * SIDES**2)
+        return [words, _packed((key % SIDES**2).astype("<u2"), ends), _packed(n.astype("<i8"), ends)]
 
     def count(batches):
-        class_of, settled = shared.value
+        known, classes = shared.value
         for batch in batches:
-            for first in range(0, batch.num_rows, 1_000):
-                words, sides = [], []
-                for text in batch.column(0).slice(first, 1_000).to_pylist():
-                    own = text.lower().split()
-                    at = np.full(len(own) + 2, BOUND, np.int64)
-                    at[1:-1] = np.fromiter(map(class_of.get, own, repeat(OTHER)), np.int64, len(own))
-                    open_at = [i for i, w in enumerate(own) if w not in settled]
-                    words += [own[i] for i in open_at]
-                    sides.append((at[:-2] * SIDES + at[2:])[open_at])
-                held = pa.array(words, pa.binary()).dictionary_encode()
-                key, n = np.unique(held.indices.to_numpy(zero_copy_only=False).astype(np.int64) * SIDES**2 + np.concatenate(sides), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [held.dictionary.take(pa.array(key // SIDES**2)), pa.array((key % SIDES**2).astype(np.int32)), pa.array(n)], names=["word", "side", "n"]
-                )
-
-    # Dealt by word once: both groupings keep that.
-    counted = texts.mapInArrow(count, "word binary, side int, n long").repartition("word")
-    summed = counted.groupBy("word", "side").agg(F.sum("n").alias("n"))
-    return summed.groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("sides"))
+            row, words = text_words(batch.column(0))
+            place = _places(words, known)
+            at, here = chain(classes[place], row, batch.num_rows, BOUND)
+            is_open = (place < 0) | (place >= core)
+            here = here[is_open]
+            held = words.filter(pa.array(is_open)).dictionary_encode()
+            key, n = np.unique(held.indices.to_numpy().astype(np.int64) * SIDES**2 + at[here - 1] * SIDES + at[here + 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays(rows(held.dictionary, key, n), names=["word", "sides", "counts"])
+
+    def merge(batches):
+        """Words of one hash follow each other; those of the last one may go on in the next batch."""
+
+        def summed(parts):
+            words, sides, counts = (pa.concat_arrays([p.column(k) for p in parts]) for k in (1, 2, 3))
+            held = words.dictionary_encode()
+            side, row = _unpacked(sides, "<u2")
+            key, same = np.unique(held.indices.to_numpy().astype(np.int64)[row] * SIDES**2 + side, return_inverse=True)
+            n = np.bincount(same, _unpacked(counts, "<i8")[0], len(key)).astype(np.int64)
+            return held.dictionary, key, n
+
+        def done(parts):
+            words, key, n = summed(parts)
+            made = rows(words, key, n)
+            first = np.searchsorted(key, np.arange(len(words)) * SIDES**2)
+            once = (pc.binary_length(made[1]).to_numpy() == 2) & (n[first] == 1)
+            only = pa.array((key[first] % SIDES**2).astype(np.int32), mask=~once)
+            return pa.RecordBatch.from_arrays([made[0], only, *made[1:]], names=["word", "only", "sides", "counts"])
+
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hashes = batch.column(0).to_numpy()
+            cut = int(np.flatnonzero(hashes == hashes[-1])[0])
+            if cut or hashes[-1] != last:
+                parts = [p for p in (*held, batch.slice(0, cut)) if p.num_rows]
+                if parts:
+                    yield done(parts)
+                held = []
+            held.append(batch.slice(cut))
+            last = hashes[-1]
+            if len(held) > 1:
+                made = rows(*summed(held))
+                held = [pa.RecordBatch.from_arrays([pa.array(np.full(len(made[0]), last)), *made], schema=batch.schema)]
+        if held:
+            yield done(held)
+
+    counted = texts.mapInArrow(count, "word binary, sides binary, counts binary")
+    # Hashes, being numbers, sort much faster than words.
+    by_word = counted.repartition("word").select(F.xxhash64("word").alias("hash"), "word", "sides", "counts").sortWithinPartitions("hash")
+    return by_word.mapInArrow(merge, "word binary, only int, sides binary, counts binary")
 
 
 def usual_neighbours(beside: DataFrame) -> np.ndarray:
     """Shares of the classes before and after words seen once: a matrix of fixed size."""
-    once = beside.filter((F.size("sides") == 1) & (F.col("sides")[0]["n"] == 1)).groupBy(F.col("sides")[0]["side"].alias("at")).agg(F.count("*").alias("n"))
+    once = beside.filter("only is not null").groupBy(F.col("only").alias("at")).agg(F.count("*").alias("n"))
     found = _matrix(once, SIDES)
     return found / max(found.sum(), 1)
 
@@ -230,10 +302,9 @@ def best_classes(beside: DataFrame, between: np.ndarray, usual: np.ndarray) -> D
         for batch in batches:
             for first in range(0, batch.num_rows, 4_096):
                 part = batch.slice(first, 4_096)
-                listed, rows = part.column(1), part.num_rows
-                row = np.repeat(np.arange(rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
-                cells = listed.flatten()
-                side, n = (np.asarray(c, np.int64) for c in cells.flatten())
+                rows = part.num_rows
+                side, row = _unpacked(part.column(2), "<u2")
+                n, _ = _unpacked(part.column(3), "<i8")
                 left = np.bincount(row * SIDES + side // SIDES, n, rows * SIDES).reshape(rows, SIDES)
                 right = np.bincount(row * SIDES + side % SIDES, n, rows * SIDES).reshape(rows, SIDES)
                 times = left.sum(axis=1)
@@ -280,58 +351,77 @@ def class_sequences(docs: DataFrame, class_of: dict[bytes, int], logs_of: np.nda
     ``classes`` has a byte per word; ``known`` words occur in learnt texts, ``logs`` is their sum of
     log10(c + 1). Words that are not in ``class_of`` meet ``lexicon`` in a join.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(class_of)}, np.array([*class_of.values(), HOLE], np.uint8), np.append(logs_of, 0.0)))
+    known = pa.array(list(class_of), pa.binary())
+    shared = docs.sparkSession.sparkContext.broadcast((known, np.array([*class_of.values(), HOLE], np.uint8), np.append(logs_of, 0.0)))
 
     def read(batches):
-        place, classes, logs_of = shared.value
+        known, classes, logs_of = shared.value
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                texts, rows = part.column(1).to_pylist(), []
-                for text in texts:
-                    words = text.lower().split()
-                    at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                    rare: dict[bytes, int] = {}
-                    holes = [rare.setdefault(words[i], len(rare)) for i in np.flatnonzero(at < 0).tolist()]
-                    rows.append((len(words) + 1, len(words) - len(holes), float(logs_of[at].sum()), classes[at].tobytes(), list(rare), holes))
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(2),
-                        pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
-                        *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
-                    ],
-                    names=["id", "learnt", "digest", "n_tokens", "known", "logs", "classes", "words", "holes"],
-                )
+            texts, rows = batch.column(1), batch.num_rows
+            row, words = text_words(texts)
+            place = _places(words, known)
+            sizes = np.bincount(row, minlength=rows)
+            is_hole = place < 0
+            # The distinct words of a text that a join tells, in the order in which they come first.
+            held, of = words.filter(pa.array(is_hole)).dictionary_encode(), row[is_hole].astype(np.int64)
+            wide = max(len(held.dictionary), 1)
+            key, first, same = np.unique(of * wide + held.indices.to_numpy(), return_index=True, return_inverse=True)
+            order = np.argsort(first)
+            rank = np.empty(len(key), np.int64)
+            rank[order] = np.arange(len(key))
+            rare = np.bincount(key // wide, minlength=rows)
+            starts = np.append(0, np.cumsum(rare))
+            holes = (rank[same] - starts[of]).astype("<i4")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array([xxhash.xxh3_128_digest(t) for t in texts.to_pylist()], pa.binary()),
+                    pa.array(sizes + 1, pa.int64()),
+                    pa.array(sizes - np.bincount(of, minlength=rows), pa.int64()),
+                    pa.array(np.bincount(row, logs_of[place], rows)),
+                    _packed(classes[place], np.cumsum(sizes)),
+                    pa.ListArray.from_arrays(pa.array(starts, pa.int32()), held.dictionary.take(pa.array(key[order] % wide))),
+                    pa.array(rare, pa.int64()),
+                    _packed(holes, np.cumsum(np.bincount(of, minlength=rows))),
+                ],
+                names=["id", "learnt", "digest", "n_tokens", "known", "logs", "classes", "words", "rare", "holes"],
+            )
 
     def fill(batches):
         for batch in batches:
-            ids, learnt, n_tokens, known, logs, classes, words, holes, found, ns, kinds = (c.to_pylist() if k > 1 else c for k, c in enumerate(batch.columns))
-            for row, rare in enumerate(words):
-                if not rare:
-                    continue
-                told = dict(zip(found[row] or [], zip(ns[row] or [], kinds[row] or [])))
-                n, kind = np.array([told.get(w, (0, unseen)) for w in rare], np.int64).T
-                at = np.array(holes[row])
-                full = np.frombuffer(classes[row], np.uint8).copy()
-                full[full == HOLE] = kind[at]
-                classes[row] = full.tobytes()
-                known[row] += int((n[at] > 0).sum())
-                logs[row] += float(np.log10(n[at] + 1.0).sum())
+            ids, learnt, n_tokens, known, logs, classes, rare, holes, at, ns, kinds = batch.columns
+            rows, rare = batch.num_rows, rare.to_numpy()
+            starts = np.cumsum(rare) - rare
+            n, kind = np.zeros(rare.sum(), np.int64), np.full(rare.sum(), unseen, np.uint8)
+            of = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False))
+            told = starts[of] + at.flatten().to_numpy()
+            n[told], kind[told] = ns.flatten().to_numpy(), kinds.flatten().to_numpy()
+            hole, row = _unpacked(holes, "<i4")
+            hole = starts[row] + hole
+            full, of = _unpacked(classes, "u1")
+            full = full.copy()
+            full[full == HOLE] = kind[hole]
             yield pa.RecordBatch.from_arrays(
-                [ids, learnt, pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(classes, pa.binary())],
+                [
+                    ids,
+                    learnt,
+                    n_tokens,
+                    pa.array(known.to_numpy() + np.bincount(row[n[hole] > 0], minlength=rows), pa.int64()),
+                    pa.array(logs.to_numpy() + np.bincount(row, np.log10(n[hole] + 1.0), rows)),
+                    _packed(full, np.cumsum(np.bincount(of, minlength=rows))),
+                ],
                 names=["id", "learnt", "n_tokens", "known", "logs", "classes"],
             )
 
     own = f"id {docs.schema['id'].dataType.simpleString()}, learnt boolean"
     counts = "n_tokens long, known long, logs double, classes binary"
-    first = stored(docs.select("id", "text", "learnt").mapInArrow(read, f"{own}, digest binary, {counts}, words array<binary>, holes array<int>"), "read-texts")
-    asked = first.select("digest", F.explode("words").alias("word"))
+    first = stored(docs.select("id", "text", "learnt").mapInArrow(read, f"{own}, digest binary, {counts}, words array<binary>, rare long, holes binary"), "read-texts")
+    asked = first.select("digest", F.posexplode("words").alias("at", "word"))
     # Equal texts share a digest and what is found for it.
-    found = asked.join(lexicon, "word").groupBy("digest").agg(F.collect_set(F.struct("word", "n", "class")).alias("found"))
-    joined = first.join(found, "digest", "left").drop("digest")
-    return joined.select("*", "found.word", "found.n", "found.class").drop("found").mapInArrow(fill, f"{own}, {counts}")
+    found = asked.join(lexicon, "word").groupBy("digest").agg(F.collect_set(F.struct("at", "n", "class")).alias("found"))
+    joined = first.drop("words").join(found, "digest", "left").drop("digest")
+    return joined.select("*", "found.at", "found.n", "found.class").drop("found").mapInArrow(fill, f"{own}, {counts}")
 
 
 def class_scores(docs: DataFrame, learn: Column) -> DataFrame:
@@ -378,9 +468,7 @@ def class_scores(docs: DataFrame, learn: Column) -> DataFrame:
     def steps(batches):
         total = np.zeros((CLASSES + 1) ** 2, np.int64)
         for batch in batches:
-            for classes in batch.column(0).to_pylist():
-                at = _bounded(classes)
-                total += np.bincount(at[:-1] * (CLASSES + 1) + at[1:], minlength=len(total))
+            total += _steps(chain(*_unpacked(batch.column(0), "u1"), batch.num_rows, BOUND)[0], CLASSES + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "n"])
 
     between = _matrix(read.filter("learnt").select("classes").mapInArrow(steps, "at long, n long"), CLASSES + 1)
@@ -390,8 +478,13 @@ def class_scores(docs: DataFrame, learn: Column) -> DataFrame:
 
     @F.pandas_udf("double")
     def class_part(classes: pd.Series) -> pd.Series:
-        ats = map(_bounded, classes)
-        return pd.Series([step[at[:-1], at[1:]].sum() for at in ats], dtype="float64")
+        values, row = _unpacked(pa.array(classes, pa.binary()), "u1")
+        rows = len(classes)
+        at, _ = chain(values, row, rows, BOUND)
+        # A text's steps end with the one to its bound.
+        ends = np.cumsum(np.bincount(row, minlength=rows) + 1)
+        starts = np.append(0, ends)[:-1]
+        return pd.Series(np.add.reduceat(step[at[:-1], at[1:]], starts) if rows else np.zeros(0))
 
     logs = F.col("logs") + F.lit(float(np.log10(n_docs + 1)))
     return read.select(
@@ -405,13 +498,6 @@ def class_scores(docs: DataFrame, learn: Column) -> DataFrame:
     )
 
 
-def _bounded(classes: bytes) -> np.ndarray:
-    """The classes of a text between two bounds."""
-    at = np.full(len(classes) + 2, BOUND, np.int64)
-    at[1:-1] = np.frombuffer(classes, np.uint8)
-    return at
-
-
 @query("op5_brown")
 def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class model and unigram scores of every document; one in seven is held out."""

@@ -283,6 +283,48 @@ def test_every_word_has_the_class_of_its_neighbours(spark):
     assert not {got[w] for w in nouns} & {got[w] for w in verbs}
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_neighbours_hand_on_a_row_per_word(spark, monkeypatch, collide):
+    """Sides are packed into the row of their word, whatever batches and hashes it meets others in."""
+    rnd = random.Random(6)
+    lines = [" ".join(rnd.choice(["a", "b", "Zed", "q\x0br", "é", *(f"w{i}" for i in range(40))]) for _ in range(rnd.randint(0, 30))) for _ in range(200)]
+    lines += [" \t", "", "  once a ", "only"]
+    core = {b"a": 3, b"b": 5}
+    want = Counter()
+    for line in lines:
+        own = line.lower().encode().split()
+        at = [brown.BOUND, *(core.get(w, brown.OTHER) for w in own), brown.BOUND]
+        want.update((w, at[i] * brown.SIDES + at[i + 2]) for i, w in enumerate(own) if w not in core)
+    if collide:
+        monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    texts = spark.createDataFrame([(line.encode(),) for line in lines], "text binary").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rows = brown.neighbours(texts, core, len(core)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = [(bytes(r["word"]), int(s), int(n)) for r in rows for s, n in zip(np.frombuffer(r["sides"], "<u2"), np.frombuffer(r["counts"], "<i8"), strict=True)]
+    assert len(rows) == len({w for w, _ in want}) and sorted(got) == sorted((w, s, n) for (w, s), n in want.items())
+    times = Counter(w for w, _ in want.elements())
+    only = {w: s for w, s in want if times[w] == 1}
+    assert {bytes(r["word"]): r["only"] for r in rows if r["only"] is not None} == only and b"once" in only
+
+
+def test_class_scores_do_not_depend_on_what_is_joined(spark, monkeypatch):
+    rnd = random.Random(7)
+    words = [f"W{i}" for i in range(80)]
+    rows = [(i, " " * (i % 3) + " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40))) + "\n" * (i % 2), "s") for i in range(90)]
+    rows += [(i + 100, rows[i][1], "s") for i in range(20)] + [(200, None, "s"), (201, "new w1 new other w2 new", "s")]
+    df = docs(spark, rows).drop("id", "score").withColumnRenamed("doc_id", "id")
+    monkeypatch.setattr(brown, "CORE", 5)
+    scores = []
+    for frequent in (5, 40, 1_000):
+        monkeypatch.setattr(brown, "FREQUENT", frequent)
+        got = brown.class_scores(df, F.crc32(F.col("id").cast("string")) % 7 != 2).collect()
+        scores.append({r["id"]: (r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got})
+    assert len(scores[0]) == len(rows) and scores[0] == scores[1] == scores[2]
+
+
 # --- top-k --------------------------------------------------------------------------------------
 
 
